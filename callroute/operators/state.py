@@ -57,6 +57,13 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), ts)
 
 
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a naive datetime (or text), time-zone free."""
+    if isinstance(value, Column):
+        return value.cast("timestamp_ntz")
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def bucket_of(t: Column, width: int) -> Column:
     """floor(t / width) for any sign of t."""
     return ((t - F.pmod(t, F.lit(width))) / F.lit(width)).cast("long")
@@ -360,7 +367,7 @@ def upsert_latest(state: DataFrame | None, writes: DataFrame) -> DataFrame:
 def expire_state(state: DataFrame, now, ttl=DEFAULT_TTL) -> DataFrame:
     """Drop entries older than ``ttl`` at ``now`` (an entry exactly ``ttl`` old is kept)."""
     T = ttl_micros(ttl)
-    now_col = now if isinstance(now, Column) else F.lit(now).cast("timestamp_ntz")
+    now_col = ntz_lit(now)
     return state.filter(micros(F.col("written_at")) >= micros(now_col) - F.lit(T))
 
 

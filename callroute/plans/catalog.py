@@ -305,7 +305,7 @@ def q_lookup_state(spark, d):
 
 def q_lookup_layered(spark, d):
     prepared, writes = _explicit_writes(spark, d)
-    split = F.lit(LAYER_SPLIT).cast("timestamp_ntz")
+    split = st.ntz_lit(LAYER_SPLIT)
     base = st.upsert_latest(None, writes.filter(F.col("ts") < split))
     recent = st.upsert_latest(None, writes.filter(F.col("ts") >= split))
     keys = prepared.filter(F.col("reason").isNull() & F.col("resource_id").isNotNull()).select("seq", "resource_id")
@@ -392,6 +392,55 @@ def q_service_metrics(spark, d):
     )
 
 
+# --- streaming (T1-T5): the router query fed with the table in time order ---
+
+_STREAM_RUNS: dict = {}
+STREAM_CHUNKS = 3
+
+
+def _stream_run(spark, d, stop_at_control=False):
+    from callroute.streaming import stream as sm
+
+    key = (id(spark), d, stop_at_control)
+    if key not in _STREAM_RUNS:
+        paths = sm.new_paths(spark, "router")
+        sm.feed_in_chunks(
+            spark, _events(spark, d), _commands(spark, d), paths, fx.ari_results(spark, d),
+            chunks=STREAM_CHUNKS, stop_at_control=stop_at_control,
+        )
+        _STREAM_RUNS[key] = paths
+    return _STREAM_RUNS[key]
+
+
+def q_stream_route_events(spark, d):
+    from callroute.streaming import stream as sm
+
+    out = sm.read_output(spark, _stream_run(spark, d).events_out)
+    return io.with_key_sequence(out).select("seq", "key", "type", "resource_type", "resource_id", "key_seq")
+
+
+def q_stream_commands_to_requests(spark, d):
+    from callroute.streaming import stream as sm
+
+    out = sm.read_output(spark, _stream_run(spark, d).responses_out)
+    return io.with_key_sequence(out).select(
+        "request_id", "key", "status_code", "resources", F.col("commandId").alias("command_id"), "key_seq"
+    )
+
+
+def q_tap_counts(spark, d):
+    from callroute.streaming import stream as sm
+
+    return sm.tap_counts(spark, _stream_run(spark, d))
+
+
+def q_stop_on_control(spark, d):
+    from callroute.streaming import stream as sm
+
+    paths = _stream_run(spark, d, stop_at_control=True)
+    return sm.read_output(spark, paths.events_out).select("seq", "key", "type")
+
+
 QUERIES = {
     "read_events": q_read_events,
     "read_commands": q_read_commands,
@@ -443,6 +492,10 @@ QUERIES = {
     "route_events": q_route_events,
     "route_responses": q_route_responses,
     "service_metrics": q_service_metrics,
+    "stream_route_events": q_stream_route_events,
+    "stream_commands_to_requests": q_stream_commands_to_requests,
+    "tap_counts": q_tap_counts,
+    "stop_on_control": q_stop_on_control,
 }
 
 __all__ = ["QUERIES"]

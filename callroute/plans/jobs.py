@@ -132,7 +132,7 @@ def service_metrics(
         )
     )
     writes = explicit_writes(prepared, regs)
-    split = F.lit(layer_split).cast("timestamp_ntz")
+    split = st.ntz_lit(layer_split)
     base = st.upsert_latest(None, writes.filter(F.col("ts") < split))
     recent = st.upsert_latest(None, writes.filter(F.col("ts") >= split))
     keys = prepared.filter(F.col("resource_id").isNotNull() & F.col("reason").isNull()).select(

@@ -300,3 +300,8 @@ def _service_metrics() -> str:
 
 
 ORACLE["service_metrics"] = _service_metrics()
+
+# The streaming router must give exactly the batch answers.
+ORACLE["stream_route_events"] = ORACLE["route_events"]
+ORACLE["stream_commands_to_requests"] = ORACLE["route_responses"]
+ORACLE["tap_counts"] = ORACLE["event_counts"]
