@@ -244,7 +244,8 @@ def resource_relations(df: DataFrame) -> DataFrame:
     return df.withColumns({"relations": relations, "created_id": F.col("_created.id")}).drop("_created")
 
 
-def is_creation(df_cols=None) -> Column:
+def is_creation() -> Column:
+    """Creating route and POST (the only method that registers)."""
     return F.col("creates") & (F.col("method") == F.lit("POST"))
 
 

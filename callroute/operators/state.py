@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from callroute.functions.ids import generated_context, namespaced_key
 from callroute.operators.events import CREATE_TYPE
-from callroute.session import checkpoint_dir
+from callroute.session import materialize
 
 DEFAULT_TTL = "6 hours"
 _UNITS = {"micro": 1, "milli": 1_000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
@@ -120,17 +120,7 @@ def state_ops(state: DataFrame) -> DataFrame:
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
-
-    The frame is persisted first so the checkpoint job writes the computed
-    rows instead of recomputing them; the cache is released once the files
-    are written (the checkpoint keeps the partitioning of the frame).
-    """
-    checkpoint_dir(df.sparkSession)
-    df.persist()
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+    return materialize(df)
 
 
 def resolve_contexts(ops: DataFrame, ttl=DEFAULT_TTL) -> DataFrame:

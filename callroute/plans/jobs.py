@@ -17,6 +17,7 @@ from callroute.operators import commands as cm
 from callroute.operators import events as ev
 from callroute.operators import metrics as mt
 from callroute.operators import state as st
+from callroute.session import materialize
 from callroute.sources.io import order_by_key
 
 COMMANDS_TOPIC = "commands"
@@ -111,8 +112,17 @@ def service_metrics(
     Drop counts here cover the reasons known before context resolution
     (Q1's quarantine adds ``no_context``).
     """
-    prepared = ev.with_drop_reason(ev.prepare_events(events_raw))
-    cmds = cm.shape_requests(cm.prepare_commands(commands_raw), BASE_URI)
+    # every measurement reads these two projections: compute each once
+    prepared = materialize(
+        ev.with_drop_reason(ev.prepare_events(events_raw)).select(
+            "seq", "ts", "type", "resource_type", "resource_id", "channel_var", "reason"
+        )
+    )
+    cmds = materialize(
+        cm.shape_requests(cm.prepare_commands(commands_raw), BASE_URI).select(
+            "seq", "ts", "request_id", "method", "url", "callContext", "created_id", "is_creation", "reason"
+        )
+    )
     requests = cm.metric_path(cm.correlate_results(cmds.filter(F.col("reason").isNull()), results))
     regs = cm.context_registrations(cmds)
     counts = mt.event_counts(prepared).withColumnsRenamed({"type": "eventType", "resource_type": "resourceType"})

@@ -62,3 +62,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     os.makedirs(base, exist_ok=True)
     return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
+    shared checkpoint folder (never a local one). The frame is persisted first
+    so the checkpoint job writes the computed rows instead of recomputing
+    them; the cache is released once the files are written. The result keeps
+    the partitioning of ``df``.
+    """
+    checkpoint_dir(df.sparkSession)
+    df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
