@@ -30,10 +30,15 @@ def _keys(v: Column) -> Column:
 
 
 def _scalar_text(v: Column, path: str) -> tuple[Column, Column]:
-    """(text, ok): text of a scalar field; ``ok`` is false for objects/arrays."""
+    """(text, ok): text of a scalar field; ``ok`` is false for objects/arrays.
+
+    The (costly) schema probe only runs for values whose text looks like a
+    container; a string value that merely starts with a brace stays ok.
+    """
     s = F.try_variant_get(v, path, "string")
-    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    ok = s.isNull() | ~kind.rlike("^(OBJECT|ARRAY)")
+    looks = s.startswith("{") | s.startswith("[")
+    container = looks & F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike("^(OBJECT|ARRAY)")
+    ok = s.isNull() | ~container
     return s, ok
 
 
@@ -46,13 +51,12 @@ def parse_commands(df: DataFrame, text_col: str = "raw") -> DataFrame:
     ``unknown_field`` (a field outside the envelope or command schema), else NULL.
     """
     df = with_parsed(df, text_col, "msg")
-    cmd = F.try_variant_get(F.col("msg"), "$.ariCommand", "variant")
     ctx, ctx_ok = _scalar_text(F.col("msg"), "$.callContext")
     cid, cid_ok = _scalar_text(F.col("msg"), "$.commandId")
     method, method_ok = _scalar_text(F.col("msg"), "$.ariCommand.method")
     url, url_ok = _scalar_text(F.col("msg"), "$.ariCommand.url")
     top_keys = _keys(F.col("msg"))
-    cmd_keys = _keys(cmd)
+    cmd_keys = _keys(F.try_variant_get(F.col("msg"), "$.ariCommand", "variant"))
     reason = (
         F.when(F.col("msg").isNull() | top_keys.isNull(), F.lit("malformed"))
         .when(F.size(F.array_except(top_keys, F.array(*map(F.lit, ENVELOPE_FIELDS)))) > 0, F.lit("unknown_field"))
@@ -118,7 +122,7 @@ def route_candidates(path: Column) -> list[Column]:
     return keys
 
 
-_ROUTE_COLS = ["template", "command_type", "resource_type", "creates", "body_path", "placeholders"]
+_ROUTE_COLS = ["template", "command_type", "resource_type", "creates", "body_path", "placeholders", "created_pos"]
 
 
 def with_route(df: DataFrame, path_col: str, prefix: str = "_r") -> DataFrame:
@@ -221,7 +225,11 @@ def resource_relations(df: DataFrame) -> DataFrame:
     if "body_resource_id" not in df.columns:
         df = body_resource_id(df)
     rtype = F.col("route.resource_type")
-    from_url = F.get(F.filter(F.col("path_resources"), lambda r: r["type"] == rtype), 0)
+    # the route knows which path segment names a resource of its own type
+    from_url = F.when(
+        F.col("route.created_pos").isNotNull(),
+        F.struct(rtype.alias("type"), F.get(F.split(F.col("path"), "/", -1), F.col("route.created_pos")).alias("id")),
+    )
     from_body = F.when(
         F.col("body_resource_id").isNotNull(),
         F.struct(rtype.alias("type"), F.col("body_resource_id").alias("id")),

@@ -148,6 +148,9 @@ def _route_rows():
         key = "/".join(WILDCARD if i in positions else p for i, p in enumerate(parts))
         rtype, creates, body_path = _COMMAND_TYPE[ctype]
         placeholders = [(i, _PLACEHOLDER_TYPE[parts[i]]) for i in reversed(positions)]
+        # rightmost placeholder of the route's own resource type (first in the right-to-left list)
+        own = [i for i, t in placeholders if t == rtype]
+        created_pos = own[0] if own else None
         rows.append(
             dict(
                 template=template,
@@ -160,6 +163,7 @@ def _route_rows():
                 key=key,
                 placeholders=placeholders,
                 literal_count=len(parts) - len(positions),
+                created_pos=created_pos,
                 listing_order=order,
             )
         )
@@ -217,13 +221,14 @@ def routes(spark: SparkSession) -> DataFrame:
                 _sql_lit(r["key"]),
                 str(r["literal_count"]),
                 f"array({ph})" if ph else "array()",
+                "NULL" if r["created_pos"] is None else str(r["created_pos"]),
             ]
         )
     return _values(
         spark,
         rows,
         ["template", "command_type", "resource_type", "creates", "body_path", "segments", "key",
-         "literal_count", "placeholders"],
+         "literal_count", "placeholders", "created_pos"],
         ["string", "string", "string", "boolean", "string", "int", "string", "int",
-         "array<struct<pos:int,type:string>>"],
+         "array<struct<pos:int,type:string>>", "int"],
     )
