@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import suffix
+from . import simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup of all documents: fingerprints of 4-word shingles, linked at 4 bits or fewer."""
+    out = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, distance=4)
+    digits = F.lower(F.lpad(F.hex("_fingerprint"), 16, "0"))
+    return out.select("doc_id", digits.alias("fingerprint"), F.col("_component").alias("component_id"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-array dedup of all documents: what is left of each, as a digest."""
     out = suffix.drop_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -28,6 +35,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_simhash_dedup": op7_simhash_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
 }
 
