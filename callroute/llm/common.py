@@ -139,6 +139,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         start = end
 
 
+def hashes(strings: list[bytes], seed: int) -> np.ndarray:
+    h = xxhash.xxh64_intdigest
+    return np.fromiter((h(x, seed) for x in strings), np.uint64, len(strings))
+
+
 class Words:
     """Tokens of some texts between ASCII white space: codes into distinct words, and the row of each."""
 
@@ -156,8 +161,7 @@ class Words:
         self.counts = np.bincount(rows, minlength=len(texts))
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        h = xxhash.xxh64_intdigest
-        return np.fromiter((h(w, seed) for w in self.words), np.uint64, len(self.words))
+        return hashes(self.words, seed)
 
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

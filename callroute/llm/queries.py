@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, suffix
+from . import common, mixing, packing, quality, simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the probability of being sampled to the target mix, and whether they are."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.topic("text").alias("topic"), mixing.words("text").alias("n_tokens"))
+    out = mixing.mix(common.cut(docs, "mixing"), mixing.TARGETS, "n_tokens", mixing.BUDGET, rounds=mixing.ROUNDS)
+    return out.select("doc_id", "topic", "n_tokens", F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labelled ones whose crc32 is not 1 modulo 3."""
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    weights = quality.train(docs.where(quality.learnable("doc_id")), labels.where(quality.learnable("doc_id")))
+    out = quality.score(docs, weights, keep=["doc_id"])
+    return out.select("doc_id", (~quality.learnable("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-dedup of all documents: fingerprints of 4-word shingles, linked at 4 bits or fewer."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, distance=4)
@@ -34,9 +50,29 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens by best fit over the counts of lengths."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], with_ids=False)
+    return out.select(
+        "doc_id",
+        F.col("_piece").alias("piece"),
+        F.col("_start").alias("start"),
+        F.col("_length").cast("long").alias("length"),
+        F.col("_crc32").alias("ids_crc32"),
+        F.col("_sequence").alias("sequence_id"),
+        F.col("_offset").alias("offset"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_mixing": mixing.oracle_sql(),
+}
