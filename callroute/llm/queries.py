@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, mixing, packing, quality, simhash, suffix, topk
+from . import chat, common, embeddings, mixing, packing, quality, simhash, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings linked within their label at a cosine of 0.93 or more."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labelled ones whose crc32 is not 1 modulo 3."""
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_exact_topk": op3_exact_topk,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
