@@ -8,13 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, embeddings, extract, mixing, packing, quality, simhash, suffix, topk
+from . import chat, common, embeddings, extract, mixing, packing, quality, scoring, simhash, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model counted from those whose crc32 is not 2 modulo 7."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    learnable = quality.learnable("doc_id", folds=7, held_out=2)
+    model = scoring.train(docs.where(learnable))
+    out = scoring.score(docs, model, keep=["doc_id"])
+    return out.select(
+        "doc_id",
+        (~learnable).alias("held_out"),
+        F.col("_tokens").alias("n_tokens"),
+        F.col("_known").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.col("_base").alias("base_score"),
+        F.col("_score").alias("score"),
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the probability of being sampled to the target mix, and whether they are."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.topic("text").alias("topic"), mixing.words("text").alias("n_tokens"))
@@ -101,6 +118,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
     "op3_exact_topk": op3_exact_topk,
     "op4_chat_formatting": op4_chat_formatting,
