@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_CACHE_WORDS = 400_000
-_AT_ONCE = 2_000
+_CACHE_WORDS = 1_200_000
+_AT_ONCE = 4_000
+_BETWEEN = "\x01"  # stands between words that are encoded together
 _OPEN: dict[str, Tokenizer] = {}
 
 
@@ -31,14 +32,16 @@ class Tokenizer:
 
     Such a tokenizer cuts at white space before it merges, so a text's ids
     are its words' ids in order, and each distinct word is encoded once while
-    a worker remembers it. Words are encoded many at a time, with a special
-    token between them to tell their ids apart.
+    a worker remembers it. Words are encoded many at a time, with a sign
+    between them to tell their ids apart; words that hold the sign or a
+    special token are encoded alone.
     """
 
     def __init__(self, path: str):
         self.encoder = tokenizers.Tokenizer.from_file(path)
-        special = [(i, t.content) for i, t in self.encoder.get_added_tokens_decoder().items() if t.special]
-        self.special = special
+        sign = self.encoder.encode(_BETWEEN, add_special_tokens=False).ids
+        self.between = sign[0] if len(sign) == 1 else None
+        self.odd = [x.encode() for x in (_BETWEEN, *(t.content for t in self.encoder.get_added_tokens_decoder().values()))]
         self.forget()
 
     @staticmethod
@@ -50,43 +53,43 @@ class Tokenizer:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.tables, self.sizes = [], []
+        self.table, self.size = np.empty(0, "<u4"), np.empty(0, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        plain = [w.decode() for w in words]
-        alone = [any(t in w for _, t in self.special) for w in plain] if self.special else [True] * len(plain)
-        joint = [w for w, a in zip(plain, alone, strict=True) if not a]
-        ids: dict[str, np.ndarray] = {}
-        for i in range(0, len(joint), _AT_ONCE):
-            own = joint[i : i + _AT_ONCE]
-            between, sign = self.special[-1]
-            flat = np.array(self.encoder.encode_batch_fast([f" {sign} ".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            ids.update(zip(own, np.split(flat[flat != between], np.flatnonzero(flat == between) - np.arange(len(own) - 1)), strict=True))
-        for w, a in zip(plain, alone, strict=True):
-            if a:
-                ids[w] = np.array(self.encoder.encode(w, add_special_tokens=False).ids, "<u4")
-        for b, w in zip(words, plain, strict=True):
-            self.known[b] = len(self.known)
-            self.sizes.append(len(ids[w]))
-            self.tables.append(ids[w])
+        tables, sizes = [self.table], [self.size]
+        whole = b" ".join(words)
+        if self.between is None:
+            plain, alone = [], words
+        elif any(x in whole for x in self.odd):
+            plain, alone = [w for w in words if not any(x in w for x in self.odd)], [w for w in words if any(x in w for x in self.odd)]
+        else:
+            plain, alone = words, []
+        for i in range(0, len(plain), _AT_ONCE):
+            line = f" {_BETWEEN} ".encode().join(plain[i : i + _AT_ONCE]).decode()
+            flat = np.array(self.encoder.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            signs = np.flatnonzero(flat == self.between)
+            tables.append(flat[flat != self.between])
+            sizes.append(np.diff(np.concatenate([[-1], signs, [len(flat)]])) - 1)
+        for w in alone:
+            tables.append(np.array(self.encoder.encode(w.decode(), add_special_tokens=False).ids, "<u4"))
+            sizes.append(np.array([len(tables[-1])]))
+        self.known.update(zip([*plain, *alone], range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.table, self.size = np.concatenate(tables), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin; the end is at the last place."""
         words = common.Words(texts, lower=False)
-        if new := [w for w in words.words if w and w not in self.known]:
+        if new := [w for w in words.words if w not in self.known]:
             if len(self.known) + len(new) > _CACHE_WORDS:
                 self.forget()
-                new = [w for w in words.words if w]
+                new = words.words
             self.learn(new)
-            self.tables = [np.concatenate(self.tables)]
-        size = np.array(self.sizes, np.int64)
-        table = self.tables[0] if self.tables else np.empty(0, "<u4")
-        start = np.cumsum(size) - size
-        word = np.fromiter((self.known.get(w, 0) for w in words.words), np.int64, len(words.words))[words.codes] if len(words.codes) else words.codes
-        n = size[word]
+        start = np.cumsum(self.size) - self.size
+        word = np.fromiter(map(self.known.__getitem__, words.words), np.int64, len(words.words))
+        n, first = self.size[word][words.codes], start[word][words.codes]
         total = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(total[-1]) + np.repeat(start[word] - total[:-1], n)
-        return table[at], total[np.concatenate([[0], np.cumsum(words.counts)])]
+        at = np.arange(total[-1]) + np.repeat(first - total[:-1], n)
+        return self.table[at], total[np.concatenate([[0], np.cumsum(words.counts)])]
 
 
 def _pieces(path: str, names: list[str], most: int, separator: int, with_ids: bool):
