@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -103,7 +104,7 @@ class Shards:
         at = np.searchsorted(keys, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
         edges = [0, *at.tolist(), len(keys)]
         for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            if b > a and (arrays := self.shard(i)):
+            if b > a and (arrays := self.shard(i)) and len(arrays[0]):
                 yield slice(a, b), arrays
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -128,6 +129,19 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column).cast(pa.string()), "")
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def release() -> None:
+    """Give back what a worker no longer uses: it lives on for other tasks and operators, beside its executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows holding about ``most`` bytes of text, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -137,6 +151,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         end = max(start + 1, int(np.searchsorted(size, base + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    release()
 
 
 def hashes(strings: list[bytes], seed: int) -> np.ndarray:

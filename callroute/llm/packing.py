@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_CACHE_WORDS = 1_200_000
+_CACHE_WORDS = 500_000
 _AT_ONCE = 4_000
 _BETWEEN = "\x01"  # stands between words that are encoded together
 _OPEN: dict[str, Tokenizer] = {}

@@ -138,7 +138,7 @@ class Reader:
         order = np.lexsort([keys, shard])
         edge = np.searchsorted(shard[order], np.arange((1 << self.model.bits) + 1))
         for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
-            if b > a and (arrays := self.pairs.shard(i)):
+            if b > a and (arrays := self.pairs.shard(i)) and len(arrays[0]):
                 own, count = arrays
                 q = keys[order[a:b]]
                 at = np.minimum(np.searchsorted(own, q), len(own) - 1)

@@ -55,6 +55,7 @@ def _fingerprints(names: list[str], shingle: int):
             texts = common.texts_of(batch, "_text").cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found.view(np.int64))], [*names, "_fingerprint"])
+        common.release()
 
     return run
 

@@ -43,7 +43,7 @@ _TAG = _U((1 << 24) - 1)
 _CTX, _HALF, _WINDOW, _COVER = range(4)
 
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 LAP = 1024
 
 
