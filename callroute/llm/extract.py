@@ -129,6 +129,11 @@ def _kind(tag: str) -> int:
     return 0 if tag == _NODE_TEXT else 2 if tag in _BLOCK else 1
 
 
+def _sort(tag: str, named: bool) -> str:
+    """What has a chance of its own: a text, a tag, and a tag with class or id words."""
+    return f"{tag}." if named and tag != _NODE_TEXT else tag
+
+
 class Model:
     """Weights of a node's features; by tag, the chance of main text under a parent that is none or is."""
 
@@ -139,14 +144,14 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"own": {}}
 
-    def chance(self, tag: str) -> tuple[float, float]:
-        return self.chances.get(tag) or self.chances[_KINDS[_kind(tag)]]
-
-    def odds(self, tag: str, raw: str, above: str, length: int) -> float:
+    def node(self, tag: str, raw: str, above: str, length: int) -> tuple[float, float, float]:
+        """Own odds of a node, and its chances under a parent that is no main text and one that is."""
         key = (tag, raw) if tag != _NODE_TEXT else (tag, above, min(8, length.bit_length()))
         found = self.own.get(key)
         if found is None:
-            found = sum(self.weights.get(f, 0.0) for f in features(tag, raw, above, length))
+            own = features(tag, raw, above, length)
+            chance = self.chances.get(_sort(tag, bool(own))) or self.chances.get(tag) or self.chances[_KINDS[_kind(tag)]]
+            found = (sum(self.weights.get(f, 0.0) for f in own), *chance)
             if len(self.own) < 50_000:
                 self.own[key] = found
         return found
@@ -156,17 +161,18 @@ class Model:
         n, tag, parent = len(page.tag), page.tag, page.parent
         belief = [0.0] * n
         belief[0] = self.root
+        chance = [(0.0, 0.0)] * n
         for i in range(1, n):
-            belief[i] = self.odds(tag[i], page.data[i], tag[parent[i]], len(page.data[i].strip()) if tag[i] == _NODE_TEXT else 0)
+            belief[i], *chance[i] = self.node(tag[i], page.data[i], tag[parent[i]], len(page.data[i].strip()) if tag[i] == _NODE_TEXT else 0)
         sent = [0.0] * n
         exp, log = math.exp, math.log
         for i in range(n - 1, 0, -1):  # up: children before parents
-            under0, under1 = self.chance(tag[i])
+            under0, under1 = chance[i]
             e = exp(min(30.0, max(-30.0, belief[i])))
             sent[i] = log((1 - under1 + under1 * e) / (1 - under0 + under0 * e))
             belief[parent[i]] += sent[i]
         for i in range(1, n):  # down: parents before children
-            under0, under1 = self.chance(tag[i])
+            under0, under1 = chance[i]
             e = exp(min(30.0, max(-30.0, belief[parent[i]] - sent[i])))
             belief[i] += log((under0 + under1 * e) / (1 - under0 + (1 - under1) * e))
         return belief
@@ -214,14 +220,15 @@ def train(labelled: list[str], rounds: int = 400, rate: float = 1.0, ridge: floa
             label[i] = 0 if "data-skip" in own else 1 if "data-main" in own else label[page.parent[i]]
             if page.tag[i] in _RAW:
                 label[i] = 0
-            for name in (page.tag[i], _KINDS[_kind(page.tag[i])]):
-                counts.setdefault(name, np.zeros((2, 2)))[label[page.parent[i]], label[i]] += 1
             raw = re.sub(r"\s*data-(main|skip)", "", page.data[i]) if own else page.data[i]
             rows.append(features(page.tag[i], raw, page.tag[page.parent[i]], len(raw.strip())))
+            kind = _sort(page.tag[i], bool(rows[-1]))
+            for name in (kind, _KINDS[_kind(page.tag[i])]):
+                counts.setdefault(name, np.zeros((2, 2)))[label[page.parent[i]], label[i]] += 1
             labels.append(label[i])
-            given.append((page.tag[i], label[page.parent[i]]))
+            given.append((kind, label[page.parent[i]]))
     kinds = {k: counts[k][:, 1] / counts[k].sum(axis=1) for k in _KINDS}
-    chances = {t: (c[:, 1] + doubt * kinds.get(t, kinds[_KINDS[_kind(t)]])) / (c.sum(axis=1) + doubt) for t, c in counts.items()}
+    chances = {t: (c[:, 1] + doubt * kinds.get(t, kinds[_KINDS[_kind(t.rstrip("."))]])) / (c.sum(axis=1) + doubt) for t, c in counts.items()}
     names = sorted({f for r in rows for f in r})
     at = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(rows), len(names)))

@@ -25,4 +25,5 @@ PAGES = [
     f'<html><body><article data-main><h1>Title of it</h1><p><b>{_TEXT}<br><p>No.</p><p>{_TEXT}</p><p><b>Yes.<br></article><footer>Words</footer>',
     f"<html><body>{_NAV}<article data-main><div><div><p>{_TEXT}</p></div><div><h2>Part</h2><div>{_TEXT}</div></div></div><div><div><div><p>Few.</p></div></div></div></article><footer><div>Words</div></footer></body></html>",
     f'<html><body><div><div>{_NAV}</div></div><div><div class="content" data-main><div><div><p>{_TEXT}</p><ul><li>One</li></ul></div></div><div class="row"><div class="column"><p>{_TEXT}</p></div></div><div><h3>More</h3><p>{_TEXT}</p></div></div></div></body></html>',
+    f"<html><body><article data-main><header data-skip><p>Site words</p></header><p>{_TEXT}</p><form data-skip><p>Join us</p><input></form><p>Mid.</p><form data-skip>Mail<button>Go</button></form><aside data-skip><p>Beside it</p></aside><nav data-skip><a href='/n'>Next</a></nav><p>{_TEXT}</p><footer data-skip><p>By us</p></footer></article><form><label>Find</label></form><aside>More</aside></body></html>",
 ]

@@ -177,13 +177,13 @@ def test_depth_has_no_limit():
 def test_marginals_are_those_of_all_assignments():
     page = extract.Page("<div class='ad'><p>a<b>c</b></p></div>")
     n = len(page.tag)
-    weight, odds = np.zeros((n, 2)), [MODEL.root]
-    odds += [MODEL.odds(page.tag[i], page.data[i], page.tag[page.parent[i]], len(page.data[i].strip()) if page.tag[i] == "#text" else 0) for i in range(1, n)]
+    weight, node = np.zeros((n, 2)), [(MODEL.root, 0, 0)]
+    node += [MODEL.node(page.tag[i], page.data[i], page.tag[page.parent[i]], len(page.data[i].strip()) if page.tag[i] == "#text" else 0) for i in range(1, n)]
     for k in range(1 << n):
         x = [k >> i & 1 for i in range(n)]
-        p = np.exp(sum(o for o, v in zip(odds, x, strict=True) if v))
+        p = np.exp(sum(o for o, v in zip((m[0] for m in node), x, strict=True) if v))
         for i in range(1, n):
-            c = MODEL.chance(page.tag[i])[x[page.parent[i]]]
+            c = node[i][1 + x[page.parent[i]]]
             p *= c if x[i] else 1 - c
         for i in range(n):
             weight[i, x[i]] += p
