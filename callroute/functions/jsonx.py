@@ -47,19 +47,6 @@ def text_at(v: Column, pointer: str) -> Column:
     return F.when(s.isNull() | container | s.rlike(_BLANK), F.lit(None).cast("string")).otherwise(s)
 
 
-def pinned(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
-    """Add columns that are evaluated exactly once per row.
-
-    They are emitted by a one-element generator, whose output Catalyst never
-    inlines: filters pushed below later projections then read the stored
-    value instead of re-evaluating an expensive expression per reference.
-    """
-    keep = [F.col(c) for c in df.columns if c not in exprs]
-    packed = F.struct(*[e.alias(n) for n, e in exprs.items()])
-    out = df.select(*keep, F.inline(F.array(packed)))
-    return out
-
-
 def with_parsed(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """Add ``out`` = parsed ``text_col``, evaluated exactly once per row.
 

@@ -98,7 +98,7 @@ def _shape_ranks():
 def route_candidates(path: Column) -> list[Column]:
     """Normalised lookup keys of ``path``, one per rank (most literal first).
 
-    A placeholder matches one non-empty segment without '/' or '\\'; literal
+    A placeholder matches one non-empty segment without '/'; literal
     segments must be equal. So a path can only match a template of its own
     segment count, and its key for a shape is the path with the shape's
     placeholder positions replaced by ``{}``.
@@ -106,7 +106,7 @@ def route_candidates(path: Column) -> list[Column]:
     segs = F.split(path, "/", -1)
     n = F.size(segs)
     rest = F.slice(segs, 2, F.greatest(n - 1, F.lit(1)))
-    valid = path.startswith("/") & ~F.exists(rest, lambda s: (s == "") | s.contains("\\"))
+    valid = path.startswith("/") & ~F.exists(rest, lambda s: (s == ""))
     by_n, ranks = _shape_ranks()
     keys = []
     for r in range(ranks):
@@ -328,23 +328,23 @@ def shape_requests(df: DataFrame, base_uri: str) -> DataFrame:
 def correlate_results(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Each request with its HTTP result; no result means transport failure.
 
-    A transport failure becomes status 500 with no body and is the only case
-    flagged ``is_error`` (HTTP 4xx/5xx answers are not errors here).
+    A transport failure (no result row, or one without a status) becomes
+    status 500 with no body and is the only case flagged ``is_error`` (HTTP
+    4xx/5xx answers are not errors here); a measured duration is kept.
     """
     res = results.select(
         "request_id",
         F.col("status").alias("_status"),
         "result_body",
         "duration_ms",
-        F.lit(True).alias("_answered"),
     )
     joined = requests.join(res, "request_id", "left")
     return joined.withColumns(
         {
             "status_code": F.coalesce(F.col("_status"), F.lit(500)).cast("int"),
-            "is_error": F.col("_answered").isNull(),
+            "is_error": F.col("_status").isNull(),
         }
-    ).drop("_status", "_answered")
+    ).drop("_status")
 
 
 def response_payloads(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from callroute.operators import events as ev
 from callroute.operators import metrics as mt
 from callroute.operators import state as st
 from callroute.session import materialize
+from callroute.sources.dims import METRIC_PREFIX
 from callroute.sources.io import order_by_key
 
 COMMANDS_TOPIC = "commands"
@@ -34,9 +35,10 @@ def routed_events(events_raw: DataFrame, commands_raw: DataFrame, ttl=st.DEFAULT
     resolved = (
         st.resolve_contexts(ops, ttl)
         .filter(F.col("src") == 1)
-        .select("seq", "call_context", F.col("written").alias("context_written"))
+        .select("seq", F.col("rid").alias("resource_id"), "call_context", F.col("written").alias("context_written"))
     )
-    return data.join(resolved, "seq", "left")
+    # the resource too: a context never reaches another resource's event
+    return data.join(resolved, ["seq", "resource_id"], "left")
 
 
 def route_events(
@@ -127,16 +129,16 @@ def service_metrics(
     regs = cm.context_registrations(cmds)
     counts = mt.event_counts(prepared).withColumnsRenamed({"type": "eventType", "resource_type": "resourceType"})
     parts = [
-        mt.as_long(counts, "ari-proxy.events", ["eventType", "resourceType"], {"": "n"}),
+        mt.as_long(counts, f"{METRIC_PREFIX}.events", ["eventType", "resourceType"], {"": "n"}),
     ]
     rc = mt.request_counts(requests)
-    parts.append(mt.as_long(rc, "ari-proxy.outgoing.requests", ["method", "path"], {"": "requests"}))
-    parts.append(mt.as_long(rc, "ari-proxy.outgoing.requests.errors", ["method", "path"], {"": "errors"}))
+    parts.append(mt.as_long(rc, f"{METRIC_PREFIX}.outgoing.requests", ["method", "path"], {"": "requests"}))
+    parts.append(mt.as_long(rc, f"{METRIC_PREFIX}.outgoing.requests.errors", ["method", "path"], {"": "errors"}))
     rd = mt.request_durations(requests)
     parts.append(
         mt.as_long(
             rd,
-            "ari-proxy.outgoing.requests.duration",
+            f"{METRIC_PREFIX}.outgoing.requests.duration",
             ["method", "path"],
             {".count": "count", ".sum": "sum", ".max": "max", ".p50": "p50", ".p95": "p95", ".p99": "p99"},
         )
@@ -152,19 +154,19 @@ def service_metrics(
     parts.append(
         mt.as_long(
             ls,
-            "ari-proxy.cache.read",
+            f"{METRIC_PREFIX}.cache.read",
             [],
             {".attempts": "attempts", ".misses": "misses"},
         )
     )
     wd = mt.write_durations(write_timings(regs, results))
     parts.append(
-        mt.as_long(wd, "ari-proxy.persistence.write.duration", [], {".count": "count", ".sum": "sum", ".max": "max"})
+        mt.as_long(wd, f"{METRIC_PREFIX}.persistence.write.duration", [], {".count": "count", ".sum": "sum", ".max": "max"})
     )
     drops = mt.drop_counts(dropped_messages(prepared, cmds))
-    parts.append(mt.as_long(drops, "ari-proxy.processor.drops", ["processor", "reason"], {"": "n"}))
+    parts.append(mt.as_long(drops, f"{METRIC_PREFIX}.processor.drops", ["processor", "reason"], {"": "n"}))
     av = mt.availability(probes).withColumnRenamed("service", "backing_service")
-    parts.append(mt.as_long(av, "ari-proxy.backing_service.availability", ["backing_service"], {"": "value"}))
+    parts.append(mt.as_long(av, f"{METRIC_PREFIX}.backing_service.availability", ["backing_service"], {"": "value"}))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -32,7 +32,7 @@ def _rt() -> str:
     rows = []
     for r in ROUTE_ROWS:
         parts = r["template"].split("/")
-        rx = "^" + "/".join("[^/\\\\]+" if p.startswith("{") else p for p in parts) + "$"
+        rx = "^" + "/".join("[^/]+" if p.startswith("{") else p for p in parts) + "$"
         rows.append("(" + ", ".join([_lit(r["template"]), _lit(r["command_type"]), _lit(r["creates"]), _lit(rx), str(r["literal_count"])]) + ")")
     return (
         "rt(template, command_type, creates, rx, lit) as (select * from (values "
@@ -233,7 +233,7 @@ ORACLE = {
     "response_envelopes": f"""with {REQUESTS} select request_id, 'RESPONSE' as type, call_context, status_code, body_json is not null as has_body,
         regexp_replace(relations, ':[01](,|$)', '\\1', 'g') as resources, command_id, method, url, command_id as json_command_id from pay where response_reason is null""",
     "correlate_results": f"with {REQUESTS} select request_id, status_code, is_error from req",
-    "namespaced_key": f"with {COMMANDS},{REGS} select seq, resource_id, 'ari-proxy:call-context-provider:' || resource_id as state_key from regs",
+    "namespaced_key": f"with {COMMANDS},{REGS} select seq, resource_id, 'callroute:call-context:' || resource_id as state_key from regs",
     "context_registrations": f"with {COMMANDS},{REGS} select resource_id, call_context, ts, seq from regs",
     "lookup_contexts": f"""with {EVENTS},{COMMANDS},{REGS},{WRITES},
         lk as (select resource_id as rid, ts, 1 as src, seq from evq where reason is null and resource_id is not null and type <> 'STASIS_START')
@@ -271,26 +271,26 @@ ORACLE = {
 
 def _service_metrics() -> str:
     parts = [
-        f"""select 'ari-proxy.events' as metric, 'eventType=' || mt.type || ',resourceType=' || coalesce(mt.resource_type, 'NONE') as tags,
+        f"""select 'callroute.events' as metric, 'eventType=' || mt.type || ',resourceType=' || coalesce(mt.resource_type, 'NONE') as tags,
             cast(count(ev.seq) as double) as value from mt left join ev on ev.type = mt.type group by mt.type, mt.resource_type""",
-        "select 'ari-proxy.outgoing.requests', 'method=' || method || ',path=' || metric_path, count(*) from req group by method, metric_path",
-        "select 'ari-proxy.outgoing.requests.errors', 'method=' || method || ',path=' || metric_path, count_if(is_error) from req group by method, metric_path",
+        "select 'callroute.outgoing.requests', 'method=' || method || ',path=' || metric_path, count(*) from req group by method, metric_path",
+        "select 'callroute.outgoing.requests.errors', 'method=' || method || ',path=' || metric_path, count_if(is_error) from req group by method, metric_path",
     ]
     for suffix, agg in [(".count", "count(duration_ms)"), (".sum", "sum(duration_ms)"), (".max", "max(duration_ms)"),
                         (".p50", "quantile_cont(duration_ms, 0.5)"), (".p95", "quantile_cont(duration_ms, 0.95)"),
                         (".p99", "quantile_cont(duration_ms, 0.99)")]:
-        parts.append(f"select 'ari-proxy.outgoing.requests.duration{suffix}', 'method=' || method || ',path=' || metric_path, {agg} from req group by method, metric_path")
+        parts.append(f"select 'callroute.outgoing.requests.duration{suffix}', 'method=' || method || ',path=' || metric_path, {agg} from req group by method, metric_path")
     parts += [
-        "select 'ari-proxy.cache.read.attempts', '', count(*) from lk",
-        "select 'ari-proxy.cache.read.misses', '', count_if(layer is null) from lk",
+        "select 'callroute.cache.read.attempts', '', count(*) from lk",
+        "select 'callroute.cache.read.misses', '', count_if(layer is null) from lk",
     ]
     for suffix, agg in [(".count", "count(duration_ms)"), (".sum", "sum(duration_ms)"), (".max", "max(duration_ms)")]:
-        parts.append(f"select 'ari-proxy.persistence.write.duration{suffix}', '', {agg} from regs join rs on rs.request_id = regs.seq")
+        parts.append(f"select 'callroute.persistence.write.duration{suffix}', '', {agg} from regs join rs on rs.request_id = regs.seq")
     parts += [
-        """select 'ari-proxy.processor.drops', 'processor=' || processor || ',reason=' || reason, count(*) from (
+        """select 'callroute.processor.drops', 'processor=' || processor || ',reason=' || reason, count(*) from (
             select 'event' as processor, reason from evq where reason is not null
             union all select 'commandResponse', reason from cq where reason is not null) group by processor, reason""",
-        """select 'ari-proxy.backing_service.availability', 'backing_service=' || service,
+        """select 'callroute.backing_service.availability', 'backing_service=' || service,
             arg_max(case when n_errors = 0 then 1 else 0 end, (ts, case when n_errors = 0 then 1 else 0 end)) from probes group by service""",
     ]
     body = "\nunion all ".join(parts)

@@ -12,6 +12,8 @@ from pyspark.sql import SparkSession
 # small shuffle partitions and splits skewed join partitions at run time).
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # of a key that a JSON object repeats, the last value counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -36,7 +38,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``; that setting is always used
-    when present. Only when it is unset (local tests) is a scratch folder made.
+    when present. Where it is unset, a local session gets a scratch folder and a
+    cluster session is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="callroute-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

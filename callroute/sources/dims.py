@@ -121,11 +121,13 @@ ROUTES = [
     ("/recordings/live/{recordingName}/mute", "RECORDING"),
 ]
 
-# Prefix of the keys of the call-context state.
-STATE_KEY_PREFIX = "ari-proxy:call-context-provider:"
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
+# Default prefixes of state keys and metric names.
+STATE_KEY_PREFIX = "callroute:call-context:"
+METRIC_PREFIX = "callroute"
+
 NONE_RESOURCE = "NONE"
 WILDCARD = "{}"
 

@@ -111,8 +111,8 @@ def process_batch(
     resolved = st.resolve_contexts(ops, ttl)
 
     # Event envelopes
-    ev_ctx = resolved.filter(F.col("src") == 1).select("seq", "call_context")
-    good, _bad = ev.quarantine(data.join(ev_ctx, "seq", "left"))
+    ev_ctx = resolved.filter(F.col("src") == 1).select("seq", F.col("rid").alias("resource_id"), "call_context")
+    good, _bad = ev.quarantine(data.join(ev_ctx, ["seq", "resource_id"], "left"))
     env = ev.event_envelopes(good, commands_topic).select(
         F.lit(events_topic).alias("topic"),
         F.col("call_context").alias("key"),
