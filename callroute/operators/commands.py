@@ -298,6 +298,7 @@ def context_registrations(df: DataFrame) -> DataFrame:
         F.col("ts"),
         F.lit(0).alias("src"),
         F.col("seq"),
+        *(["request_id"] if "request_id" in df.columns else []),
     )
 
 

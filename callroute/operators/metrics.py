@@ -135,15 +135,8 @@ def as_long(df: DataFrame, metric: str, tags: list[str], values: dict[str, Colum
         if tags
         else F.lit("")
     )
-    parts = []
-    for suffix, v in values.items():
-        col = F.col(v) if isinstance(v, str) else v
-        parts.append(
-            df.select(
-                F.lit(metric + suffix).alias("metric"), tag_text.alias("tags"), col.cast("double").alias("value")
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cells = [
+        F.struct(F.lit(metric + suffix).alias("metric"), (F.col(v) if isinstance(v, str) else v).cast("double").alias("value"))
+        for suffix, v in values.items()
+    ]
+    return df.select(tag_text.alias("tags"), F.explode(F.array(*cells)).alias("_cell")).select("_cell.metric", "tags", "_cell.value")

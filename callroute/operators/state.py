@@ -61,6 +61,8 @@ def ntz_lit(value) -> Column:
     """A TIMESTAMP_NTZ literal from a naive datetime (or text), time-zone free."""
     if isinstance(value, Column):
         return value.cast("timestamp_ntz")
+    if value is None:
+        return F.lit(None).cast("timestamp_ntz")
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
@@ -119,10 +121,6 @@ def state_ops(state: DataFrame) -> DataFrame:
 # J3
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    return materialize(df)
-
-
 def resolve_contexts(ops: DataFrame, ttl=DEFAULT_TTL) -> DataFrame:
     """Call context of every op under the full policy, with expiry.
 
@@ -147,7 +145,7 @@ def resolve_contexts(ops: DataFrame, ttl=DEFAULT_TTL) -> DataFrame:
     o = o.withColumn("puts_upto", F.sum(is_put.cast("int")).over(run_incl))
     # candidates: creates before the first put of their bucket
     o = o.withColumn("cand", (F.col("k") == "create") & (F.col("puts_upto") == 0))
-    o = _materialize(o)
+    o = materialize(o)
 
     # one row per (rid, bucket)
     summary = o.groupBy("rid", "b").agg(
@@ -170,7 +168,7 @@ def resolve_contexts(ops: DataFrame, ttl=DEFAULT_TTL) -> DataFrame:
     buckets = buckets.withColumn(
         "continues", F.coalesce((F.col("next_b") == F.col("b") + 1) & ~F.col("next_has_put"), F.lit(False))
     )
-    buckets = _materialize(buckets)
+    buckets = materialize(buckets)
     run_len = buckets.groupBy("rid", "run_start").agg((F.max("b") - F.col("run_start") + 1).alias("n"))
     max_run = run_len.agg(F.max("n")).collect()[0][0] or 1
 
@@ -203,8 +201,8 @@ def resolve_contexts(ops: DataFrame, ttl=DEFAULT_TTL) -> DataFrame:
                     F.col("j2.to_b").alias("to_b"),
                     F.col("j2.to_nseq").alias("to_nseq"),
                 )
-                jump = _materialize(jump)
-            known = _materialize(known)
+                jump = materialize(jump)
+            known = materialize(known)
             k += 1
 
     # write carried into every bucket: the path node of bucket b-1
@@ -297,7 +295,7 @@ def _first_jumps(o: DataFrame, buckets: DataFrame, T: int) -> DataFrame:
         F.col("tb").alias("to_b"),
         F.coalesce(F.col("succ"), F.lit(N_NODE)).alias("to_nseq"),
     )
-    return _materialize(jump)
+    return materialize(jump)
 
 
 # ---------------------------------------------------------------------------
@@ -325,10 +323,9 @@ def lookup_contexts(lookups: DataFrame, writes: DataFrame, bucket: str = "1 day"
         F.max_by("ctx", F.struct("t", "src", "seq")).alias("last_ctx")
     )
     wd = Window.partitionBy("rid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = day_last.withColumn("carry", F.last("last_ctx", ignorenulls=True).over(wd))
     # buckets with lookups but no writes need the carry too
     lk_buckets = both.filter(~F.col("is_w")).select("rid", "b").distinct()
-    all_b = lk_buckets.join(carry.select("rid", "b", "last_ctx"), ["rid", "b"], "full")
+    all_b = lk_buckets.join(day_last, ["rid", "b"], "full")
     carry_all = all_b.withColumn("carry", F.last("last_ctx", ignorenulls=True).over(wd)).select("rid", "b", "carry")
     res = both.filter(~F.col("is_w")).join(carry_all, ["rid", "b"], "left")
     return res.select("rid", "ts", "src", "seq", F.coalesce("in_bucket", "carry").alias("call_context"))

@@ -78,13 +78,19 @@ def q_order_by_key(spark, d):
 
 
 def q_message_types(spark, d):
-    return dims.message_types(spark).groupBy(F.coalesce("resource_type", F.lit("NONE")).alias("resource_type")).agg(
-        F.count(F.lit(1)).alias("n")
+    """The message types with the number of messages that carry each wire type."""
+    carried = ev.classify_events(_events(spark, d)).groupBy("wire_type").agg(F.count(F.lit(1)).alias("n"))
+    return dims.message_types(spark).join(carried, "wire_type", "left").select(
+        "type", "resource_type", "id_path", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
 
 
 def q_routes(spark, d):
-    return dims.routes(spark).groupBy("command_type", "creates").agg(F.count(F.lit(1)).alias("n"))
+    """The routes with the number of commands addressed to each."""
+    taken = cm.classify_commands(cm.command_path(cm.parse_commands(_commands(spark, d)))).groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+    return dims.routes(spark).join(taken, "template", "left").select(
+        "template", "command_type", "creates", F.coalesce("n", F.lit(0)).cast("long").alias("n")
+    )
 
 
 # --- event projections -------------------------------------------------------
@@ -313,10 +319,10 @@ def q_lookup_layered(spark, d):
 
 
 def q_missing_required(spark, d):
-    part = fx.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
-    li = fx.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
-    present = part.join(li.distinct(), "p_partkey", "left_semi")
-    return mt.missing_required(part, present)
+    """Resources that commands registered and no event ever named."""
+    registered = cm.context_registrations(cm.prepare_commands(_commands(spark, d)))
+    seen = ev.extract_resource_id(_events(spark, d)).where(F.col("resource_id").isNotNull())
+    return mt.missing_required(registered.select(F.col("resource_id").alias("name")), seen.select(F.col("resource_id").alias("name")))
 
 
 # --- metrics -------------------------------------------------------------------
@@ -394,22 +400,21 @@ def q_service_metrics(spark, d):
 
 # --- streaming (T1-T5): the router query fed with the table in time order ---
 
-_STREAM_RUNS: dict = {}
 STREAM_CHUNKS = 3
+REPLAY_TIMEOUT = "36500 days"  # replayed in big steps: requests wait until the flush
 
 
-def _stream_run(spark, d, stop_at_control=False):
+def _stream_run(spark, d, chunks=STREAM_CHUNKS, stop_at_control=False):
     from callroute.streaming import stream as sm
 
-    key = (id(spark), d, stop_at_control)
-    if key not in _STREAM_RUNS:
-        paths = sm.new_paths(spark, "router")
-        sm.feed_in_chunks(
-            spark, _events(spark, d), _commands(spark, d), paths, fx.ari_results(spark, d),
-            chunks=STREAM_CHUNKS, stop_at_control=stop_at_control,
-        )
-        _STREAM_RUNS[key] = paths
-    return _STREAM_RUNS[key]
+    paths = sm.new_paths(spark, "router")
+    sm.feed_in_chunks(
+        spark, _events(spark, d), _commands(spark, d), paths, fx.ari_result_messages(spark, d),
+        chunks=chunks, stop_at_control=stop_at_control, result_timeout=REPLAY_TIMEOUT,
+    )
+    if not stop_at_control:
+        sm.flush_pending(spark, paths)
+    return paths
 
 
 def q_stream_route_events(spark, d):
@@ -428,6 +433,27 @@ def q_stream_commands_to_requests(spark, d):
     )
 
 
+def q_stream_requests(spark, d):
+    """T2, first half: the HTTP requests that the router issues."""
+    from callroute.streaming import stream as sm
+
+    out = sm.read_output(spark, _stream_run(spark, d).requests_out)
+    return out.select("request_id", F.col("callContext").alias("call_context"), "method", "uri", F.col("request_body").alias("body"))
+
+
+def q_stream_quarantine(spark, d):
+    """T4: every message that the router could not route, counted by reason."""
+    from callroute.streaming import stream as sm
+
+    return mt.drop_counts(sm.read_output(spark, _stream_run(spark, d).quarantine_out))
+
+
+def q_quarantined_messages(spark, d):
+    """P8 of both batch jobs: every message that is not routed, with its reason."""
+    out = jobs.quarantined(_events(spark, d), _commands(spark, d), fx.ari_results(spark, d))
+    return out.select("processor", "reason", "seq", "raw")
+
+
 def q_tap_counts(spark, d):
     from callroute.streaming import stream as sm
 
@@ -441,6 +467,11 @@ def q_stop_on_control(spark, d):
     return sm.read_output(spark, paths.events_out).select("seq", "key", "type")
 
 
+def q_report_errors(spark, d):
+    """The merged error list as rows."""
+    return mt.report_errors(fx.probe_log(spark, d), ["service"])
+
+
 QUERIES = {
     "read_events": q_read_events,
     "read_commands": q_read_commands,
@@ -496,6 +527,10 @@ QUERIES = {
     "stream_commands_to_requests": q_stream_commands_to_requests,
     "tap_counts": q_tap_counts,
     "stop_on_control": q_stop_on_control,
+    "stream_requests": q_stream_requests,
+    "stream_quarantine": q_stream_quarantine,
+    "quarantined_messages": q_quarantined_messages,
+    "report_errors": q_report_errors,
 }
 
 __all__ = ["QUERIES"]

@@ -23,6 +23,7 @@ from callroute.sources.io import order_by_key
 
 COMMANDS_TOPIC = "commands"
 EVENTS_TOPIC = "events-and-responses"
+_HISTOGRAM = {f".{c}": c for c in ["count", "sum", "max", *mt.QUANTILES, *(f"le_{b}" for b in mt.DURATION_BUCKETS_MS)]}
 BASE_URI = "http://localhost:8088/ari"
 
 
@@ -30,7 +31,11 @@ def routed_events(events_raw: DataFrame, commands_raw: DataFrame, ttl=st.DEFAULT
     """Parsed events (control messages removed) with their resolved ``call_context``."""
     prepared = ev.prepare_events(events_raw)
     data, _control = ev.split_control(prepared)
-    regs = cm.context_registrations(cm.prepare_commands(commands_raw))
+    return attach_contexts(data, cm.context_registrations(cm.prepare_commands(commands_raw)), ttl)
+
+
+def attach_contexts(data: DataFrame, regs: DataFrame, ttl=st.DEFAULT_TTL) -> DataFrame:
+    """J3 for prepared events: adds ``call_context`` and ``context_written``."""
     ops = st.event_ops(data).unionByName(st.registration_ops(regs))
     resolved = (
         st.resolve_contexts(ops, ttl)
@@ -69,6 +74,17 @@ def route_events(
     return order_by_key(out)
 
 
+def quarantined(events_raw: DataFrame, commands_raw: DataFrame, results: DataFrame, ttl=st.DEFAULT_TTL, base_uri: str = BASE_URI) -> DataFrame:
+    """P8 of Q1 and Q2: ``processor, reason, seq, ts, raw`` of every message that gets no record."""
+    columns = ["seq", "ts", "raw"]
+    _good, bad = ev.quarantine(routed_events(events_raw, commands_raw, ttl))
+    cmds = cm.shape_requests(cm.prepare_commands(commands_raw), base_uri)
+    rejected = cmds.filter(F.col("reason").isNotNull())
+    odd = responses(commands_raw, results, base_uri).filter(F.col("response_reason").isNotNull())
+    side = lambda df, processor, reason: df.select(F.lit(processor).alias("processor"), F.col(reason).alias("reason"), *columns)
+    return side(bad, "event", "reason").unionByName(side(rejected, "commandResponse", "reason")).unionByName(side(odd, "commandResponse", "response_reason"))
+
+
 def responses(commands_raw: DataFrame, results: DataFrame, base_uri: str = BASE_URI) -> DataFrame:
     """Accepted commands with request, result and response payload."""
     cmds = cm.shape_requests(cm.prepare_commands(commands_raw), base_uri)
@@ -109,11 +125,7 @@ def service_metrics(
     tags: dict[str, str] | None = None,
     layer_split: datetime = datetime(2024, 1, 15),
 ) -> DataFrame:
-    """Q3: A1 + A2 + A3 + A4 + A5 + A6 + A8 (+ A9 tags) as ``metric, tags, value``.
-
-    Drop counts here cover the reasons known before context resolution
-    (Q1's quarantine adds ``no_context``).
-    """
+    """Q3: A1 + A2 + A3 + A4 + A5 + A6 + A8 (+ A9 tags) as ``metric, tags, value``."""
     # every measurement reads these two projections: compute each once
     prepared = materialize(
         ev.with_drop_reason(ev.prepare_events(events_raw)).select(
@@ -132,15 +144,14 @@ def service_metrics(
         mt.as_long(counts, f"{METRIC_PREFIX}.events", ["eventType", "resourceType"], {"": "n"}),
     ]
     rc = mt.request_counts(requests)
-    parts.append(mt.as_long(rc, f"{METRIC_PREFIX}.outgoing.requests", ["method", "path"], {"": "requests"}))
-    parts.append(mt.as_long(rc, f"{METRIC_PREFIX}.outgoing.requests.errors", ["method", "path"], {"": "errors"}))
+    parts.append(mt.as_long(rc, f"{METRIC_PREFIX}.outgoing.requests", ["method", "path"], {"": "requests", ".errors": "errors"}))
     rd = mt.request_durations(requests)
     parts.append(
         mt.as_long(
             rd,
             f"{METRIC_PREFIX}.outgoing.requests.duration",
             ["method", "path"],
-            {".count": "count", ".sum": "sum", ".max": "max", ".p50": "p50", ".p95": "p95", ".p99": "p99"},
+            _HISTOGRAM,
         )
     )
     writes = explicit_writes(prepared, regs)
@@ -156,14 +167,17 @@ def service_metrics(
             ls,
             f"{METRIC_PREFIX}.cache.read",
             [],
-            {".attempts": "attempts", ".misses": "misses"},
+            {".attempts": "attempts", ".misses": "misses", ".recent_hits": "recent_hits", ".base_hits": "base_hits"},
         )
     )
     wd = mt.write_durations(write_timings(regs, results))
     parts.append(
-        mt.as_long(wd, f"{METRIC_PREFIX}.persistence.write.duration", [], {".count": "count", ".sum": "sum", ".max": "max"})
+        mt.as_long(wd, f"{METRIC_PREFIX}.persistence.write.duration", [], _HISTOGRAM)
     )
-    drops = mt.drop_counts(dropped_messages(prepared, cmds))
+    routed = attach_contexts(ev.split_control(prepared)[0], regs)
+    no_context = F.when(F.col("resource_id").isNotNull() & F.col("call_context").isNull(), F.lit("no_context"))
+    routed = routed.withColumn("reason", F.coalesce("reason", no_context))
+    drops = mt.drop_counts(dropped_messages(routed, cmds))
     parts.append(mt.as_long(drops, f"{METRIC_PREFIX}.processor.drops", ["processor", "reason"], {"": "n"}))
     av = mt.availability(probes).withColumnRenamed("service", "backing_service")
     parts.append(mt.as_long(av, f"{METRIC_PREFIX}.backing_service.availability", ["backing_service"], {"": "value"}))
@@ -190,7 +204,7 @@ def explicit_writes(prepared_events: DataFrame, registrations: DataFrame) -> Dat
 def write_timings(registrations: DataFrame, results: DataFrame) -> DataFrame:
     """State writes of registrations with the duration of their request."""
     return registrations.join(
-        results.select(F.col("request_id").alias("seq"), "duration_ms"), "seq", "inner"
+        results.select("request_id", "duration_ms"), "request_id", "inner"
     )
 
 

@@ -122,7 +122,7 @@ cq as (
 RESULTS = f"""
 rs as ({duck_sql('ari_results')})"""
 
-REQUESTS = f"""{COMMANDS},{RESULTS},
+RESULTS_PAY = f"""{RESULTS},
 req as (
  select c.*, coalesce(r.status, 500) as status_code, r.status is null as is_error, r.result_body, r.duration_ms,
   coalesce(m.template, 'UNKNOWN') as metric_path
@@ -134,6 +134,8 @@ pay as (
   case when result_body is not null and trim(result_body) <> '' and json_valid(result_body) = false then 'bad_response_body' end as response_reason
  from req)"""
 
+REQUESTS = f"{COMMANDS},{RESULTS_PAY}"
+
 REGS = """
 regs as (
  select created_id as resource_id, call_context, ts, 0 as src, seq from cq where is_creation and reason is null)"""
@@ -202,8 +204,8 @@ rq as (select *, coalesce(reason, case when call_context is null then 'no_contex
 ORACLE = {
     "read_events": f"select * from ({duck_sql('ari_events')})",
     "read_commands": f"select * from ({duck_sql('ari_commands')})",
-    "message_types": f"with {_mt()} select coalesce(resource_type, 'NONE') as resource_type, count(*) as n from mt group by 1",
-    "routes": f"with {_rt()} select command_type, creates, count(*) as n from rt group by 1, 2",
+    "message_types": f"with {EVENTS} select mt.type, mt.resource_type, mt.id_path, (select count(*) from ev0 where ev0.wire_type = mt.wire_type) as n from mt",
+    "routes": f"with {COMMANDS} select template, command_type, creates, (select count(*) from cmt where cmt.template = rt.template) as n from rt",
     "parse_messages": f"with {EVENTS} select seq, wt = '#malformed' as malformed from ev",
     "text_at": f"""with {EVENTS} select seq, channel_id,
         case when wt = 'Dial' then 'ch-' || user_id end as peer_id,
@@ -245,7 +247,7 @@ ORACLE = {
     "expire_state": f"with {EVENTS},{COMMANDS},{REGS},{WRITES} select * from state where written_at >= (select max(ts) from events) - interval 6 hour",
     "lookup_state": f"with {EVENTS},{COMMANDS},{REGS},{WRITES} select e.seq, e.resource_id, s.call_context from evq e left join state s using (resource_id) where e.reason is null and e.resource_id is not null",
     "lookup_layered": f"with {EVENTS},{COMMANDS},{REGS},{WRITES},{LAYERS} select * from lk",
-    "missing_required": "select distinct p_name as name from part where p_name not in (select p.p_name from part p where p.p_partkey in (select l_partkey from lineitem))",
+    "missing_required": f"with {EVENTS},{COMMANDS},{REGS} select distinct resource_id as name from regs where resource_id not in (select resource_id from evr where resource_id is not null)",
     "event_counts": f"with {EVENTS} select mt.type, coalesce(mt.resource_type, 'NONE') as resource_type, count(ev.seq) as n from mt left join ev on ev.type = mt.type group by 1, 2",
     "request_counts": f"with {REQUESTS} select method, metric_path as path, count(*) as requests, count_if(is_error) as errors from req group by 1, 2",
     "request_durations": f"with {REQUESTS} select method, metric_path as path, {HIST} from req group by 1, 2",
@@ -269,6 +271,9 @@ ORACLE = {
 }
 
 
+LE = [(f".le_{b}", f"count_if(duration_ms <= {b})") for b in (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)]
+
+
 def _service_metrics() -> str:
     parts = [
         f"""select 'callroute.events' as metric, 'eventType=' || mt.type || ',resourceType=' || coalesce(mt.resource_type, 'NONE') as tags,
@@ -278,23 +283,27 @@ def _service_metrics() -> str:
     ]
     for suffix, agg in [(".count", "count(duration_ms)"), (".sum", "sum(duration_ms)"), (".max", "max(duration_ms)"),
                         (".p50", "quantile_cont(duration_ms, 0.5)"), (".p95", "quantile_cont(duration_ms, 0.95)"),
-                        (".p99", "quantile_cont(duration_ms, 0.99)")]:
+                        (".p99", "quantile_cont(duration_ms, 0.99)"), *LE]:
         parts.append(f"select 'callroute.outgoing.requests.duration{suffix}', 'method=' || method || ',path=' || metric_path, {agg} from req group by method, metric_path")
     parts += [
         "select 'callroute.cache.read.attempts', '', count(*) from lk",
         "select 'callroute.cache.read.misses', '', count_if(layer is null) from lk",
+        "select 'callroute.cache.read.recent_hits', '', count_if(layer = 'recent') from lk",
+        "select 'callroute.cache.read.base_hits', '', count_if(layer = 'base') from lk",
     ]
-    for suffix, agg in [(".count", "count(duration_ms)"), (".sum", "sum(duration_ms)"), (".max", "max(duration_ms)")]:
+    for suffix, agg in [(".count", "count(duration_ms)"), (".sum", "sum(duration_ms)"), (".max", "max(duration_ms)"),
+                        (".p50", "quantile_cont(duration_ms, 0.5)"), (".p95", "quantile_cont(duration_ms, 0.95)"),
+                        (".p99", "quantile_cont(duration_ms, 0.99)"), *LE]:
         parts.append(f"select 'callroute.persistence.write.duration{suffix}', '', {agg} from regs join rs on rs.request_id = regs.seq")
     parts += [
         """select 'callroute.processor.drops', 'processor=' || processor || ',reason=' || reason, count(*) from (
-            select 'event' as processor, reason from evq where reason is not null
+            select 'event' as processor, reason2 as reason from rq where reason2 is not null
             union all select 'commandResponse', reason from cq where reason is not null) group by processor, reason""",
         """select 'callroute.backing_service.availability', 'backing_service=' || service,
             arg_max(case when n_errors = 0 then 1 else 0 end, (ts, case when n_errors = 0 then 1 else 0 end)) from probes group by service""",
     ]
     body = "\nunion all ".join(parts)
-    return f"""with {EVENTS},{REQUESTS},{REGS},{WRITES},{LAYERS},{PROBES},
+    return f"""{ROUTED},{RESULTS_PAY},{WRITES},{LAYERS},{PROBES},
         m(metric, tags, value) as ({body})
         select metric, tags, cast(value as double) as value, 'callroute' as service, 'test' as env from m"""
 
@@ -305,3 +314,15 @@ ORACLE["service_metrics"] = _service_metrics()
 ORACLE["stream_route_events"] = ORACLE["route_events"]
 ORACLE["stream_commands_to_requests"] = ORACLE["route_responses"]
 ORACLE["tap_counts"] = ORACLE["event_counts"]
+ORACLE["stream_requests"] = f"with {COMMANDS} select request_id, call_context, method, 'http://localhost:8088/ari' || url as uri, body from cq where reason is null"
+LOST = f"""{ROUTED},{RESULTS_PAY}, lost as (
+ select 'event' as processor, reason2 as reason, seq from rq where reason2 is not null
+ union all select 'commandResponse', reason, seq from cq where reason is not null
+ union all select 'commandResponse', response_reason, seq from pay where response_reason is not null)"""
+ORACLE["stream_quarantine"] = f"{LOST}, unclaimed as (select request_id from rs where request_id not in (select request_id from req)), every as (select processor, reason from lost union all select 'commandResponse', 'unclaimed_result' from unclaimed) select processor, reason, count(*) as n from every group by 1, 2"
+ORACLE["quarantined_messages"] = f"""{LOST}, texts as (select 'event' as processor, seq, raw from ({duck_sql('ari_events')}) union all select 'commandResponse', seq, raw from ({duck_sql('ari_commands')}))
+ select processor, reason, seq, raw from lost join texts using (processor, seq)"""
+ORACLE["report_errors"] = f"with {PROBES} select service, 'probe of ' || service || ' failed' as error, count(*) as n from probes where n_errors > 0 group by 1"
+ORACLE["stop_on_control"] = f"""{ROUTED}, stop as (select ts, seq from ev where type = 'APPLICATION_REPLACED' order by ts, seq limit 1)
+ select rq.seq, rq.call_context as key, rq.type from rq left join stop on true
+ where rq.reason2 is null and (stop.ts is null or (rq.ts, rq.seq) < (stop.ts, stop.seq))"""

@@ -125,6 +125,15 @@ def ari_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RESULTS.replace("{lineitem}", "{t}"), t=table(spark, sf_dir, "lineitem"))
 
 
+def ari_result_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The HTTP results as messages that arrive 36 hours after their request, thus often in a later batch."""
+    at = TS_SPARK.replace("o_orderkey", "request_id")
+    return ari_results(spark, sf_dir).selectExpr(
+        "request_id", "request_id as seq", f"{at} + interval 36 hours as ts", "cast(status as int) as status",
+        "result_body", "cast(duration_ms as double) as duration_ms",
+    )
+
+
 def probe_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe log ``(ts, service, errors array<string>)`` for the audits."""
     base = spark.sql(PROBE_BASE.replace("{events}", "{t}"), t=table(spark, sf_dir, "events"))

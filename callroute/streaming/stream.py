@@ -1,27 +1,41 @@
 """The router as one Structured Streaming query.
 
-Events and commands are read as one stream (``unionByName``) so the call
-context state has a single writer. Every micro-batch runs the batch
-operators through ``foreachBatch``:
+Events, commands and HTTP results are read as one stream (``unionByName``) so
+the state has a single writer. Every micro-batch runs the batch operators
+through ``foreachBatch``:
 
 1. load the state version of the last committed batch (parquet under
-   ``state/batch=<id>``); stored entries re-enter the fold as writes at their
-   ``written_at``;
-2. resolve contexts (J3) for the batch, build event envelopes (T1) and
-   response envelopes (T2), count the events before any drop (T3);
+   ``state/batch=<id>``); entries of the batch's ids re-enter the fold as
+   writes at their ``written_at``;
+2. resolve contexts (J3) and write event envelopes (T1), requests and response
+   envelopes (T2), event counts before any drop (T3) and quarantined rows (T4);
 3. write state and outputs under ``batch=<id>`` with overwrite, so a replay of
    the same batch after a failure rewrites the same files (idempotent);
-4. remember whether a control message (ApplicationReplaced) arrived (T5).
-
-Bad rows never raise (null-safe parsing + quarantine, T4).
+4. leave a mark if a control message (ApplicationReplaced) arrived (T5).
+
+Time: the clock of a batch is the median time stamp of its rows. It never goes
+back and moves on by at most ``max_step`` a batch, so a few rows dated in the
+future can't expire anything. State is kept for ``ttl + lateness`` by that
+clock. An op older than the stored write of its id is late: it reads the stored
+context where its own time has none, never creates one, and its record says
+``late``.
+
+Results: a request waits in ``pending`` until its result arrives or the clock is
+``result_timeout`` past its time stamp; then it is published as failed. Results
+that come before their request wait alike; those that no request claims in
+time end in the quarantine. ``flush_pending`` settles what waits when a router
+is shut down for good.
+
+Bad rows never raise: they are written with their reason (T4).
 """
 
 from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callroute.operators import commands as cm
@@ -33,6 +47,12 @@ from callroute.session import checkpoint_dir
 from callroute.sources import io
 
 STATE_SCHEMA = "resource_id string, call_context string, written_at timestamp_ntz"
+CLOCK_SCHEMA = "clock timestamp_ntz"
+PENDING_SCHEMA = "seq bigint, ts timestamp_ntz, request_id bigint, raw string"
+LATENESS = "1 hour"
+MAX_STEP = "1 hour"
+RESULT_TIMEOUT = "10 minutes"
+_VERSIONS_KEPT = 3  # a replayed batch needs the version before it
 
 
 @dataclass
@@ -41,78 +61,195 @@ class RouterPaths:
 
     root: str
     state: str = field(init=False)
+    clock: str = field(init=False)
+    pending: str = field(init=False)
+    unclaimed: str = field(init=False)
     events_out: str = field(init=False)
+    requests_out: str = field(init=False)
     responses_out: str = field(init=False)
     counts_out: str = field(init=False)
+    quarantine_out: str = field(init=False)
     control_out: str = field(init=False)
     checkpoint: str = field(init=False)
 
     def __post_init__(self):
         r = self.root.rstrip("/")
         self.state = f"{r}/state"
+        self.clock = f"{r}/clock"
+        self.pending = f"{r}/pending"
+        self.unclaimed = f"{r}/unclaimed"
         self.events_out = f"{r}/out/events"
+        self.requests_out = f"{r}/out/requests"
         self.responses_out = f"{r}/out/responses"
         self.counts_out = f"{r}/out/counts"
+        self.quarantine_out = f"{r}/out/quarantine"
         self.control_out = f"{r}/out/control"
         self.checkpoint = f"{r}/checkpoint"
 
 
-def _list_batches(spark: SparkSession, path: str) -> list[int]:
-    """Committed batch ids under ``path`` (folders ``batch=<id>``)."""
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+def _folder(spark: SparkSession, path: str):
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Batch ids under ``path`` (folders ``batch=<id>``), newest first."""
+    fs, hpath = _folder(spark, path)
     if not fs.exists(hpath):
         return []
-    ids = []
-    for status in fs.listStatus(hpath):
-        name = status.getPath().getName()
-        if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            ids.append(int(name.split("=", 1)[1]))
-    return sorted(ids)
+    names = [s.getPath().getName() for s in fs.listStatus(hpath)]
+    return sorted((int(n.split("=", 1)[1]) for n in names if n.startswith("batch=")), reverse=True)
+
+
+def _committed(spark: SparkSession, path: str, batch_id: int) -> bool:
+    fs, hpath = _folder(spark, f"{path}/batch={batch_id}/_SUCCESS")
+    return fs.exists(hpath)
+
+
+def _load(spark: SparkSession, path: str, schema: str, before_batch: int) -> DataFrame:
+    """The version written by the latest committed batch before ``before_batch``."""
+    for b in _batches(spark, path):
+        if b < before_batch and _committed(spark, path, b):
+            return spark.read.schema(schema).parquet(f"{path}/batch={b}")
+    return spark.createDataFrame([], schema)
+
+
+def _save(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def _forget(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Deletes versions that no replay can need any more."""
+    for b in _batches(spark, path):
+        if b <= batch_id - _VERSIONS_KEPT:
+            fs, old = _folder(spark, f"{path}/batch={b}")
+            fs.delete(old, True)
 
 
 def load_state(spark: SparkSession, paths: RouterPaths, before_batch: int) -> DataFrame:
-    """The state written by the latest committed batch before ``before_batch``."""
-    done = [b for b in _list_batches(spark, paths.state) if b < before_batch]
-    if not done:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{paths.state}/batch={done[-1]}")
+    """The call contexts as of the latest committed batch before ``before_batch``."""
+    return _load(spark, paths.state, STATE_SCHEMA, before_batch)
+
+
+def next_clock(previous: datetime | None, median: datetime | None, max_step=MAX_STEP) -> datetime | None:
+    """The batch's clock: its median time stamp, monotone and at most ``max_step`` ahead of the last."""
+    if previous is None or median is None:
+        return previous or median
+    return max(previous, min(median, previous + timedelta(microseconds=st.ttl_micros(max_step))))
+
+
+def batch_clock(spark: SparkSession, batch: DataFrame, paths: RouterPaths, batch_id: int, max_step=MAX_STEP) -> datetime | None:
+    """Moves the clock on by one batch and stores it (one row)."""
+    last = _load(spark, paths.clock, CLOCK_SCHEMA, batch_id).first()
+    middle = batch.agg(F.percentile_approx(st.micros(F.col("ts")), 0.5).alias("m")).first().m
+    median = None if middle is None else datetime(1970, 1, 1) + timedelta(microseconds=middle)
+    clock = next_clock(last.clock if last else None, median, max_step)
+    _save(spark.range(1).select(st.ntz_lit(clock).alias("clock")), paths.clock, batch_id)
+    return clock
+
+
+def resolve_with_state(ops: DataFrame, state: DataFrame, ttl=st.DEFAULT_TTL) -> DataFrame:
+    """J3 over the ops of a batch and the stored state of their ids.
+
+    Adds ``late``: the op is older than the stored write. A late op that finds
+    no context of its own time gets the stored one; a late create is a lookup.
+    """
+    stored = state.join(ops.select(F.col("rid").alias("resource_id")).distinct(), "resource_id", "left_semi")
+    marks = stored.select(F.col("resource_id").alias("rid"), "call_context", "written_at")
+    known = ops.join(marks, "rid", "left").withColumn("late", F.coalesce(F.col("ts") < F.col("written_at"), F.lit(False)))
+    fold = known.withColumn("k", F.when(F.col("late") & (F.col("k") == "create"), F.lit("lookup")).otherwise(F.col("k")))
+    resolved = st.resolve_contexts(fold.select(*ops.columns).unionByName(st.state_ops(stored)), ttl).filter("src >= 0")
+    resolved = resolved.join(marks.withColumnRenamed("call_context", "_stored"), "rid", "left")
+    late = F.coalesce(F.col("ts") < F.col("written_at"), F.lit(False))
+    return resolved.select(
+        "rid", "ts", "src", "seq", "k", "written", late.alias("late"),
+        F.coalesce("call_context", F.when(late, F.col("_stored"))).alias("call_context"),
+    )
+
+
+def _quarantined(df: DataFrame, processor: str, reason: str = "reason") -> DataFrame:
+    return df.select(F.lit(processor).alias("processor"), F.col(reason).alias("reason"), "seq", "ts", "raw")
+
+
+def settle(commands: DataFrame, results: DataFrame, overdue: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answered, waiting, unclaimed): requests with their result or overdue, requests that wait, results without a request.
+
+    Of several results of one request the earliest counts.
+    """
+    one = results.groupBy("request_id").agg(F.min_by(F.struct(*[c for c in results.columns if c != "request_id"]), F.struct("ts", "seq")).alias("r"))
+    one = one.select("request_id", "r.*")
+    there = one.select("request_id", F.lit(True).alias("_there"))
+    known = commands.join(there, "request_id", "left")
+    is_due = F.col("_there").isNotNull() | F.coalesce(overdue, F.lit(False))
+    due = known.filter(is_due).drop("_there")
+    waiting = known.filter(~is_due).drop("_there")
+    unclaimed = one.join(commands.select("request_id"), "request_id", "left_anti")
+    return cm.correlate_results(due, one), waiting, unclaimed.select(*results.columns)
+
+
+def _respond(answered: DataFrame, commands_topic: str, events_topic: str) -> tuple[DataFrame, DataFrame]:
+    """(response records, rows whose result is no JSON)."""
+    pay = cm.response_payloads(answered)
+    env = cm.response_envelopes(pay.filter(F.col("response_reason").isNull()), commands_topic).select(
+        F.lit(events_topic).alias("topic"),
+        F.col("callContext").alias("key"),
+        "value",
+        "ts",
+        F.lit(0).alias("src"),
+        "seq",
+        "request_id",
+        "status_code",
+        "commandId",
+        cm.flatten_resources(F.col("relations")).alias("resources"),
+    )
+    return env, _quarantined(pay.filter(F.col("response_reason").isNotNull()), "commandResponse", "response_reason")
 
 
 def process_batch(
     batch: DataFrame,
     batch_id: int,
     paths: RouterPaths,
-    results: DataFrame | None = None,
     ttl=st.DEFAULT_TTL,
     base_uri: str = jobs.BASE_URI,
     commands_topic: str = jobs.COMMANDS_TOPIC,
     events_topic: str = jobs.EVENTS_TOPIC,
+    stop_at_control: bool = False,
+    lateness=LATENESS,
+    max_step=MAX_STEP,
+    result_timeout=RESULT_TIMEOUT,
 ) -> None:
-    """The body of the ``foreachBatch`` sink (T1 + T2 + T3 + T5)."""
+    """The body of the ``foreachBatch`` sink.
+
+    ``stop_at_control``: events at or after the first control message, by
+    ``(ts, seq)``, are not routed.
+    """
     spark = batch.sparkSession
     batch = batch.persist()
-    events_raw = batch.filter(F.col("src") == 1).select("seq", "ts", "raw")
-    commands_raw = batch.filter(F.col("src") == 0).select("seq", "ts", "request_id", "raw")
+    prepared = ev.prepare_events(batch.filter(F.col("src") == 1).select("seq", "ts", "raw")).persist()
+    commands = batch.filter(F.col("src") == 0).select("seq", "ts", "request_id", "raw").withColumn("waited", F.lit(False))
+    waited = _load(spark, paths.pending, PENDING_SCHEMA, batch_id).withColumn("waited", F.lit(True))
+    all_cmds = cm.shape_requests(cm.prepare_commands(commands.unionByName(waited)), base_uri).persist()
+    cmds = all_cmds.filter(~F.col("waited"))
+    clock = batch_clock(spark, batch, paths, batch_id, max_step)
 
-    prepared = ev.prepare_events(events_raw)
     # Counts before any drop
-    mt.event_counts(prepared).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-        f"{paths.counts_out}/batch={batch_id}"
-    )
+    _save(mt.event_counts(prepared).withColumn("batch_id", F.lit(batch_id)), paths.counts_out, batch_id)
     data, control = ev.split_control(prepared)
-    control.select("seq", "ts").write.mode("overwrite").parquet(f"{paths.control_out}/batch={batch_id}")
+    at = F.struct("ts", "seq")
+    first = control.agg(F.min(at).alias("at")).first().at
+    if stop_at_control:
+        if any(b < batch_id for b in _batches(spark, paths.control_out)):
+            data = data.filter(F.lit(False))
+        elif first is not None:
+            data = data.filter(at < F.struct(st.ntz_lit(first.ts).alias("ts"), F.lit(first.seq).alias("seq")))
 
     state = load_state(spark, paths, batch_id)
-    cmds = cm.shape_requests(cm.prepare_commands(commands_raw), base_uri)
-    regs = cm.context_registrations(cmds)
-    ops = st.event_ops(data).unionByName(st.registration_ops(regs)).unionByName(st.state_ops(state))
-    resolved = st.resolve_contexts(ops, ttl)
+    ops = st.event_ops(data).unionByName(st.registration_ops(cm.context_registrations(cmds)))
+    resolved = resolve_with_state(ops, state, ttl).persist()
 
     # Event envelopes
-    ev_ctx = resolved.filter(F.col("src") == 1).select("seq", F.col("rid").alias("resource_id"), "call_context")
-    good, _bad = ev.quarantine(data.join(ev_ctx, ["seq", "resource_id"], "left"))
+    ev_ctx = resolved.filter(F.col("src") == 1).select("seq", F.col("rid").alias("resource_id"), "call_context", "late")
+    good, bad_events = ev.quarantine(data.join(ev_ctx, ["seq", "resource_id"], "left"))
     env = ev.event_envelopes(good, commands_topic).select(
         F.lit(events_topic).alias("topic"),
         F.col("call_context").alias("key"),
@@ -123,46 +260,76 @@ def process_batch(
         "type",
         "resource_type",
         "resource_id",
+        "late",
     )
-    io.order_by_key(env).write.mode("overwrite").parquet(f"{paths.events_out}/batch={batch_id}")
-
-    # Response envelopes
-    if results is not None:
-        accepted = cmds.filter(F.col("reason").isNull())
-        pay = cm.response_payloads(cm.correlate_results(accepted, results)).filter(
-            F.col("response_reason").isNull()
-        )
-        renv = cm.response_envelopes(pay, commands_topic).select(
-            F.lit(events_topic).alias("topic"),
-            F.col("callContext").alias("key"),
-            "value",
-            "ts",
-            F.lit(0).alias("src"),
-            "seq",
-            "request_id",
-            "status_code",
-            "commandId",
-            cm.flatten_resources(F.col("relations")).alias("resources"),
-        )
-        io.order_by_key(renv).write.mode("overwrite").parquet(f"{paths.responses_out}/batch={batch_id}")
+    _save(io.order_by_key(env), paths.events_out, batch_id)
+
+    # Requests, and responses to those whose result is there or overdue
+    accepted = cmds.filter(F.col("reason").isNull())
+    requests = accepted.select("request_id", "ts", "callContext", "method", "uri", "request_body")
+    _save(requests, paths.requests_out, batch_id)
+    results = batch.filter(F.col("src") == 2).select(*io.RESULT_COLUMNS)
+    results = _load(spark, paths.unclaimed, io.RAW_RESULT_SCHEMA, batch_id).unionByName(results)
+    due = st.ntz_lit(clock) - F.expr(f"interval {st.ttl_micros(result_timeout)} microseconds")
+    answered, waiting, unclaimed = settle(all_cmds.filter(F.col("reason").isNull()), results, F.col("ts") < due)
+    renv, bad_results = _respond(answered, commands_topic, events_topic)
+    _save(io.order_by_key(renv), paths.responses_out, batch_id)
+    _save(waiting.select("seq", "ts", "request_id", "raw"), paths.pending, batch_id)
+    too_old = F.coalesce(F.col("ts") < due, F.lit(False))
+    _save(unclaimed.filter(~too_old), paths.unclaimed, batch_id)
+
+    # T4: what was not routed, with its reason
+    lost = unclaimed.filter(too_old).select(F.lit("unclaimed_result").alias("reason"), "seq", "ts", F.col("result_body").alias("raw"))
+    quarantine = (
+        _quarantined(bad_events, "event")
+        .unionByName(_quarantined(cmds.filter(F.col("reason").isNotNull()), "commandResponse"))
+        .unionByName(bad_results)
+        .unionByName(_quarantined(lost, "commandResponse"))
+    )
+    _save(quarantine, paths.quarantine_out, batch_id)
 
-    # new state: latest write per id, compacted by expiry at the batch's newest instant
-    writes = resolved.filter(F.col("written") & (F.col("src") >= 0)).select(
+    # new state: latest write per id, compacted by the clock
+    writes = resolved.filter(F.col("written")).select(
         F.col("rid").alias("resource_id"), "call_context", "ts", "src", "seq"
     )
     new_state = st.upsert_latest(state, writes)
-    now = batch.agg(F.max("ts")).collect()[0][0]
-    if now is not None:
-        new_state = st.expire_state(new_state, now, ttl)
-    new_state.write.mode("overwrite").parquet(f"{paths.state}/batch={batch_id}")
-    batch.unpersist()
-
-
-def router_stream(events: DataFrame, commands: DataFrame) -> DataFrame:
-    """One streaming frame of both inputs: ``src`` 0 = command, 1 = event."""
-    e = events.select("seq", "ts", F.lit(None).cast("long").alias("request_id"), "raw", F.lit(1).alias("src"))
+    if clock is not None:
+        new_state = st.expire_state(new_state, clock, st.ttl_micros(ttl) + st.ttl_micros(lateness))
+    _save(new_state, paths.state, batch_id)
+    # T5: the mark comes last, so what stops the query finds the batch complete
+    if first is not None:
+        _save(control.select("seq", "ts", "raw"), paths.control_out, batch_id)
+    for versions in (paths.state, paths.clock, paths.pending, paths.unclaimed):
+        _forget(spark, versions, batch_id)
+    for cached in (resolved, all_cmds, prepared, batch):
+        cached.unpersist()
+
+
+def flush_pending(spark: SparkSession, paths: RouterPaths, base_uri: str = jobs.BASE_URI, commands_topic: str = jobs.COMMANDS_TOPIC, events_topic: str = jobs.EVENTS_TOPIC) -> None:
+    """Settles what waits when no more input comes: requests fail, results go to the quarantine.
+
+    To be called once, on a router that has stopped and won't go on.
+    """
+    done = max(_batches(spark, paths.state), default=-1) + 1
+    waited = _load(spark, paths.pending, PENDING_SCHEMA, done)
+    cmds = cm.shape_requests(cm.prepare_commands(waited), base_uri)
+    results = _load(spark, paths.unclaimed, io.RAW_RESULT_SCHEMA, done)
+    answered, _none, unclaimed = settle(cmds, results, F.lit(True))
+    renv, bad_results = _respond(answered, commands_topic, events_topic)
+    lost = unclaimed.select(F.lit("unclaimed_result").alias("reason"), "seq", "ts", F.col("result_body").alias("raw"))
+    _save(io.order_by_key(renv), f"{paths.responses_out}/flush=1", done)
+    _save(bad_results.unionByName(_quarantined(lost, "commandResponse")), f"{paths.quarantine_out}/flush=1", done)
+
+
+def router_stream(events: DataFrame, commands: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """One streaming frame of all inputs: ``src`` 0 = command, 1 = event, 2 = result."""
+    none = lambda kind: F.lit(None).cast(kind)
+    e = events.select("seq", "ts", none("long").alias("request_id"), "raw", F.lit(1).alias("src"))
     c = commands.select("seq", "ts", "request_id", "raw", F.lit(0).alias("src"))
-    return c.unionByName(e)
+    both = c.unionByName(e).withColumns({"status": none("int"), "result_body": none("string"), "duration_ms": none("double")})
+    if results is None:
+        return both
+    return both.unionByName(results.select(*io.RESULT_COLUMNS, none("string").alias("raw"), F.lit(2).alias("src")))
 
 
 def start_router(
@@ -171,13 +338,13 @@ def start_router(
     commands: DataFrame,
     paths: RouterPaths,
     results: DataFrame | None = None,
-    ttl=st.DEFAULT_TTL,
     available_now: bool = True,
+    **options,
 ):
-    """Start the router query (checkpointed offsets, idempotent sinks)."""
+    """Start the router query (checkpointed offsets, idempotent sinks); ``options`` as of ``process_batch``."""
     writer = (
-        router_stream(events, commands)
-        .writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, paths, results, ttl))
+        router_stream(events, commands, results)
+        .writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, paths, **options))
         .option("checkpointLocation", paths.checkpoint)
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -185,25 +352,22 @@ def start_router(
 
 
 def control_seen(spark: SparkSession, paths: RouterPaths) -> bool:
-    """T5: has any committed batch carried a control message?"""
-    for b in _list_batches(spark, paths.control_out):
-        if spark.read.parquet(f"{paths.control_out}/batch={b}").limit(1).count() > 0:
-            return True
-    return False
+    """T5: has any complete batch carried a control message?"""
+    return any(_committed(spark, paths.control_out, b) for b in _batches(spark, paths.control_out))
 
 
 def stop_on_control(query, spark: SparkSession, paths: RouterPaths, poll_seconds: float = 1.0) -> bool:
     """T5: stop the query once a control message has been processed.
 
-    The batch carrying it completes (its outputs are written) before the
-    query is stopped, so in-flight work is finished first. Returns whether a
-    control message stopped the query.
+    The batch carrying it is complete (its outputs are written) before the
+    query is stopped. Returns whether a control message was seen.
     """
-    while query.isActive:
-        if control_seen(spark, paths):
-            query.stop()
-            return True
+    while query.isActive and not control_seen(spark, paths):
         query.awaitTermination(poll_seconds)
+    if control_seen(spark, paths):
+        query.stop()
+    if query.exception() is not None:
+        raise query.exception()
     return control_seen(spark, paths)
 
 
@@ -214,7 +378,8 @@ def tap_counts(spark: SparkSession, paths: RouterPaths) -> DataFrame:
 
 
 def read_output(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch")
+    """All records below an output folder, those of a flush too."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(path)
 
 
 def feed_in_chunks(
@@ -224,42 +389,41 @@ def feed_in_chunks(
     paths: RouterPaths,
     results: DataFrame | None,
     chunks: int = 3,
-    ttl=st.DEFAULT_TTL,
-    stop_at_control: bool = False,
+    **options,
 ) -> int:
-    """Replay a table as ``chunks`` arrivals in time order through the router.
+    """Replay tables as ``chunks`` arrivals in time order through the router.
 
     Each arrival is written (in parallel) as new files of the input folders,
     then the query restarts from its checkpoint with ``availableNow`` and
-    processes exactly the new files. Returns the number of chunks consumed.
+    processes exactly the new files; a control message ends the replay if the
+    router is to stop at one. Returns the number of chunks consumed.
     """
-    lo, hi = events_raw.select(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()[0]
-    clo, chi = commands_raw.select(F.min("ts"), F.max("ts")).collect()[0]
-    lo = min(x for x in (lo, clo) if x is not None)
-    hi = max(x for x in (hi, chi) if x is not None)
+    inputs = {"events": events_raw, "commands": commands_raw}
+    if results is not None:
+        inputs["results"] = results
+    spans = [df.select(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first() for df in inputs.values()]
+    lo = min(s.lo for s in spans if s.lo is not None)
+    hi = max(s.hi for s in spans if s.hi is not None)
     step = (hi - lo) / chunks
-    ev_dir = f"{paths.root}/in/events"
-    cmd_dir = f"{paths.root}/in/commands"
-    consumed = 0
     for k in range(chunks):
-        a = lo + step * k
-        b = hi if k == chunks - 1 else lo + step * (k + 1)
-        cond = lambda df: (F.col("ts") >= st.ntz_lit(a)) & ((F.col("ts") < st.ntz_lit(b)) | F.lit(k == chunks - 1))
-        events_raw.filter(cond(events_raw)).write.mode("append").parquet(ev_dir)
-        commands_raw.filter(cond(commands_raw)).write.mode("append").parquet(cmd_dir)
+        since, until = F.col("ts") >= st.ntz_lit(lo + step * k), F.col("ts") < st.ntz_lit(lo + step * (k + 1))
+        arrived = since & (until | F.lit(k == chunks - 1))
+        for name, df in inputs.items():
+            df.filter(arrived).write.mode("append").parquet(f"{paths.root}/in/{name}")
         q = start_router(
             spark,
-            io.stream_events(spark, ev_dir),
-            io.stream_commands(spark, cmd_dir),
+            io.stream_events(spark, f"{paths.root}/in/events"),
+            io.stream_commands(spark, f"{paths.root}/in/commands"),
             paths,
-            results,
-            ttl,
+            io.stream_results(spark, f"{paths.root}/in/results") if results is not None else None,
+            **options,
         )
-        q.awaitTermination()
-        consumed += 1
-        if stop_at_control and control_seen(spark, paths):
-            break
-    return consumed
+        if options.get("stop_at_control"):
+            if stop_on_control(q, spark, paths):
+                return k + 1
+        else:
+            q.awaitTermination()
+    return chunks
 
 
 def new_paths(spark: SparkSession, name: str) -> RouterPaths:
