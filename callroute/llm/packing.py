@@ -9,6 +9,7 @@ their length.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 _CACHE_WORDS = 500_000
-_AT_ONCE = 4_000
+_LINE = 50  # words encoded as one text: longer ones cost more a word
 _BETWEEN = "\x01"  # stands between words that are encoded together
 _OPEN: dict[str, Tokenizer] = {}
 
@@ -34,7 +35,8 @@ class Tokenizer:
     are its words' ids in order, and each distinct word is encoded once while
     a worker remembers it. Words are encoded many at a time, with a sign
     between them to tell their ids apart; words that hold the sign or a
-    special token are encoded alone.
+    special token are encoded alone. Where the tokenizer lower-cases, words
+    are told apart by their lower-case form, unless that holds a special token.
     """
 
     def __init__(self, path: str):
@@ -42,6 +44,8 @@ class Tokenizer:
         sign = self.encoder.encode(_BETWEEN, add_special_tokens=False).ids
         self.between = sign[0] if len(sign) == 1 else None
         self.odd = [x.encode() for x in (_BETWEEN, *(t.content for t in self.encoder.get_added_tokens_decoder().values()))]
+        normalizer = json.loads(self.encoder.to_str())["normalizer"] or {}
+        self.lower = any(n["type"] == "Lowercase" for n in normalizer.get("normalizers", [normalizer]) if n)
         self.forget()
 
     @staticmethod
@@ -54,6 +58,17 @@ class Tokenizer:
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.table, self.size = np.empty(0, "<u4"), np.empty(0, np.int64)
+        self.used = np.empty(0, bool)  # of the known words: needed since the last time that some were forgotten
+
+    def forget_unused(self) -> None:
+        """Keeps the words that were needed lately, half as many as may be known at most."""
+        kept = np.flatnonzero(self.used)[: _CACHE_WORDS // 2]
+        place = np.full(len(self.size), -1)
+        place[kept] = np.arange(len(kept))
+        start, size = (np.cumsum(self.size) - self.size)[kept], self.size[kept]
+        self.known = {w: place[i] for w, i in self.known.items() if place[i] >= 0}
+        self.table = self.table[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
+        self.size, self.used = size, np.zeros(len(kept), bool)
 
     def learn(self, words: list[bytes]) -> None:
         tables, sizes = [self.table], [self.size]
@@ -64,8 +79,8 @@ class Tokenizer:
             plain, alone = [w for w in words if not any(x in w for x in self.odd)], [w for w in words if any(x in w for x in self.odd)]
         else:
             plain, alone = words, []
-        for i in range(0, len(plain), _AT_ONCE):
-            line = f" {_BETWEEN} ".encode().join(plain[i : i + _AT_ONCE]).decode()
+        for i in range(0, len(plain), _LINE):
+            line = f" {_BETWEEN} ".encode().join(plain[i : i + _LINE]).decode()
             flat = np.array(self.encoder.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             signs = np.flatnonzero(flat == self.between)
             tables.append(flat[flat != self.between])
@@ -75,17 +90,21 @@ class Tokenizer:
             sizes.append(np.array([len(tables[-1])]))
         self.known.update(zip([*plain, *alone], range(len(self.size), len(self.size) + len(words)), strict=True))
         self.table, self.size = np.concatenate(tables), np.concatenate(sizes)
+        self.used = np.concatenate([self.used, np.zeros(len(words), bool)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin; the end is at the last place."""
-        words = common.Words(texts, lower=False)
+        words = common.Words(texts, lower=self.lower)
+        if self.lower and any(x in b" ".join(words.words) for x in self.odd):
+            words = common.Words(texts, lower=False)
         if new := [w for w in words.words if w not in self.known]:
             if len(self.known) + len(new) > _CACHE_WORDS:
-                self.forget()
-                new = words.words
+                self.forget_unused()
+                new = [w for w in words.words if w not in self.known]
             self.learn(new)
         start = np.cumsum(self.size) - self.size
         word = np.fromiter(map(self.known.__getitem__, words.words), np.int64, len(words.words))
+        self.used[word] = True
         n, first = self.size[word][words.codes], start[word][words.codes]
         total = np.concatenate([[0], np.cumsum(n)])
         at = np.arange(total[-1]) + np.repeat(first - total[:-1], n)
