@@ -332,3 +332,22 @@ def test_digest_of_the_registered_suffix_query(spark, tmp_path, documents, rows)
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         expected[doc_id, len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == expected
+
+
+def test_words_by_themselves_give_the_ids_of_whole_texts(monkeypatch):
+    """Capitals, special tokens in any case, the sign between words, and words forgotten and met again."""
+    import public_tokenizers
+    import pyarrow as pa
+    import tokenizers
+
+    from callroute.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, words = tokenizers.Tokenizer.from_file(path), packing.Tokenizer(path)
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 40)
+    odd = ["", "  \t\x0b ", "É É İ İ ẞ Kelvin K", "<|StartOfText|> Don'T x<|endoftext|>Y", "A \x01 B a\x01b", "THE the The"]
+    texts = odd + [" ".join(f"Word{j}, word{j % 7}." for j in range(i, i + 15)) for i in range(60)] + odd
+    for i in range(0, len(texts), 5):
+        ids, at = words.encode(pa.array(texts[i : i + 5]))
+        for k, text in enumerate(texts[i : i + 5]):
+            assert ids[at[k] : at[k + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
