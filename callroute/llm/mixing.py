@@ -25,8 +25,12 @@ def _over(column: str) -> Column:
     return F.sum("_w").over(Window.partitionBy(column))
 
 
-def _shares(cells: DataFrame, targets: dict[str, Target]) -> DataFrame:
-    """Adds ``_t0``, ``_t1``, ...: the target share of each cell's value, over the values that occur."""
+def _shares(cells: DataFrame, targets: dict[str, Target], unlisted: bool) -> DataFrame:
+    """Adds ``_t0``, ``_t1``, ...: the target share of each cell's value, over the values that occur.
+
+    ``unlisted``: values that a dict doesn't list have their own share, and the
+    listed ones share the rest.
+    """
     for i, (column, target) in enumerate(targets.items()):
         by = Window.partitionBy(column)
         own = F.sum("_mass").over(by)
@@ -38,19 +42,26 @@ def _shares(cells: DataFrame, targets: dict[str, Target]) -> DataFrame:
         # each value counts once: by the cell that comes first among its own
         cells = cells.withColumn("_raw", F.when(F.col("_mass") > 0, raw).otherwise(0.0))
         cells = cells.withColumn("_once", F.when(F.row_number().over(by.orderBy(F.desc("_mass"), *targets)) == 1, F.col("_raw")).otherwise(0.0))
-        total = cells.agg(F.sum("_once").alias("s")).first().s or 1.0
+        named = F.coalesce(F.col(column).isin(*target), F.lit(False)) if isinstance(target, dict) else F.lit(True)
+        sums = cells.agg(F.sum("_once").alias("s"), F.sum(F.when(named, F.col("_mass"))).alias("listed"), F.sum(F.when(~named, F.col("_mass"))).alias("others")).first()
+        total = sums.s or 0.0
+        if unlisted and sums.others:
+            each = total / sums.listed if total and sums.listed else 1.0  # a listed share for the same mass
+            cells = cells.withColumn("_raw", F.when(named, F.col("_raw")).otherwise(own * F.lit(each)))
+            total += sums.others * each
+        total = total or 1.0
         cells = cells.withColumn(f"_t{i}", F.col("_raw") / F.lit(float(total))).drop("_raw", "_once")
     return cells
 
 
-def rake(cells: DataFrame, targets: dict[str, Target], rounds: int) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, Target], rounds: int, unlisted: bool = False) -> DataFrame:
     """Adds ``_w``, shares of the cells whose sums over each column approach its targets.
 
     One round scales the shares to each column's targets in turn. Cells of no
     mass or with a target of 0 get 0.
     """
     spark_total = cells.agg(F.sum("_mass").alias("s")).first().s or 1
-    fitted = _shares(cells.withColumn("_w", F.col("_mass") / F.lit(float(spark_total))), targets)
+    fitted = _shares(cells.withColumn("_w", F.col("_mass") / F.lit(float(spark_total))), targets, unlisted)
     for done in range(1, rounds + 1):
         for i, column in enumerate(targets):
             fitted = fitted.withColumn("_w", F.when(_over(column) > 0, F.col("_w") * F.col(f"_t{i}") / _over(column)).otherwise(0.0))
@@ -86,12 +97,13 @@ def chance(doc_id: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
-def mix(docs: DataFrame, targets: dict[str, Target], tokens: str, budget: float, doc_id: str = "doc_id", rounds: int = 10, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, Target], tokens: str, budget: float, doc_id: str = "doc_id", rounds: int = 10, seed: int = 1, unlisted: bool = False) -> DataFrame:
     """Every row of ``docs`` with ``_probability`` to be kept and ``_kept``.
 
     ``targets`` names one to three or more columns; a null in one is a value
-    of its own, and a value that a dict doesn't list gets 0. ``tokens``: the
-    column with a row's weight; null or negative counts as 0, and a cell of
+    of its own, and a value that a dict doesn't list, null too, gets 0, or with
+    ``unlisted`` keeps its own share while the listed shares are scaled to the
+    rest. ``tokens``: the column with a row's weight; null or negative counts as 0, and a cell of
     nothing else has probability 0. ``budget``: share of all tokens to keep;
     at 1 or more every row with a target is kept. Rows of one id in one cell
     are kept or dropped together. No rows give no rows. Columns that start
@@ -101,7 +113,7 @@ def mix(docs: DataFrame, targets: dict[str, Target], tokens: str, budget: float,
         raise ValueError(f"reserved column names: {clash}")
     mass = F.greatest(F.coalesce(F.col(tokens).cast("double"), F.lit(0.0)), F.lit(0.0))
     cells = common.cut(docs.groupBy(*targets).agg(F.sum(mass).alias("_mass")), "cells")
-    found = calibrate(rake(cells, targets, rounds), budget).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(targets)), "_probability")
+    found = calibrate(rake(cells, targets, rounds, unlisted), budget).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(targets)), "_probability")
     if cells.count() <= _CELLS_TO_BROADCAST:
         found = F.broadcast(found)
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(targets)))
@@ -127,7 +139,7 @@ def words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-#: Production targets of the registered query and the pipeline.
+#: Production targets of the registered query and the pipeline; both keep the languages that are not listed (``unlisted``).
 TARGETS: dict[str, Target] = {"source": 0.7, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": 0.9}
 BUDGET = 0.8
 ROUNDS = 10

@@ -35,7 +35,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the probability of being sampled to the target mix, and whether they are."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.topic("text").alias("topic"), mixing.words("text").alias("n_tokens"))
-    out = mixing.mix(common.cut(docs, "mixing"), mixing.TARGETS, "n_tokens", mixing.BUDGET, rounds=mixing.ROUNDS)
+    out = mixing.mix(common.cut(docs, "mixing"), mixing.TARGETS, "n_tokens", mixing.BUDGET, rounds=mixing.ROUNDS, unlisted=True)
     return out.select("doc_id", "topic", "n_tokens", F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
 
 

@@ -49,7 +49,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents in the target mix of sources, languages and topics."""
     marked = docs.select(*COLUMNS, mixing.topic("text").alias("topic"), mixing.words("text").alias("n_tokens"))
-    out = mixing.mix(marked, mixing.TARGETS, "n_tokens", mixing.BUDGET, rounds=mixing.ROUNDS)
+    out = mixing.mix(marked, mixing.TARGETS, "n_tokens", mixing.BUDGET, rounds=mixing.ROUNDS, unlisted=True)
     return out.where("_kept").select(*COLUMNS)
 
 

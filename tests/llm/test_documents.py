@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from callroute.llm import common, mixing, packing, quality, queries, scoring, simhash, suffix
 
 
@@ -301,6 +302,27 @@ def test_mixing_of_nothing_and_odd_weights(spark):
     assert not any(r._kept for r in out if r.lang == "xx") and all(r._kept for r in out if r.lang == "en")
 
 
+def test_languages_without_a_target_are_still_sampled(spark, tmp_path):
+    rng = random.Random(6)
+    listed = mixing.TARGETS["lang"]
+    langs = {*listed, "nl", None}
+    rows = [(i, "some words of it " * rng.randrange(1, 9), rng.choice(["en"] * 6 + ["de", "fr", "es", "nl", None]), rng.choice("ab")) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    lang = {r[0]: r[2] for r in rows}
+    assert {lang[r.doc_id] for r in queries.op2_mixing(spark, str(tmp_path)).collect() if r.kept} == langs
+    assert {r.lang for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()} == langs
+    marked = docs.withColumn("topic", mixing.topic("text")).withColumn("n", mixing.words("text"))
+    words, sampled = collections.Counter(), collections.Counter()
+    for r in mixing.mix(marked, mixing.TARGETS, "n", 0.3, rounds=20, unlisted=True).collect():
+        words[r.lang] += r.n
+        sampled[r.lang] += r.n * r._probability
+    rest = sum(words[k] for k in listed) / words.total()
+    for k in langs:
+        assert sampled[k] / sampled.total() == pytest.approx(listed[k] * rest if k in listed else words[k] / words.total(), abs=1e-6)
+
+
 # --- all of them
 
 
