@@ -112,7 +112,10 @@ def _search(k: int):
                 rest = [*np.sqrt(np.cumsum(squares[::-1], axis=0)[::-1]), np.zeros(len(c_ids))]
                 found = [best(row, own, c_ids, m, rest, k) for row, own in zip(q, q_ids, strict=True)]
                 size = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], ["query_id", "vec_id", "score"])
+                row, own = (np.repeat(x, size) for x in (np.arange(len(q_ids), dtype=np.int32), q_ids))
+                block = np.full(len(row), batch.column("q_block")[i].as_py(), np.int64)
+                answers = (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block, row, own, *answers)], ["q_block", "q_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -125,23 +128,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "emb
     that are null or hold a null or non-finite component, and rows without an
     id, take no part; missing components of shorter vectors count as 0. Scores
     are exact up to 2**53. Of repeated ids each row is a candidate, and each
-    query row is answered: equal answers of one id come once. Extra columns
-    are ignored. No vectors or no queries give no rows.
+    query row is answered: equal answers of one id come once, and different
+    vectors of one id have ranks of their own. Extra columns are ignored. No vectors or no queries give no rows.
     """
     spark = common.ship(vectors.sparkSession)
 
+    def rows(df: DataFrame) -> DataFrame:
+        return df.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), quantised(vector, scale).alias("v"))
+
     def packed(df: DataFrame, size: int, name: str) -> DataFrame:
-        rows = df.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), quantised(vector, scale).alias("v"))
-        return common.cut(rows.mapInArrow(_blocks(size), "ids binary, m binary, n int"), name)
+        return common.cut(df.mapInArrow(_blocks(size), "ids binary, m binary, n int").withColumn("block", F.monotonically_increasing_id()), name)
 
-    blocks = packed(vectors, BLOCK, "candidates")
-    asked = packed(queries, QUERIES, "queries").select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    blocks = packed(rows(vectors), BLOCK, "candidates").drop("block")
+    asked = packed(rows(queries).distinct(), QUERIES, "queries").select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
     slots = max(1, blocks.count())
     blocks = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
     asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    found = asked.join(blocks, "slot").select("ids", "m", "q_ids", "q_m").mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = asked.join(blocks, "slot").select("ids", "m", "q_block", "q_ids", "q_m").mapInArrow(_search(k), "q_block long, q_row int, query_id long, vec_id long, score long")
+    order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()
 
 
 def oracle_sql(k: int, every: int, scale: int) -> str:

@@ -90,6 +90,21 @@ def test_top_k_as_by_brute_force(vectors, monkeypatch, block):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("queries", [2, 512])
+def test_repeated_queries_keep_their_answers(vectors, spark, monkeypatch, queries):
+    rows, df = vectors
+    monkeypatch.setattr(topk, "QUERIES", queries)
+    asked = [(50, rows[50][1], 0, "x")] * 5 + [(50, [4 * x for x in rows[7][1]], 0, "x"), (100, rows[100][1], 0, "x")]
+    candidates = [(r[0], np.floor(256 * np.array(r[1], float))) for r in rows[:300]]
+    expected = set()
+    for i, v, *_ in asked:
+        q = np.floor(256 * np.array(v, np.float32).astype(float))
+        best = sorted((-int(q @ x), j) for j, x in candidates if j != i)[:5]
+        expected |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
+    found = topk.top_k(df.where("vec_id < 300"), spark.createDataFrame(asked, VECTORS).repartition(3))
+    assert len(expected) == 15 and sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
 def test_bound_drops_candidates_but_never_a_result():
     rng = np.random.default_rng(5)
     x = np.floor(256 * rng.normal(size=(2_000, 64)) * np.geomspace(1, 0.01, 64))
