@@ -34,7 +34,8 @@ _BLOCK = frozenset(
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SHUTS_P = _BLOCK - {"br", "td", "th", "tr", "li", "dd", "dt", "body", "html", "head", "tbody", "thead", "tfoot", "option", "caption", "title", "button", "legend"}
 
-_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+# a quote opens a value only after the = of an attribute; any other is a sign like the rest, and the tag ends at the next >
+_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)?+)*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ROOT, _NODE_TEXT = "#root", "#text"
@@ -67,10 +68,11 @@ class Page:
                 continue
             self.make_room(name, stack)
             node = self.add(name, stack[-1], m[3])
-            if name in _RAW:
+            closed = m[3].endswith("/")
+            if name in _RAW and not (closed and name == "svg"):  # of these, only an svg can close itself
                 end = _raw_end(name).search(source, at)
                 at = end.end() if end else len(source)
-            elif name not in _VOID and not m[3].endswith("/"):
+            elif name not in _VOID and not closed:
                 stack.append(node)
 
     def make_room(self, name: str, stack: list[int]) -> None:

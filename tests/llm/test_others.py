@@ -185,6 +185,26 @@ def test_pages(source, text):
     assert MODEL.extract(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<article><p>Body of it.</p><svg class='i' width=1/><p>More.</p></article>", "Body of it. More."),
+        ("<article><p>Body of it.</p><svg/><p>More.</p><svg><title>x</title></svg><p>Last.</p></article>", "Body of it. More. Last."),
+        ("<article><p><a title=Don't href=x>Body</a> of it.</p><p>It's more.</p></article>", "Body of it. It's more."),
+        ('<article><p title="a"">Body of it.</p><p title="b">More.</p></article>', "Body of it. More."),
+        ('<article><p title="a"">Body of it.</p></article>', "Body of it."),
+        ("<article><p ' title = 'a>b' \">Body of it.</p><p =\"a>More.</p><p title=a=\"b>Last.</p>", "Body of it. More. Last."),
+        ('<article><p title="a>Body of it.</p></article>', "Body of it."),
+    ],
+)
+def test_self_closed_pictures_and_stray_quotes_swallow_nothing(source, text):
+    assert MODEL.extract(source) == text
+
+
+def test_stray_quotes_cost_no_more_than_the_page():
+    assert len(extract.Page("<a b='" * 50_000 + '<a b="' * 50_000).tag) < 100_002
+
+
 def test_depth_has_no_limit():
     assert all(np.isfinite(MODEL.marginals(extract.Page("<article>" + "<div>" * 50_000 + "deep"))))
 
