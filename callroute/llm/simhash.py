@@ -282,10 +282,11 @@ def _entries_index(groups: list[list[int]]):
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, distance: int = 4, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``keep`` (by default the id), ``_fingerprint`` long and ``_component``.
+    """One row per row of ``docs``: ``keep`` (by default the id), ``_fingerprint`` long, ``_component`` and ``_root``.
 
     ``_component`` is the smallest id reachable by links between fingerprints
-    of at most ``distance`` differing bits. Equal fingerprints are one node,
+    of at most ``distance`` differing bits; ``_root``, the smallest fingerprint
+    reachable, tells classes apart whatever their ids are. Equal fingerprints are one node,
     so copies cost one row each. Null text counts as empty; texts without a
     word have fingerprint 0 and are linked like any other. Rows with a null
     id are kept; a class of nothing but null ids has a null component. Equal
@@ -297,5 +298,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     roots = common.components(link(distinct.select("fp"), distance))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("_component"))
-    classes = named.select("fp", "root").join(ids, "root").select(F.col("fp").alias("_fingerprint"), "_component")
+    classes = named.select("fp", "root").join(ids, "root").select(F.col("fp").alias("_fingerprint"), "_component", F.col("root").alias("_root"))
     return marked.join(classes, "_fingerprint", "left")

@@ -27,11 +27,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one of the smallest id, and of equal rows one."""
+    """One document of each SimHash group: the one of the smallest id (null last) and text hash, and of equal rows one."""
     docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64("text"))
-    out = simhash.near_duplicates(docs, shingle=4, distance=4, keep=["doc_id", "row"])
-    counted = out.groupBy("doc_id", "row").agg(F.max(F.col("doc_id").eqNullSafe(F.col("_component"))).alias("first"), F.count("*").alias("n"))
-    odd = common.cut(counted.where("not first or n > 1").select(F.col("doc_id").alias("id"), F.col("row").alias("r"), "first"), "copies")
+    out = common.cut(simhash.near_duplicates(docs, shingle=4, distance=4, keep=["doc_id", "row"]).select("doc_id", "row", "_root"), "classes")
+    least = out.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("p"))
+    picked = least.select(F.col("p.doc_id").alias("id"), F.col("p.row").alias("r"), F.lit(True).alias("picked"))
+    counted = out.groupBy("doc_id", "row").agg(F.count("*").alias("n"))
+    counted = counted.join(picked, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("row").eqNullSafe(F.col("r")), "left")
+    first = F.col("picked").isNotNull()
+    odd = common.cut(counted.where(~first | (F.col("n") > 1)).select(F.col("doc_id").alias("id"), F.col("row").alias("r"), first.alias("first")), "copies")
     same = docs["doc_id"].eqNullSafe(odd["id"]) & docs["row"].eqNullSafe(odd["r"])
     alone = docs.join(odd, same, "left_anti").select(*COLUMNS)
     repeated = docs.join(odd.where("first"), same, "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])

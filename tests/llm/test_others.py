@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from callroute.llm import chat, embeddings, extract, topk
+from callroute.llm import chat, embeddings, extract, simhash, topk
 
 VECTORS = "vec_id long, embedding array<float>, label int, extra string"
 
@@ -236,6 +236,23 @@ def test_pages_table(spark):
 # --- pipeline
 
 
+def test_one_document_of_a_group_stays_whatever_its_ids(spark, documents):
+    rng = random.Random(12)
+
+    def group(n=3):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+        return [text + " " * i for i in range(n)]  # the same words
+
+    nulls, same, mixed, plain = group(), group(), group(), group()
+    rows = [(None, t) for t in nulls] + [(1, t) for t in same] + [(1, same[0])] + [(None, mixed[0]), (2, mixed[1]), (None, mixed[2])] + [(5, plain[0]), (4, plain[1]), (6, plain[2])]
+    rows += [(1, "alone under an id of others"), (None, "alone without an id")]
+    roots = {r._root for r in simhash.near_duplicates(documents(rows)).collect()}
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_dedup(spark, documents(rows), "").collect()]
+    assert len(roots) == 6 and len(kept) == 6
+    assert sum((None, t) in kept for t in nulls) == 1 and sum((1, t) in kept for t in same) == 1
+    assert {(2, mixed[1]), (4, plain[1]), *rows[-2:]} <= set(kept)
+
+
 def test_stages_keep_the_columns_and_take_effect(spark, tmp_path, documents):
     rng = random.Random(11)
 
