@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, embeddings, extract, mixing, packing, quality, scoring, simhash, suffix, topk
+from . import chat, clusters, common, embeddings, extract, index, infill, mixing, packing, quality, scoring, simhash, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +117,50 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 64 components in 8 clusters after 10 rounds."""
+    out = clusters.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10, seed=3, scale=1024, width=64)
+    centroid = F.array_join(F.transform("_centroid", lambda x: x.cast("string")), ",")
+    return out.select(
+        "vec_id",
+        F.col("_cluster").alias("cluster"),
+        F.col("_distance").alias("distance"),
+        F.col("_cluster_inertia").alias("cluster_inertia"),
+        F.col("_inertia").alias("inertia"),
+        F.sha2(centroid.cast("binary"), 256).alias("centroid_sha256"),
+    )
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that lie in a 10-word window of a benchmark item, and whose items they are."""
+    postings = index.build(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = index.find(postings, _table(spark, sf_dir, "benchmark"), window=10)
+    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return out.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_words"),
+        hit.alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("_spans") > 0).alias("contaminated"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rotated for infilling, and the text rebuilt from output and form."""
+    out = infill.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, keep=["doc_id"])
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return infill.restored(out).select(
+        "doc_id",
+        F.col("_units").alias("n"),
+        F.col("_form").alias("form"),
+        F.col("_prefix_chars").alias("prefix_chars"),
+        F.col("_middle_chars").alias("middle_chars"),
+        digest("_output").alias("output_sha256"),
+        digest("_restored").alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
@@ -128,10 +172,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_decontamination": op12_decontamination,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
     "op2_mixing": mixing.oracle_sql(),
     "op3_exact_topk": topk.oracle_sql(5, 50, 256),
     "op4_chat_formatting": chat.oracle_sql(),
+    "op11_centroid_clustering": clusters.oracle_sql(),
+    "op12_decontamination": index.oracle_sql(),
+    "op13_fill_in_middle": infill.oracle_sql(),
 }
