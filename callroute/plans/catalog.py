@@ -23,6 +23,7 @@ from callroute.plans import jobs
 from callroute.session import scratch_path
 from callroute.sources import dims, io
 from callroute.sources import fixtures as fx
+from callroute.sources.sink import KeyedSink
 
 LAYER_SPLIT = datetime(2024, 1, 15)
 COMMON_TAGS = {"service": "callroute", "env": "test"}
@@ -60,9 +61,15 @@ def q_read_commands(spark, d):
 
 
 def q_write_keyed(spark, d):
-    path = scratch_path(spark, "keyed")
+    """All response records through the keyed sink; a repeated attempt adds nothing."""
+    base = scratch_path(spark, "keyed")
+    path = f"{base}/topic"
     routed = jobs.route_responses(_commands(spark, d), fx.ari_results(spark, d))
-    io.write_keyed(routed, jobs.EVENTS_TOPIC, path)
+    records = routed.select("topic", "key", "value", "ts", "src", "seq", F.col("request_id").alias("record_id"))
+    records.write.parquet(f"{base}/outbox")
+    sink = KeyedSink(spark, f"{base}/markers", path)
+    for _attempt in range(2):
+        sink.publish(spark.read.parquet(f"{base}/outbox"), "responses")
     back = spark.read.parquet(path)
     return back.select(
         "topic",
@@ -401,19 +408,19 @@ def q_service_metrics(spark, d):
 # --- streaming (T1-T5): the router query fed with the table in time order ---
 
 STREAM_CHUNKS = 3
-REPLAY_TIMEOUT = "36500 days"  # replayed in big steps: requests wait until the flush
+REPLAY_TIMEOUT = "48 hours"  # results arrive 36 hours after their request
 
 
-def _stream_run(spark, d, chunks=STREAM_CHUNKS, stop_at_control=False):
+def _stream_run(spark, d, chunks=STREAM_CHUNKS, stop_at_control=False, answers=False):
+    """The tables replayed through the router; ``answers``: the answering query too."""
     from callroute.streaming import stream as sm
 
     paths = sm.new_paths(spark, "router")
+    results = fx.ari_result_messages(spark, d) if answers else None
     sm.feed_in_chunks(
-        spark, _events(spark, d), _commands(spark, d), paths, fx.ari_result_messages(spark, d),
+        spark, _events(spark, d), _commands(spark, d), paths, results,
         chunks=chunks, stop_at_control=stop_at_control, result_timeout=REPLAY_TIMEOUT,
     )
-    if not stop_at_control:
-        sm.flush_pending(spark, paths)
     return paths
 
 
@@ -427,7 +434,7 @@ def q_stream_route_events(spark, d):
 def q_stream_commands_to_requests(spark, d):
     from callroute.streaming import stream as sm
 
-    out = sm.read_output(spark, _stream_run(spark, d).responses_out)
+    out = sm.read_output(spark, _stream_run(spark, d, answers=True).responses_out)
     return io.with_key_sequence(out).select(
         "request_id", "key", "status_code", "resources", F.col("commandId").alias("command_id"), "key_seq"
     )
@@ -445,7 +452,7 @@ def q_stream_quarantine(spark, d):
     """T4: every message that the router could not route, counted by reason."""
     from callroute.streaming import stream as sm
 
-    return mt.drop_counts(sm.read_output(spark, _stream_run(spark, d).quarantine_out))
+    return mt.drop_counts(sm.read_output(spark, _stream_run(spark, d, answers=True).quarantine_out))
 
 
 def q_quarantined_messages(spark, d):

@@ -1,17 +1,15 @@
-"""The router as one Structured Streaming query.
+"""The router as two Structured Streaming queries.
 
-Events, commands and HTTP results are read as one stream (``unionByName``) so
-the state has a single writer. Every micro-batch runs the batch operators
-through ``foreachBatch``:
+**Routing** (T1, T3-T5) reads events and commands as one stream
+(``unionByName``), so the state has a single writer. A micro-batch
 
-1. load the state version of the last committed batch (parquet under
-   ``state/batch=<id>``); entries of the batch's ids re-enter the fold as
-   writes at their ``written_at``;
-2. resolve contexts (J3) and write event envelopes (T1), requests and response
-   envelopes (T2), event counts before any drop (T3) and quarantined rows (T4);
-3. write state and outputs under ``batch=<id>`` with overwrite, so a replay of
-   the same batch after a failure rewrites the same files (idempotent);
-4. leave a mark if a control message (ApplicationReplaced) arrived (T5).
+1. looks up the stored entries of its own ids (``KeyedState``: only their
+   buckets are read); they re-enter the fold as writes at their ``written_at``;
+2. resolves contexts (J3) and writes event envelopes (T1), requests, event
+   counts before any drop (T3) and quarantined rows with their reason (T4);
+3. stores its writes as runs of the state, and the version that names them
+   last: a repeated batch whose version is there does nothing, any other
+   writes the same folders again.
 
 Time: the clock of a batch is the median time stamp of its rows. It never goes
 back and moves on by at most ``max_step`` a batch, so a few rows dated in the
@@ -20,22 +18,32 @@ clock. An op older than the stored write of its id is late: it reads the stored
 context where its own time has none, never creates one, and its record says
 ``late``.
 
-Results: a request waits in ``pending`` until its result arrives or the clock is
-``result_timeout`` past its time stamp; then it is published as failed. Results
-that come before their request wait alike; those that no request claims in
-time end in the quarantine. ``flush_pending`` settles what waits when a router
-is shut down for good.
-
-Bad rows never raise: they are written with their reason (T4).
+T5, ``stop_at_control``: a batch that holds a control message (ApplicationReplaced)
+is routed up to it, its version stores the cut, and the query ends before Spark
+commits the batch's offsets. A new start gets the same batch again, goes on
+after the cut, and loses nothing.
+
+**Answering** (T2) joins commands and results as two streams: a full outer
+interval join on the request with watermarks on both sides. A request fails when the watermark passes its
+time stamp by ``result_timeout``; a result that no request claims is
+quarantined. ``ticks`` (time stamps, as of ``heartbeat``) move both watermarks
+on while no message comes. Of several results of a request the earliest of the
+first batch counts, the rest are quarantined. Rows that come later than
+``lateness`` behind the watermark are dropped by the join; Spark counts them.
+
+Records go to tables below ``paths``; with ``sinks`` they are then published
+to a keyed topic, each once (``sources.sink``).
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callroute.operators import commands as cm
@@ -45,14 +53,15 @@ from callroute.operators import state as st
 from callroute.plans import jobs
 from callroute.session import checkpoint_dir
 from callroute.sources import io
+from callroute.sources.files import Folder
+from callroute.sources.sink import KeyedSink
+from callroute.streaming.keyed_state import KeyedState, Version
 
-STATE_SCHEMA = "resource_id string, call_context string, written_at timestamp_ntz"
-CLOCK_SCHEMA = "clock timestamp_ntz"
-PENDING_SCHEMA = "seq bigint, ts timestamp_ntz, request_id bigint, raw string"
 LATENESS = "1 hour"
 MAX_STEP = "1 hour"
 RESULT_TIMEOUT = "10 minutes"
-_VERSIONS_KEPT = 3  # a replayed batch needs the version before it
+CONTROL_REACHED = "control message reached"
+_EPOCH = datetime(1970, 1, 1)
 
 
 @dataclass
@@ -61,9 +70,7 @@ class RouterPaths:
 
     root: str
     state: str = field(init=False)
-    clock: str = field(init=False)
-    pending: str = field(init=False)
-    unclaimed: str = field(init=False)
+    answered: str = field(init=False)
     events_out: str = field(init=False)
     requests_out: str = field(init=False)
     responses_out: str = field(init=False)
@@ -71,13 +78,12 @@ class RouterPaths:
     quarantine_out: str = field(init=False)
     control_out: str = field(init=False)
     checkpoint: str = field(init=False)
+    answers_checkpoint: str = field(init=False)
 
     def __post_init__(self):
         r = self.root.rstrip("/")
         self.state = f"{r}/state"
-        self.clock = f"{r}/clock"
-        self.pending = f"{r}/pending"
-        self.unclaimed = f"{r}/unclaimed"
+        self.answered = f"{r}/answered"
         self.events_out = f"{r}/out/events"
         self.requests_out = f"{r}/out/requests"
         self.responses_out = f"{r}/out/responses"
@@ -85,50 +91,34 @@ class RouterPaths:
         self.quarantine_out = f"{r}/out/quarantine"
         self.control_out = f"{r}/out/control"
         self.checkpoint = f"{r}/checkpoint"
+        self.answers_checkpoint = f"{r}/answers-checkpoint"
 
 
-def _folder(spark: SparkSession, path: str):
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
-
-
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    """Batch ids under ``path`` (folders ``batch=<id>``), newest first."""
-    fs, hpath = _folder(spark, path)
-    if not fs.exists(hpath):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(hpath)]
-    return sorted((int(n.split("=", 1)[1]) for n in names if n.startswith("batch=")), reverse=True)
-
+@dataclass
+class Sinks:
+    """Keyed topics of the router; None: tables only."""
 
-def _committed(spark: SparkSession, path: str, batch_id: int) -> bool:
-    fs, hpath = _folder(spark, f"{path}/batch={batch_id}/_SUCCESS")
-    return fs.exists(hpath)
+    events: KeyedSink | None = None
+    responses: KeyedSink | None = None
 
 
-def _load(spark: SparkSession, path: str, schema: str, before_batch: int) -> DataFrame:
-    """The version written by the latest committed batch before ``before_batch``."""
-    for b in _batches(spark, path):
-        if b < before_batch and _committed(spark, path, b):
-            return spark.read.schema(schema).parquet(f"{path}/batch={b}")
-    return spark.createDataFrame([], schema)
+class ControlReached(Exception):
+    """Ends the routing query at a control message, before its batch's offsets are committed."""
 
 
-def _save(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def _micros(at: datetime) -> int:
+    return (at - _EPOCH) // timedelta(microseconds=1)
 
 
-def _forget(spark: SparkSession, path: str, batch_id: int) -> None:
-    """Deletes versions that no replay can need any more."""
-    for b in _batches(spark, path):
-        if b <= batch_id - _VERSIONS_KEPT:
-            fs, old = _folder(spark, f"{path}/batch={b}")
-            fs.delete(old, True)
+def _save(df: DataFrame, path: str, batch_id: int, part: int = 0) -> str:
+    folder = f"{path}/batch={batch_id}/part={part}"
+    df.write.mode("overwrite").parquet(folder)
+    return folder
 
 
-def load_state(spark: SparkSession, paths: RouterPaths, before_batch: int) -> DataFrame:
-    """The call contexts as of the latest committed batch before ``before_batch``."""
-    return _load(spark, paths.state, STATE_SCHEMA, before_batch)
+def load_state(spark: SparkSession, paths: RouterPaths, version: Version | None = None) -> DataFrame:
+    """The call contexts as of a version (the newest, if not named)."""
+    return KeyedState(spark, paths.state).snapshot(version).select("resource_id", "call_context", "written_at")
 
 
 def next_clock(previous: datetime | None, median: datetime | None, max_step=MAX_STEP) -> datetime | None:
@@ -138,14 +128,12 @@ def next_clock(previous: datetime | None, median: datetime | None, max_step=MAX_
     return max(previous, min(median, previous + timedelta(microseconds=st.ttl_micros(max_step))))
 
 
-def batch_clock(spark: SparkSession, batch: DataFrame, paths: RouterPaths, batch_id: int, max_step=MAX_STEP) -> datetime | None:
-    """Moves the clock on by one batch and stores it (one row)."""
-    last = _load(spark, paths.clock, CLOCK_SCHEMA, batch_id).first()
+def batch_clock(batch: DataFrame, previous: int | None, max_step=MAX_STEP) -> int | None:
+    """The clock after a batch, in microseconds."""
     middle = batch.agg(F.percentile_approx(st.micros(F.col("ts")), 0.5).alias("m")).first().m
-    median = None if middle is None else datetime(1970, 1, 1) + timedelta(microseconds=middle)
-    clock = next_clock(last.clock if last else None, median, max_step)
-    _save(spark.range(1).select(st.ntz_lit(clock).alias("clock")), paths.clock, batch_id)
-    return clock
+    at = lambda x: None if x is None else _EPOCH + timedelta(microseconds=x)
+    clock = next_clock(at(previous), at(middle), max_step)
+    return None if clock is None else _micros(clock)
 
 
 def resolve_with_state(ops: DataFrame, state: DataFrame, ttl=st.DEFAULT_TTL) -> DataFrame:
@@ -154,11 +142,10 @@ def resolve_with_state(ops: DataFrame, state: DataFrame, ttl=st.DEFAULT_TTL) ->
     Adds ``late``: the op is older than the stored write. A late op that finds
     no context of its own time gets the stored one; a late create is a lookup.
     """
-    stored = state.join(ops.select(F.col("rid").alias("resource_id")).distinct(), "resource_id", "left_semi")
-    marks = stored.select(F.col("resource_id").alias("rid"), "call_context", "written_at")
+    marks = state.select(F.col("resource_id").alias("rid"), "call_context", "written_at")
     known = ops.join(marks, "rid", "left").withColumn("late", F.coalesce(F.col("ts") < F.col("written_at"), F.lit(False)))
     fold = known.withColumn("k", F.when(F.col("late") & (F.col("k") == "create"), F.lit("lookup")).otherwise(F.col("k")))
-    resolved = st.resolve_contexts(fold.select(*ops.columns).unionByName(st.state_ops(stored)), ttl).filter("src >= 0")
+    resolved = st.resolve_contexts(fold.select(*ops.columns).unionByName(st.state_ops(state)), ttl).filter("src >= 0")
     resolved = resolved.join(marks.withColumnRenamed("call_context", "_stored"), "rid", "left")
     late = F.coalesce(F.col("ts") < F.col("written_at"), F.lit(False))
     return resolved.select(
@@ -171,38 +158,11 @@ def _quarantined(df: DataFrame, processor: str, reason: str = "reason") -> DataF
     return df.select(F.lit(processor).alias("processor"), F.col(reason).alias("reason"), "seq", "ts", "raw")
 
 
-def settle(commands: DataFrame, results: DataFrame, overdue: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(answered, waiting, unclaimed): requests with their result or overdue, requests that wait, results without a request.
-
-    Of several results of one request the earliest counts.
-    """
-    one = results.groupBy("request_id").agg(F.min_by(F.struct(*[c for c in results.columns if c != "request_id"]), F.struct("ts", "seq")).alias("r"))
-    one = one.select("request_id", "r.*")
-    there = one.select("request_id", F.lit(True).alias("_there"))
-    known = commands.join(there, "request_id", "left")
-    is_due = F.col("_there").isNotNull() | F.coalesce(overdue, F.lit(False))
-    due = known.filter(is_due).drop("_there")
-    waiting = known.filter(~is_due).drop("_there")
-    unclaimed = one.join(commands.select("request_id"), "request_id", "left_anti")
-    return cm.correlate_results(due, one), waiting, unclaimed.select(*results.columns)
-
-
-def _respond(answered: DataFrame, commands_topic: str, events_topic: str) -> tuple[DataFrame, DataFrame]:
-    """(response records, rows whose result is no JSON)."""
-    pay = cm.response_payloads(answered)
-    env = cm.response_envelopes(pay.filter(F.col("response_reason").isNull()), commands_topic).select(
-        F.lit(events_topic).alias("topic"),
-        F.col("callContext").alias("key"),
-        "value",
-        "ts",
-        F.lit(0).alias("src"),
-        "seq",
-        "request_id",
-        "status_code",
-        "commandId",
-        cm.flatten_resources(F.col("relations")).alias("resources"),
-    )
-    return env, _quarantined(pay.filter(F.col("response_reason").isNotNull()), "commandResponse", "response_reason")
+def _publish(sink: KeyedSink | None, spark: SparkSession, folder: str, name: str, batch_id: int, part: int = 0) -> None:
+    """Send the stored records of a batch on; repeated, it sends what is missing."""
+    if sink is not None:
+        outbox = spark.read.parquet(folder).withColumn("record_id", F.concat_ws("-", F.lit(name), F.col("seq")))
+        sink.publish(outbox, f"{name}-{batch_id}-{part}")
 
 
 def process_batch(
@@ -214,38 +174,53 @@ def process_batch(
     commands_topic: str = jobs.COMMANDS_TOPIC,
     events_topic: str = jobs.EVENTS_TOPIC,
     stop_at_control: bool = False,
+    resume: bool = False,
     lateness=LATENESS,
     max_step=MAX_STEP,
-    result_timeout=RESULT_TIMEOUT,
-) -> None:
-    """The body of the ``foreachBatch`` sink.
-
-    ``stop_at_control``: events at or after the first control message, by
-    ``(ts, seq)``, are not routed.
+    sinks: Sinks | None = None,
+) -> bool:
+    """The body of the routing query's ``foreachBatch`` (T1, T3-T5); whether the whole batch is routed.
+
+    ``stop_at_control``: rows after the first control message, by ``(ts, src,
+    seq)``, wait; the batch is not whole, and no later one is begun.
+    ``resume``: such a batch goes on after its cut, to the next control
+    message or its end.
     """
     spark = batch.sparkSession
+    sinks = sinks or Sinks()
+    state = KeyedState(spark, paths.state)
+    last = state.latest()
+    here = F.struct("ts", "src", "seq")
+    point = lambda cut: F.struct(st.ntz_lit(_EPOCH + timedelta(microseconds=cut[0])).alias("ts"), F.lit(1).alias("src"), F.lit(cut[1]).alias("seq"))
+    part, since = 0, None
+    if last.batch >= batch_id and not (last.batch == batch_id and last.cut and resume):
+        return last.cut is None  # it is done, or stopped at its cut
+    if last.cut:
+        if last.batch < batch_id:
+            return False
+        part, since = last.part + 1, last.cut
+    batch = batch.filter(F.col("src") < 2)
+    if since:
+        batch = batch.filter(here > point(since))
     batch = batch.persist()
+    control = ev.split_control(ev.prepare_events(batch.filter(F.col("src") == 1).select("seq", "ts", "raw")))[1].select("seq", "ts", "raw").persist()
+    first = control.agg(F.min(F.struct("ts", "seq")).alias("at")).first().at
+    cut = (_micros(first.ts), first.seq) if stop_at_control and first is not None else None
+    if cut:
+        batch = batch.filter(here <= point(cut))
+        control = control.filter(F.struct("ts", "seq") <= F.struct(st.ntz_lit(first.ts).alias("ts"), F.lit(first.seq).alias("seq")))
     prepared = ev.prepare_events(batch.filter(F.col("src") == 1).select("seq", "ts", "raw")).persist()
-    commands = batch.filter(F.col("src") == 0).select("seq", "ts", "request_id", "raw").withColumn("waited", F.lit(False))
-    waited = _load(spark, paths.pending, PENDING_SCHEMA, batch_id).withColumn("waited", F.lit(True))
-    all_cmds = cm.shape_requests(cm.prepare_commands(commands.unionByName(waited)), base_uri).persist()
-    cmds = all_cmds.filter(~F.col("waited"))
-    clock = batch_clock(spark, batch, paths, batch_id, max_step)
+    cmds = cm.shape_requests(cm.prepare_commands(batch.filter(F.col("src") == 0).select("seq", "ts", "request_id", "raw")), base_uri).persist()
+    clock = batch_clock(batch, last.clock, max_step)
+    horizon = None if clock is None else clock - st.ttl_micros(ttl) - st.ttl_micros(lateness)
 
     # Counts before any drop
-    _save(mt.event_counts(prepared).withColumn("batch_id", F.lit(batch_id)), paths.counts_out, batch_id)
-    data, control = ev.split_control(prepared)
-    at = F.struct("ts", "seq")
-    first = control.agg(F.min(at).alias("at")).first().at
-    if stop_at_control:
-        if any(b < batch_id for b in _batches(spark, paths.control_out)):
-            data = data.filter(F.lit(False))
-        elif first is not None:
-            data = data.filter(at < F.struct(st.ntz_lit(first.ts).alias("ts"), F.lit(first.seq).alias("seq")))
-
-    state = load_state(spark, paths, batch_id)
-    ops = st.event_ops(data).unionByName(st.registration_ops(cm.context_registrations(cmds)))
-    resolved = resolve_with_state(ops, state, ttl).persist()
+    _save(mt.event_counts(prepared).withColumn("batch_id", F.lit(batch_id)), paths.counts_out, batch_id, part)
+    data, _control = ev.split_control(prepared)
+    ops = st.event_ops(data).unionByName(st.registration_ops(cm.context_registrations(cmds))).persist()
+    expired = None if last.clock is None else last.clock - st.ttl_micros(ttl) - st.ttl_micros(lateness)
+    stored = state.entries(last, ops.select(F.col("rid").alias("resource_id")), expired)
+    resolved = resolve_with_state(ops, stored, ttl).persist()
 
     # Event envelopes
     ev_ctx = resolved.filter(F.col("src") == 1).select("seq", F.col("rid").alias("resource_id"), "call_context", "late")
@@ -262,74 +237,176 @@ def process_batch(
         "resource_id",
         "late",
     )
-    _save(io.order_by_key(env), paths.events_out, batch_id)
+    outbox = _save(io.order_by_key(env), paths.events_out, batch_id, part)
+    _publish(sinks.events, spark, outbox, "event", batch_id, part)
 
-    # Requests, and responses to those whose result is there or overdue
+    # T2, first half: the requests
     accepted = cmds.filter(F.col("reason").isNull())
     requests = accepted.select("request_id", "ts", "callContext", "method", "uri", "request_body")
-    _save(requests, paths.requests_out, batch_id)
-    results = batch.filter(F.col("src") == 2).select(*io.RESULT_COLUMNS)
-    results = _load(spark, paths.unclaimed, io.RAW_RESULT_SCHEMA, batch_id).unionByName(results)
-    due = st.ntz_lit(clock) - F.expr(f"interval {st.ttl_micros(result_timeout)} microseconds")
-    answered, waiting, unclaimed = settle(all_cmds.filter(F.col("reason").isNull()), results, F.col("ts") < due)
-    renv, bad_results = _respond(answered, commands_topic, events_topic)
-    _save(io.order_by_key(renv), paths.responses_out, batch_id)
-    _save(waiting.select("seq", "ts", "request_id", "raw"), paths.pending, batch_id)
-    too_old = F.coalesce(F.col("ts") < due, F.lit(False))
-    _save(unclaimed.filter(~too_old), paths.unclaimed, batch_id)
+    _save(requests, paths.requests_out, batch_id, part)
 
     # T4: what was not routed, with its reason
-    lost = unclaimed.filter(too_old).select(F.lit("unclaimed_result").alias("reason"), "seq", "ts", F.col("result_body").alias("raw"))
-    quarantine = (
-        _quarantined(bad_events, "event")
-        .unionByName(_quarantined(cmds.filter(F.col("reason").isNotNull()), "commandResponse"))
-        .unionByName(bad_results)
-        .unionByName(_quarantined(lost, "commandResponse"))
-    )
-    _save(quarantine, paths.quarantine_out, batch_id)
+    quarantine = _quarantined(bad_events, "event").unionByName(_quarantined(cmds.filter(F.col("reason").isNotNull()), "commandResponse"))
+    _save(quarantine, paths.quarantine_out, batch_id, part)
+    if first is not None:
+        _save(control, paths.control_out, batch_id, part)
 
-    # new state: latest write per id, compacted by the clock
+    # the latest write per id becomes a run of the state; the version that names it ends the batch
     writes = resolved.filter(F.col("written")).select(
         F.col("rid").alias("resource_id"), "call_context", "ts", "src", "seq"
     )
-    new_state = st.upsert_latest(state, writes)
-    if clock is not None:
-        new_state = st.expire_state(new_state, clock, st.ttl_micros(ttl) + st.ttl_micros(lateness))
-    _save(new_state, paths.state, batch_id)
-    # T5: the mark comes last, so what stops the query finds the batch complete
-    if first is not None:
-        _save(control.select("seq", "ts", "raw"), paths.control_out, batch_id)
-    for versions in (paths.state, paths.clock, paths.pending, paths.unclaimed):
-        _forget(spark, versions, batch_id)
-    for cached in (resolved, all_cmds, prepared, batch):
+    state.commit(last, batch_id, part, st.upsert_latest(None, writes), clock, horizon, cut)
+    for cached in (resolved, ops, cmds, prepared, control, batch):
         cached.unpersist()
+    return cut is None
+
 
+# ---------------------------------------------------------------------------
+# Requests and their results
 
-def flush_pending(spark: SparkSession, paths: RouterPaths, base_uri: str = jobs.BASE_URI, commands_topic: str = jobs.COMMANDS_TOPIC, events_topic: str = jobs.EVENTS_TOPIC) -> None:
-    """Settles what waits when no more input comes: requests fail, results go to the quarantine.
 
-    To be called once, on a router that has stopped and won't go on.
+def heartbeat(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
+    """Time stamps of the wall clock: what moves the watermarks on in a quiet system."""
+    return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().select(F.col("timestamp").cast("timestamp_ntz").alias("ts"))
+
+
+def answer_stream(
+    commands: DataFrame,
+    results: DataFrame,
+    ticks: DataFrame | None = None,
+    base_uri: str = jobs.BASE_URI,
+    result_timeout=RESULT_TIMEOUT,
+    lateness=LATENESS,
+) -> DataFrame:
+    """Accepted commands with their result (columns ``r_...``, null where it did not come in time), and results without a command.
+
+    A result may be ``lateness`` older than its command, and at most ``result_timeout`` younger.
     """
-    done = max(_batches(spark, paths.state), default=-1) + 1
-    waited = _load(spark, paths.pending, PENDING_SCHEMA, done)
-    cmds = cm.shape_requests(cm.prepare_commands(waited), base_uri)
-    results = _load(spark, paths.unclaimed, io.RAW_RESULT_SCHEMA, done)
-    answered, _none, unclaimed = settle(cmds, results, F.lit(True))
-    renv, bad_results = _respond(answered, commands_topic, events_topic)
-    lost = unclaimed.select(F.lit("unclaimed_result").alias("reason"), "seq", "ts", F.col("result_body").alias("raw"))
-    _save(io.order_by_key(renv), f"{paths.responses_out}/flush=1", done)
-    _save(bad_results.unionByName(_quarantined(lost, "commandResponse")), f"{paths.quarantine_out}/flush=1", done)
-
-
-def router_stream(events: DataFrame, commands: DataFrame, results: DataFrame | None = None) -> DataFrame:
-    """One streaming frame of all inputs: ``src`` 0 = command, 1 = event, 2 = result."""
+    micros = st.ttl_micros(lateness)
+    delay = f"{micros} microseconds"
     none = lambda kind: F.lit(None).cast(kind)
-    e = events.select("seq", "ts", none("long").alias("request_id"), "raw", F.lit(1).alias("src"))
-    c = commands.select("seq", "ts", "request_id", "raw", F.lit(0).alias("src"))
-    both = c.unionByName(e).withColumns({"status": none("int"), "result_body": none("string"), "duration_ms": none("double")})
-    if results is None:
-        return both
-    return both.unionByName(results.select(*io.RESULT_COLUMNS, none("string").alias("raw"), F.lit(2).alias("src")))
+    accepted = cm.shape_requests(cm.prepare_commands(commands), base_uri).filter(F.col("reason").isNull())
+    left = accepted.select(F.col("ts").cast("timestamp").alias("c_at"), "request_id", "seq", "ts", "raw")
+    right = results.select(F.col("ts").cast("timestamp").alias("r_at"), *(F.col(c).alias(f"r_{c}") for c in io.RESULT_COLUMNS))
+    if ticks is not None:
+        at = ticks.select(F.col("ts").cast("timestamp").alias("at"))
+        left = left.unionByName(at.select(F.col("at").alias("c_at"), *(none(f.dataType).alias(f.name) for f in left.schema.fields[1:])))
+        right = right.unionByName(at.select(F.col("at").alias("r_at"), *(none(f.dataType).alias(f.name) for f in right.schema.fields[1:])))
+    # ticks go once they have moved the watermark: an alternative on the event time keeps the filter above it
+    never = F.lit("0001-01-01 00:00:00").cast("timestamp")
+    left = left.withWatermark("c_at", delay).filter(F.col("request_id").isNotNull() | (F.col("c_at") < never))
+    right = right.withWatermark("r_at", delay).filter(F.col("r_request_id").isNotNull() | (F.col("r_at") < never))
+    within = (
+        (F.col("request_id") == F.col("r_request_id"))
+        & (F.col("r_at") >= F.col("c_at") - F.expr(f"interval {micros} microseconds"))
+        & (F.col("r_at") <= F.col("c_at") + F.expr(f"interval {st.ttl_micros(result_timeout)} microseconds"))
+    )
+    return left.join(right, within, "fullOuter").drop("c_at", "r_at")
+
+
+def _respond(answered: DataFrame, commands_topic: str, events_topic: str) -> tuple[DataFrame, DataFrame]:
+    """(response records, rows whose result is no JSON)."""
+    pay = cm.response_payloads(answered)
+    env = cm.response_envelopes(pay.filter(F.col("response_reason").isNull()), commands_topic).select(
+        F.lit(events_topic).alias("topic"),
+        F.col("callContext").alias("key"),
+        "value",
+        "ts",
+        F.lit(0).alias("src"),
+        "seq",
+        "request_id",
+        "status_code",
+        "commandId",
+        cm.flatten_resources(F.col("relations")).alias("resources"),
+    )
+    return env, _quarantined(pay.filter(F.col("response_reason").isNotNull()), "commandResponse", "response_reason")
+
+
+def process_answers(
+    batch: DataFrame,
+    batch_id: int,
+    paths: RouterPaths,
+    base_uri: str = jobs.BASE_URI,
+    commands_topic: str = jobs.COMMANDS_TOPIC,
+    events_topic: str = jobs.EVENTS_TOPIC,
+    result_timeout=RESULT_TIMEOUT,
+    lateness=LATENESS,
+    sinks: Sinks | None = None,
+) -> None:
+    """The body of the answering query's ``foreachBatch``: response records, and results that answer nothing.
+
+    Requests answered before are remembered (``KeyedState`` by request) for as
+    long as the join may bring another result of theirs.
+    """
+    spark = batch.sparkSession
+    sinks = sinks or Sinks()
+    state = KeyedState(spark, paths.answered)
+    last = state.latest()
+    if last.batch >= batch_id:
+        return
+    batch = batch.persist()
+    result = [c for c in io.RESULT_COLUMNS if c != "request_id"]
+    joined = batch.filter(F.col("request_id").isNotNull())
+    number = F.col("request_id").cast("string")
+    known = state.entries(last, joined.select(number.alias("resource_id"))).select(F.col("resource_id").cast("bigint").alias("request_id"), F.lit(True).alias("known"))
+    order = F.struct(F.col("r_ts").isNull(), "r_ts", "r_seq")
+    first = joined.groupBy("request_id").agg(F.min(order).alias("at"), F.first("seq").alias("seq"), F.first("ts").alias("ts"), F.first("raw").alias("raw"), F.min_by(F.struct(*(F.col(f"r_{c}").alias(c) for c in result)), order).alias("r"))
+    fresh = first.join(known, "request_id", "left_anti").persist()
+    commands = cm.shape_requests(cm.prepare_commands(fresh.select("seq", "ts", "request_id", "raw")), base_uri)
+    answered = cm.correlate_results(commands, fresh.select("request_id", "r.status", "r.result_body", "r.duration_ms"))
+    env, bad_results = _respond(answered, commands_topic, events_topic)
+    outbox = _save(io.order_by_key(env), paths.responses_out, batch_id)
+    _publish(sinks.responses, spark, outbox, "response", batch_id)
+
+    taken = fresh.select(F.col("request_id").alias("r_request_id"), F.col("r.seq").alias("r_seq"), F.col("r.ts").alias("r_ts"))
+    lost = lambda df, reason: df.select(F.lit("commandResponse").alias("processor"), F.lit(reason).alias("reason"), F.col("r_seq").alias("seq"), F.col("r_ts").alias("ts"), F.col("r_result_body").alias("raw"))
+    repeated = joined.filter(F.col("r_request_id").isNotNull()).join(taken, ["r_request_id", "r_seq", "r_ts"], "left_anti")
+    unclaimed = batch.filter(F.col("request_id").isNull())
+    _save(bad_results.unionByName(lost(repeated, "repeated_result")).unionByName(lost(unclaimed, "unclaimed_result")), f"{paths.quarantine_out}/answers", batch_id)
+
+    latest = batch.agg(F.max(F.greatest("ts", "r_ts")).alias("at")).first().at
+    clock = max((c for c in (last.clock, latest and _micros(latest)) if c is not None), default=None)
+    horizon = None if clock is None else clock - 2 * (st.ttl_micros(result_timeout) + st.ttl_micros(lateness))
+    state.commit(last, batch_id, 0, fresh.select(number.alias("resource_id"), F.lit("").alias("call_context"), F.col("ts").alias("written_at")), clock, horizon)
+    for cached in (fresh, batch):
+        cached.unpersist()
+
+
+# ---------------------------------------------------------------------------
+# the queries
+
+
+def router_stream(events: DataFrame, commands: DataFrame) -> DataFrame:
+    """One streaming frame of both inputs: ``src`` 0 = command, 1 = event."""
+    e = events.select("seq", "ts", F.lit(None).cast("long").alias("request_id"), "raw", F.lit(1).alias("src"))
+    return commands.select("seq", "ts", "request_id", "raw", F.lit(0).alias("src")).unionByName(e)
+
+
+class Router:
+    """The running queries of one router."""
+
+    def __init__(self, queries: list):
+        self.queries = queries
+
+    @property
+    def isActive(self) -> bool:  # noqa: N802 - as a streaming query has it
+        return any(q.isActive for q in self.queries)
+
+    def stop(self) -> None:
+        for q in self.queries:
+            q.stop()
+
+    def awaitTermination(self, seconds: float | None = None) -> bool:  # noqa: N802
+        """Wait for all queries; whether they ended. One that failed raises, unless it stopped at a control message."""
+        ended = True
+        for q in self.queries:
+            try:
+                ended &= q.awaitTermination(seconds) is not False if seconds is not None else q.awaitTermination() is None
+            except StreamingQueryException as failed:
+                if CONTROL_REACHED not in str(failed):
+                    self.stop()
+                    raise
+        return ended
 
 
 def start_router(
@@ -338,37 +415,62 @@ def start_router(
     commands: DataFrame,
     paths: RouterPaths,
     results: DataFrame | None = None,
+    ticks: DataFrame | None = None,
     available_now: bool = True,
+    result_timeout=RESULT_TIMEOUT,
+    lateness=LATENESS,
+    sinks: Sinks | None = None,
     **options,
-):
-    """Start the router query (checkpointed offsets, idempotent sinks); ``options`` as of ``process_batch``."""
-    writer = (
-        router_stream(events, commands, results)
-        .writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, paths, **options))
-        .option("checkpointLocation", paths.checkpoint)
-    )
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+) -> Router:
+    """Start the routing query and, with ``results``, the answering query (checkpointed offsets, idempotent outputs).
+
+    A start after a stop at a control message goes on behind it. ``options`` as of ``process_batch``.
+    """
+    def started(frame: DataFrame, body, checkpoint: str):
+        writer = frame.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
+
+    # a batch that was cut before this start goes on; one that this start cuts does not, should Spark bring it again
+    begun = KeyedState(spark, paths.state).latest()
+
+    def route(df: DataFrame, batch_id: int) -> None:
+        now = KeyedState(spark, paths.state).latest()
+        if not process_batch(df, batch_id, paths, lateness=lateness, sinks=sinks, resume=now.order == begun.order, **options):
+            raise ControlReached(CONTROL_REACHED)
+
+    queries = [started(router_stream(events, commands), route, paths.checkpoint)]
+    if results is not None:
+        shared = {k: v for k, v in options.items() if k in ("base_uri", "commands_topic", "events_topic")}
+        more = {"result_timeout": result_timeout, "lateness": lateness}
+        joined = answer_stream(commands, results, ticks, shared.get("base_uri", jobs.BASE_URI), **more)
+        queries.append(started(joined, lambda df, b: process_answers(df, b, paths, sinks=sinks, **more, **shared), paths.answers_checkpoint))
+    return Router(queries)
 
 
 def control_seen(spark: SparkSession, paths: RouterPaths) -> bool:
     """T5: has any complete batch carried a control message?"""
-    return any(_committed(spark, paths.control_out, b) for b in _batches(spark, paths.control_out))
+    batches = Folder(spark, paths.control_out)
+    return any(Folder(spark, f"{paths.control_out}/{b}/{p}").exists("_SUCCESS") for b in batches.names() for p in Folder(spark, f"{paths.control_out}/{b}").names())
 
 
-def stop_on_control(query, spark: SparkSession, paths: RouterPaths, poll_seconds: float = 1.0) -> bool:
-    """T5: stop the query once a control message has been processed.
+def stopped_at(spark: SparkSession, paths: RouterPaths) -> tuple[int, int] | None:
+    """T5: the control message, as (microseconds, seq), behind which rows of the last batch wait."""
+    return KeyedState(spark, paths.state).latest().cut
 
-    The batch carrying it is complete (its outputs are written) before the
-    query is stopped. Returns whether a control message was seen.
-    """
-    while query.isActive and not control_seen(spark, paths):
-        query.awaitTermination(poll_seconds)
-    if control_seen(spark, paths):
-        query.stop()
-    if query.exception() is not None:
-        raise query.exception()
-    return control_seen(spark, paths)
+
+def stop_on_control(router: Router, spark: SparkSession, paths: RouterPaths) -> bool:
+    """T5: wait for the router's end; whether it stopped at a control message, all rows up to it routed."""
+    routing = router.queries[0]
+    try:
+        routing.awaitTermination()
+    except StreamingQueryException as failed:
+        if CONTROL_REACHED not in str(failed):
+            router.stop()
+            raise
+    for q in router.queries[1:]:
+        q.processAllAvailable() if q.isActive else None
+        q.stop()
+    return stopped_at(spark, paths) is not None
 
 
 def tap_counts(spark: SparkSession, paths: RouterPaths) -> DataFrame:
@@ -378,7 +480,7 @@ def tap_counts(spark: SparkSession, paths: RouterPaths) -> DataFrame:
 
 
 def read_output(spark: SparkSession, path: str) -> DataFrame:
-    """All records below an output folder, those of a flush too."""
+    """All records below an output folder."""
     return spark.read.option("recursiveFileLookup", "true").parquet(path)
 
 
@@ -389,13 +491,16 @@ def feed_in_chunks(
     paths: RouterPaths,
     results: DataFrame | None,
     chunks: int = 3,
+    stop_at_control: bool = False,
+    result_timeout=RESULT_TIMEOUT,
+    lateness=LATENESS,
     **options,
 ) -> int:
-    """Replay tables as ``chunks`` arrivals in time order through the router.
+    """Replay tables as ``chunks`` arrivals in time order through the router, then one tick after the last timeout.
 
     Each arrival is written (in parallel) as new files of the input folders,
-    then the query restarts from its checkpoint with ``availableNow`` and
-    processes exactly the new files; a control message ends the replay if the
+    then the queries restart from their checkpoints with ``availableNow`` and
+    process exactly the new files; a control message ends the replay if the
     router is to stop at one. Returns the number of chunks consumed.
     """
     inputs = {"events": events_raw, "commands": commands_raw}
@@ -405,24 +510,31 @@ def feed_in_chunks(
     lo = min(s.lo for s in spans if s.lo is not None)
     hi = max(s.hi for s in spans if s.hi is not None)
     step = (hi - lo) / chunks
+    last = hi + timedelta(microseconds=st.ttl_micros(result_timeout) + 2 * st.ttl_micros(lateness) + 1_000_000)
     for k in range(chunks):
         since, until = F.col("ts") >= st.ntz_lit(lo + step * k), F.col("ts") < st.ntz_lit(lo + step * (k + 1))
         arrived = since & (until | F.lit(k == chunks - 1))
         for name, df in inputs.items():
             df.filter(arrived).write.mode("append").parquet(f"{paths.root}/in/{name}")
-        q = start_router(
+        at = [last] if k == chunks - 1 else []
+        spark.createDataFrame([(x,) for x in at], "ts timestamp_ntz").write.mode("append").parquet(f"{paths.root}/in/ticks")
+        router = start_router(
             spark,
             io.stream_events(spark, f"{paths.root}/in/events"),
             io.stream_commands(spark, f"{paths.root}/in/commands"),
             paths,
             io.stream_results(spark, f"{paths.root}/in/results") if results is not None else None,
+            spark.readStream.schema("ts timestamp_ntz").parquet(f"{paths.root}/in/ticks") if results is not None else None,
+            stop_at_control=stop_at_control,
+            result_timeout=result_timeout,
+            lateness=lateness,
             **options,
         )
-        if options.get("stop_at_control"):
-            if stop_on_control(q, spark, paths):
+        if stop_at_control:
+            if stop_on_control(router, spark, paths):
                 return k + 1
         else:
-            q.awaitTermination()
+            router.awaitTermination()
     return chunks
 
 
@@ -430,7 +542,4 @@ def new_paths(spark: SparkSession, name: str) -> RouterPaths:
     base = checkpoint_dir(spark)
     if base.startswith("file:"):
         base = base[len("file:"):]
-    import uuid
-
-    root = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-    return RouterPaths(root)
+    return RouterPaths(os.path.join(base, f"{name}-{uuid.uuid4().hex}"))

@@ -71,14 +71,13 @@ def test_stream_equals_batch(spark):
 
     paths = sm.new_paths(spark, "test-router")
     events, commands, results = fx.ari_events(spark, SF), fx.ari_commands(spark, SF), fx.ari_result_messages(spark, SF)
-    sm.feed_in_chunks(spark, events, commands, paths, results, chunks=2)
+    sm.feed_in_chunks(spark, events, commands, paths, results, chunks=2, result_timeout="48 hours")
     streamed = sm.read_output(spark, paths.events_out).select("seq", "key").collect()
     batch = jobs.route_events(events, commands).select("seq", "key").collect()
     assert sorted(streamed) == sorted(batch)
     counts = {(r.type): r.n for r in sm.tap_counts(spark, paths).collect()}
     batch_counts = {(r.type): r.n for r in catalog.q_event_counts(spark, SF).collect()}
     assert counts == batch_counts
-    sm.flush_pending(spark, paths)
     answered = sm.read_output(spark, paths.responses_out).select("request_id", "status_code").collect()
     expected = jobs.route_responses(commands, results.drop("seq", "ts")).select("request_id", "status_code").collect()
     assert sorted(answered) == sorted(expected)

@@ -3,7 +3,9 @@
 import json
 from datetime import datetime, timedelta
 
+from callroute.sources import io
 from callroute.streaming import stream as sm
+from callroute.streaming.keyed_state import KeyedState
 
 T0 = datetime(2024, 1, 1)
 COLUMNS = "seq long, ts timestamp_ntz, request_id long, raw string, src int, status int, result_body string, duration_ms double"
@@ -56,29 +58,81 @@ def test_late_events_are_routed_and_flagged(spark):
     assert out[2] == ("ctx-1", True) and out[3] == ("ctx-1", True) and out[4] == ("ctx-1", False)
 
 
+def arrive(spark, paths, rows, **options):
+    """Rows (and time stamps, as ticks) as new files of a router that takes them all in."""
+    frame = spark.createDataFrame([r for r in rows if isinstance(r, tuple)], COLUMNS).persist()
+    kinds = {"events": ("src = 1", ["seq", "ts", "raw"]), "commands": ("src = 0", ["seq", "ts", "request_id", "raw"]), "results": ("src = 2", io.RESULT_COLUMNS)}
+    for name, (which, columns) in kinds.items():
+        frame.where(which).select(*columns).coalesce(1).write.mode("append").parquet(f"{paths.root}/in/{name}")
+    spark.createDataFrame([(r,) for r in rows if not isinstance(r, tuple)], "ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{paths.root}/in/ticks")
+    return start(spark, paths, **options)
+
+
+def start(spark, paths, **options):
+    source = f"{paths.root}/in"
+    ticks = spark.readStream.schema("ts timestamp_ntz").parquet(f"{source}/ticks")
+    router = sm.start_router(
+        spark, io.stream_events(spark, f"{source}/events"), io.stream_commands(spark, f"{source}/commands"), paths,
+        io.stream_results(spark, f"{source}/results"), ticks, **options,
+    )
+    router.awaitTermination()
+    return router
+
+
+def quarantine(spark, paths):
+    return sorted((r.processor, r.reason, r.seq) for r in sm.read_output(spark, paths.quarantine_out).collect())
+
+
+def answers(spark, paths):
+    return sorted((r.request_id, r.status_code) for r in sm.read_output(spark, paths.responses_out).collect())
+
+
 def test_nothing_is_lost_without_a_reason(spark):
+    paths = sm.new_paths(spark, "test-stream")
     bad = (5, T0, None, "no json", 1, None, None, None)
-    paths = run(spark, [bad, event(6, 1, "nobody"), command(7, 1), (8, T0, 8, "[]", 0, None, None, None), result(7, 1, body="oops")])
-    lost = sorted((r.processor, r.reason, r.seq) for r in sm.read_output(spark, paths.quarantine_out).collect())
-    assert lost == [
+    arrive(spark, paths, [bad, event(6, 1, "nobody"), command(7, 1), (8, T0, 8, "[]", 0, None, None, None), result(7, 1, body="oops"), result(70, 1), result(8, 2)])
+    arrive(spark, paths, [T0 + timedelta(days=1)])
+    assert quarantine(spark, paths) == [
         ("commandResponse", "bad_response_body", 7), ("commandResponse", "malformed", 8),
+        ("commandResponse", "unclaimed_result", 8), ("commandResponse", "unclaimed_result", 70),
         ("event", "malformed", 5), ("event", "no_context", 6),
     ]
 
 
 def test_requests_wait_for_results(spark):
-    paths = run(
-        spark,
-        [command(1, 0), command(2, 0), result(3, 0, 204)],
-        [result(1, 1), command(3, 1), command(4, 59)],
-        [event(9, 60, "x")],
-        result_timeout="10 minutes",
-    )
-    answers = lambda: {r.request_id: r.status_code for r in sm.read_output(spark, paths.responses_out).collect()}
-    assert answers() == {1: 200, 2: 500, 3: 204}
+    paths = sm.new_paths(spark, "test-stream")
+    options = {"result_timeout": "10 minutes", "lateness": "5 minutes"}
+    arrive(spark, paths, [command(1, 0), command(2, 0), result(3, 0, 204)], **options)
+    assert answers(spark, paths) == []
+    arrive(spark, paths, [result(1, 1), command(3, 1), command(4, 59), event(9, 60, "x"), result(1, 2, 404)], **options)
+    assert answers(spark, paths) == [(1, 200), (3, 204)]
     assert {r.request_id for r in sm.read_output(spark, paths.requests_out).collect()} == {1, 2, 3, 4}
-    sm.flush_pending(spark, paths)
-    assert answers() == {1: 200, 2: 500, 3: 204, 4: 500}
+    # no new command, no new result: the clock alone fails what waits too long
+    arrive(spark, paths, [T0 + timedelta(minutes=30)], **options)
+    assert answers(spark, paths) == [(1, 200), (2, 500), (3, 204)]
+    arrive(spark, paths, [result(1, 8)], **options)
+    arrive(spark, paths, [T0 + timedelta(minutes=90)], **options)
+    assert answers(spark, paths) == [(1, 200), (2, 500), (3, 204), (4, 500)]
+    assert quarantine(spark, paths)[0] == ("commandResponse", "repeated_result", 1)
+
+
+def test_stop_and_restart_route_what_one_run_routes(spark):
+    rows = [event(1, 0, "c1", "StasisStart", "k"), event(2, 5, "c1"), event(3, 2, "c1", "ApplicationReplaced"), event(4, 1, "c1"), event(5, 9, "c1"), command(6, 4, "/channels/c2/play/p1"), event(7, 7, "p1", "PlaybackStarted"), event(8, 8, "c1", "ApplicationReplaced"), event(10, 10, "c9"), event(11, 11, "c1")]
+    rows = [(*r[:3], r[3].replace('"channel": {"id": "p1"}', '"playback": {"id": "p1"}'), *r[4:]) for r in rows]
+    plain, stopped = sm.new_paths(spark, "test-plain"), sm.new_paths(spark, "test-stop")
+    arrive(spark, plain, rows)
+    assert arrive(spark, stopped, rows, stop_at_control=True) and sm.stopped_at(spark, stopped) == (sm._micros(T0 + timedelta(minutes=2)), 3)
+    assert set(events_of(spark, stopped)) == {1, 4}
+    start(spark, stopped, stop_at_control=True)
+    assert set(events_of(spark, stopped)) == {1, 2, 4, 7} and sm.stopped_at(spark, stopped)[1] == 8
+    start(spark, stopped, stop_at_control=True)
+    assert sm.stopped_at(spark, stopped) is None and sm.control_seen(spark, stopped)
+    arrive(spark, stopped, [event(12, 12, "c1")], stop_at_control=True)
+    arrive(spark, plain, [event(12, 12, "c1")])
+    assert events_of(spark, stopped) == events_of(spark, plain) and set(events_of(spark, plain)) == {1, 2, 4, 5, 7, 11, 12}
+    assert quarantine(spark, stopped) == quarantine(spark, plain)
+    total = lambda p: sorted((r.type, r.n) for r in sm.tap_counts(spark, p).collect())
+    assert total(stopped) == total(plain)
 
 
 def test_cut_at_the_first_control_message(spark):
@@ -92,9 +146,20 @@ def test_cut_at_the_first_control_message(spark):
 
 
 def test_replayed_batch_writes_the_same(spark):
-    first, second = [event(1, 0, "c1", "StasisStart"), command(2, 0)], [event(3, 5, "c1"), result(2, 6)]
+    first, second = [event(1, 0, "c1", "StasisStart"), command(2, 0)], [event(3, 5, "c1"), command(4, 6, "/unknown")]
     paths = run(spark, first, second)
-    read = lambda: [sorted(map(str, sm.read_output(spark, p).collect())) for p in (paths.events_out, paths.responses_out, paths.quarantine_out, paths.state + "/batch=1")]
+    read = lambda: [sorted(map(str, sm.read_output(spark, p).collect())) for p in (paths.events_out, paths.requests_out, paths.quarantine_out, paths.state + "/batch=0")]
     before = read()
     sm.process_batch(spark.createDataFrame(second, COLUMNS), 1, paths)
     assert read() == before
+    # the batch failed before its version was stored: it is written again
+    state = KeyedState(spark, paths.state)
+    state.versions.delete(state.latest().name)
+    sm.process_batch(spark.createDataFrame(second, COLUMNS), 1, paths)
+    assert read() == before and state.latest().batch == 1
+
+
+def test_clock_is_monotone_and_bounded():
+    t = lambda m: T0 + timedelta(minutes=m)
+    assert sm.next_clock(None, t(5)) == t(5) and sm.next_clock(t(5), None) == t(5) and sm.next_clock(None, None) is None
+    assert sm.next_clock(t(5), t(1)) == t(5) and sm.next_clock(t(5), t(600), "1 hour") == t(65)
