@@ -104,7 +104,7 @@ def split_control(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def drop_reason(has_context: bool) -> Column:
     """Why an event is not routed (NULL when it is)."""
     reason = (
-        F.when(F.col("msg").isNull(), F.lit("malformed"))
+        F.when(F.col("malformed"), F.lit("malformed"))
         .when(~F.col("has_type"), F.lit("no_type"))
         .when(F.col("type") == CONTROL_TYPE, F.lit(None))
         .when(F.col("type") == UNKNOWN_TYPE, F.lit("unknown_type"))
@@ -130,7 +130,7 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     resolved. Control messages are in neither output (see ``split_control``).
     """
     df = with_drop_reason(df)
-    is_control = F.coalesce(F.col("type") == CONTROL_TYPE, F.lit(False)) & F.col("msg").isNotNull()
+    is_control = F.coalesce(F.col("type") == CONTROL_TYPE, F.lit(False)) & ~F.col("malformed")
     good = df.filter(F.col("reason").isNull() & ~is_control)
     bad = df.filter(F.col("reason").isNotNull())
     return good, bad
@@ -145,22 +145,27 @@ def event_resources(resource_type: Column, resource_id: Column) -> Column:
 
 
 def event_envelopes(df: DataFrame, commands_topic: str) -> DataFrame:
-    """The event envelope as a struct column ``envelope`` and JSON ``value``.
+    """The event envelope as a struct column ``envelope`` (where the parsed ``msg`` is there) and JSON ``value``.
 
     Null fields are written (``commandId: null``, ``commandRequest: null``).
+    The payload in ``value`` is the message's own text, so numbers, key order
+    and repeated keys stay as they came.
     """
-    envelope = F.struct(
-        F.col("type").alias("type"),
-        F.lit(commands_topic).alias("commandsTopic"),
-        F.col("msg").alias("payload"),
+    resources = event_resources(F.col("resource_type"), F.col("resource_id")).alias("resources")
+    head = [F.col("type").alias("type"), F.lit(commands_topic).alias("commandsTopic")]
+    tail = [
         F.col("call_context").alias("callContext"),
-        event_resources(F.col("resource_type"), F.col("resource_id")).alias("resources"),
+        resources,
         F.lit(None).cast("string").alias("commandId"),
         F.lit(None).cast("struct<method:string,url:string>").alias("commandRequest"),
-    )
-    return df.withColumn("envelope", envelope).withColumn(
-        "value", F.to_json(F.col("envelope"), {"ignoreNullFields": "false"})
-    )
+    ]
+    text = lambda fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    inside = lambda json: json.substr(F.lit(2), F.length(json) - 2)
+    value = F.concat(F.lit("{"), inside(text(head)), F.lit(',"payload":'), F.col("raw"), F.lit(","), inside(text(tail)), F.lit("}"))
+    df = df.withColumn("value", value)
+    if "msg" not in df.columns:
+        return df
+    return df.withColumn("envelope", F.struct(*head, F.col("msg").alias("payload"), *tail))
 
 
 def resource_type_label(col: Column) -> Column:

@@ -10,9 +10,12 @@ Scale design (no resource id is ever gathered into one group):
 * Ops are bucketed by ``(resource_id, floor(ts / ttl))``. Inside one bucket any
   two ops are less than ``ttl`` apart, so after the first write of a bucket
   every later op resolves against the latest in-bucket write, and before it
-  only the state carried in from bucket ``b-1`` can still be live. All of that
-  is window work partitioned by ``(resource_id, bucket)``: a hot id spreads
-  over as many tasks as it has buckets.
+  only the state carried in from bucket ``b-1`` can still be live.
+* A bucket of more than ``SLICE_ROWS`` ops is cut into slices of time, up to
+  ``SLICES``. A slice's effect is one row (its first and last put, its first
+  create); what enters a slice is a running composition of the rows before it.
+  All work on ops is by ``(resource_id, bucket, slice)``, so a hot id spreads
+  over as many tasks as it has slices.
 * The only sequential dependency left is the chain of *effective* creates
   through consecutive create-only buckets (a create is effective when the
   previous write has expired, which depends on the previous effective
@@ -23,6 +26,7 @@ Scale design (no resource id is ever gathered into one group):
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +39,9 @@ from callroute.session import materialize
 DEFAULT_TTL = "6 hours"
 _UNITS = {"micro": 1, "milli": 1_000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
-_FAR_PAST = -(2**62)
+SLICE_ROWS = 200_000  # ops of one id in one bucket that a task takes whole
+SLICES = 4_096  # slices of a bucket at most
+HOT_BROADCAST = 100_000  # split buckets (some 40 bytes each) up to which their table is broadcast
 P_NODE = -1  # path node of a bucket with explicit writes
 N_NODE = -2  # path node of a bucket without any write
 
@@ -75,9 +81,11 @@ def bucket_of(t: Column, width: int) -> Column:
 # Ops
 
 
-def event_ops(events: DataFrame) -> DataFrame:
+def event_ops(events: DataFrame, keep: dict[str, str] | None = None) -> DataFrame:
     """State ops of addressed events: ``put`` (StasisStart with channel variable),
-    ``create`` (StasisStart without), ``lookup`` (everything else)."""
+    ``create`` (StasisStart without), ``lookup`` (everything else).
+
+    ``keep``: columns of the events, and the names under which they are carried along."""
     k = (
         F.when((F.col("type") == CREATE_TYPE) & F.col("channel_var").isNotNull(), F.lit("put"))
         .when(F.col("type") == CREATE_TYPE, F.lit("create"))
@@ -90,6 +98,7 @@ def event_ops(events: DataFrame) -> DataFrame:
         F.col("seq"),
         k.alias("k"),
         F.when(k == "put", F.col("channel_var")).alias("ctx"),
+        *(F.col(c).alias(name) for c, name in (keep or {}).items()),
     )
 
 
@@ -121,7 +130,58 @@ def state_ops(state: DataFrame) -> DataFrame:
 # J3
 
 
-def resolve_contexts(ops: DataFrame, ttl=DEFAULT_TTL) -> DataFrame:
+def slices_of(rows: DataFrame, width: int, slice_rows: int) -> DataFrame | None:
+    """``rid, b, n``: the buckets of more than ``slice_rows`` rows and how many slices of time each gets; None if there is none."""
+    big = rows.groupBy("rid", "b").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > slice_rows)
+    n = F.least(F.ceil(F.col("rows") / slice_rows) * 4, F.lit(min(SLICES, width)))
+    hot = materialize(big.select("rid", "b", n.cast("long").alias("n")))
+    found = hot.count()  # at most rows / slice_rows
+    if not found:
+        return None
+    return F.broadcast(hot) if found <= HOT_BROADCAST else hot
+
+
+def with_slice(rows: DataFrame, hot: DataFrame | None, width: int) -> DataFrame:
+    """Adds ``slice``: the part of its bucket's time that ``t`` lies in, 0 in buckets that are not split."""
+    if hot is None:
+        return rows.withColumn("slice", F.lit(0).cast("long"))
+    inside = F.col("t") - F.col("b") * F.lit(width)
+    each = F.ceil(F.lit(width) / F.col("n"))  # slices of equal length, the last one shorter
+    return rows.join(hot, ["rid", "b"], "left").withColumn("slice", F.coalesce(F.floor(inside / each), F.lit(0)).cast("long")).drop("n")
+
+
+@dataclass
+class Fold:
+    """What every slice of every bucket needs to know of the rest: see ``fold``."""
+
+    ops: DataFrame  # rid, ts, src, seq, k, ctx, t, b
+    known: DataFrame  # per (rid, b, slice): w_in, ctx_in, eff_seq, carry
+    hot: DataFrame | None
+    width: int
+
+    def resolve(self, rows: DataFrame) -> DataFrame:
+        """``call_context`` and ``written`` of ``rows``: those of ``ops``, in any columns beside ``rid, t, b, src, seq, k, ctx``.
+
+        One exchange by (id, bucket, slice) serves the join and the window.
+        """
+        res = with_slice(rows, self.hot, self.width).join(self.known, ["rid", "b", "slice"], "left")
+        is_put = F.col("k") == "put"
+        is_write = is_put | ((F.col("k") == "create") & (F.col("seq") == F.col("eff_seq")))
+        res = res.withColumn("written", F.coalesce(is_write, F.lit(False)))
+        write_ctx = F.when(is_put, F.col("ctx")).when(F.col("written"), generated_context(F.col("rid"), F.col("seq")))
+        here = Window.partitionBy("rid", "b", "slice").orderBy("t", "src", "seq").rowsBetween(Window.unboundedPreceding, 0)
+        latest = F.last("_wctx", ignorenulls=True).over(here)
+        live_in = F.col("t") < F.col("w_in") + F.lit(self.width)
+        res = res.withColumn("_wctx", write_ctx)
+        res = res.withColumn("call_context", F.coalesce(latest, F.col("carry"), F.when(live_in, F.col("ctx_in"))))
+        return res.drop("_wctx", "w_in", "ctx_in", "eff_seq", "carry", "slice")
+
+
+def with_bucket(rows: DataFrame, width: int) -> DataFrame:
+    return rows.withColumn("t", micros(F.col("ts"))).withColumn("b", bucket_of(F.col("t"), width))
+
+
+def resolve_contexts(ops: DataFrame, ttl=DEFAULT_TTL, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Call context of every op under the full policy, with expiry.
 
     ``ops``: ``rid, ts, src, seq, k in (put, create, lookup), ctx`` (ctx for puts).
@@ -133,26 +193,41 @@ def resolve_contexts(ops: DataFrame, ttl=DEFAULT_TTL) -> DataFrame:
     Returns ``rid, ts, src, seq, k, call_context, written`` (``written``: this
     op wrote the state).
     """
+    done = fold(ops, ttl, slice_rows)
+    return done.resolve(done.ops).select("rid", "ts", "src", "seq", "k", "call_context", "written")
+
+
+def fold(ops: DataFrame, ttl=DEFAULT_TTL, slice_rows: int = SLICE_ROWS) -> Fold:
+    """J3 up to the last step: what is carried into each slice of each ``(id, bucket)``.
+
+    A bucket of more than ``slice_rows`` ops is cut into slices of time. The
+    effect of a slice is summed up in one row (first and last write named in
+    it, first create); what enters a slice is a running sum of those before
+    it, so no task needs more than one slice of an id.
+    """
     T = ttl_micros(ttl)
-    o = (
-        ops.select("rid", "ts", "src", "seq", "k", "ctx")
-        .withColumn("t", micros(F.col("ts")))
-        .withColumn("b", bucket_of(F.col("t"), T))
+    o = materialize(with_bucket(ops.select("rid", "ts", "src", "seq", "k", "ctx"), T))
+    hot = slices_of(o, T, slice_rows)
+    sliced = with_slice(o, hot, T)
+    is_put, is_create = F.col("k") == "put", F.col("k") == "create"
+    at = F.struct("t", "src", "seq")
+    slices = materialize(
+        sliced.groupBy("rid", "b", "slice").agg(
+            F.min(F.when(is_put, at)).alias("first_put"),
+            F.max_by(F.struct("t", "ctx"), F.when(is_put, at)).alias("last_put"),
+            F.min(F.when(is_create, at)).alias("first_create"),
+        )
     )
-    wb = Window.partitionBy("rid", "b").orderBy("t", "src", "seq")
-    run_incl = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_put = F.col("k") == "put"
-    o = o.withColumn("puts_upto", F.sum(is_put.cast("int")).over(run_incl))
-    # candidates: creates before the first put of their bucket
-    o = o.withColumn("cand", (F.col("k") == "create") & (F.col("puts_upto") == 0))
-    o = materialize(o)
 
     # one row per (rid, bucket)
-    summary = o.groupBy("rid", "b").agg(
-        F.max(is_put.cast("int")).cast("boolean").alias("has_put"),
-        F.max_by(F.struct("t", "ctx"), F.when(is_put, F.struct("t", "src", "seq"))).alias("last_put"),
-        F.min(F.when(F.col("cand"), F.struct("t", "seq"))).alias("first_cand"),
+    summary = slices.groupBy("rid", "b").agg(
+        F.min("first_put").alias("first_put"),
+        F.max_by("last_put", F.when(F.col("last_put").isNotNull(), F.col("slice"))).alias("last_put"),
+        F.min("first_create").alias("first_create"),
     )
+    # a create counts as long as no put of its bucket came before
+    counts = F.col("first_put").isNull() | (F.col("first_create") < F.col("first_put"))
+    summary = summary.withColumn("has_put", F.col("first_put").isNotNull()).withColumn("first_cand", F.when(counts, F.col("first_create")))
     wr = Window.partitionBy("rid").orderBy("b")
     buckets = (
         summary.withColumn("prev_b", F.lag("b").over(wr))
@@ -172,19 +247,20 @@ def resolve_contexts(ops: DataFrame, ttl=DEFAULT_TTL) -> DataFrame:
     run_len = buckets.groupBy("rid", "run_start").agg((F.max("b") - F.col("run_start") + 1).alias("n"))
     max_run = run_len.agg(F.max("n")).collect()[0][0] or 1
 
-    # path node at the first bucket of every run
+    # path node at the first bucket of every run: its number and the time it was written
     restart_node = F.when(F.col("has_put"), F.lit(P_NODE)).otherwise(
         F.coalesce(F.col("first_cand.seq"), F.lit(N_NODE))
     )
-    known = buckets.filter(F.col("restart")).select("rid", "b", restart_node.alias("nseq"))
+    restart_time = F.when(F.col("has_put"), F.col("last_put.t")).otherwise(F.col("first_cand.t"))
+    known = buckets.filter(F.col("restart")).select("rid", "b", restart_node.alias("nseq"), restart_time.alias("nt"))
 
     if max_run > 1:
-        jump = _first_jumps(o, buckets, T)
+        jump = _first_jumps(sliced.filter(is_create), slices, buckets, hot, T)
         k = 0
         while (1 << k) < max_run:
             ext = (
-                known.join(jump, ["rid", "b", "nseq"])
-                .select("rid", F.col("to_b").alias("b"), F.col("to_nseq").alias("nseq"))
+                known.drop("nt").join(jump, ["rid", "b", "nseq"])
+                .select("rid", F.col("to_b").alias("b"), F.col("to_nseq").alias("nseq"), F.col("to_t").alias("nt"))
             )
             known = known.unionByName(ext)
             if (2 << k) < max_run:
@@ -200,100 +276,93 @@ def resolve_contexts(ops: DataFrame, ttl=DEFAULT_TTL) -> DataFrame:
                     F.col("j1.nseq").alias("nseq"),
                     F.col("j2.to_b").alias("to_b"),
                     F.col("j2.to_nseq").alias("to_nseq"),
+                    F.col("j2.to_t").alias("to_t"),
                 )
                 jump = materialize(jump)
             known = materialize(known)
             k += 1
 
     # write carried into every bucket: the path node of bucket b-1
-    node_w = known.join(buckets.select("rid", "b", "last_put"), ["rid", "b"]).join(
-        o.filter("cand").select("rid", "b", F.col("seq").alias("nseq"), F.col("t").alias("ct")),
-        ["rid", "b", "nseq"],
-        "left",
-    )
-    carried = node_w.select(
+    node_w = known.join(buckets.select("rid", "b", "last_put"), ["rid", "b"])
+    carried = node_w.filter(F.col("nt").isNotNull()).select(
         "rid",
         (F.col("b") + 1).alias("b"),
-        F.when(F.col("nseq") == P_NODE, F.col("last_put.t"))
-        .when(F.col("nseq") >= 0, F.col("ct"))
-        .alias("w_in"),
+        F.col("nt").alias("w_in"),
         F.when(F.col("nseq") == P_NODE, F.col("last_put.ctx"))
-        .when(F.col("nseq") >= 0, generated_context(F.col("rid"), F.col("nseq")))
+        .otherwise(generated_context(F.col("rid"), F.col("nseq")))
         .alias("ctx_in"),
-    ).filter(F.col("w_in").isNotNull())
-    bucket_in = buckets.select("rid", "b").join(carried, ["rid", "b"], "left")
-
-    # effective create of every bucket: first candidate at or after w_in + ttl
-    eff = (
-        o.filter("cand")
-        .select("rid", "b", "t", "seq")
-        .join(bucket_in, ["rid", "b"])
-        .filter(F.col("w_in").isNull() | (F.col("t") >= F.col("w_in") + F.lit(T)))
-        .groupBy("rid", "b")
-        .agg(F.min(F.struct("t", "seq"))["seq"].alias("eff_seq"))
-    )
-    bucket_info = bucket_in.join(eff, ["rid", "b"], "left")
-
-    res = o.join(bucket_info, ["rid", "b"], "left")
-    is_write = is_put | ((F.col("k") == "create") & F.col("cand") & (F.col("seq") == F.col("eff_seq")))
-    res = res.withColumn("written", F.coalesce(is_write, F.lit(False)))
-    write_ctx = F.when(is_put, F.col("ctx")).when(
-        F.col("written"), generated_context(F.col("rid"), F.col("seq"))
-    )
-    res = res.withColumn("_wctx", write_ctx)
-    latest = F.last("_wctx", ignorenulls=True).over(run_incl)
-    live_in = F.col("t") < F.col("w_in") + F.lit(T)
-    res = res.withColumn(
-        "call_context", F.coalesce(latest, F.when(live_in, F.col("ctx_in")))
     )
-    return res.select("rid", "ts", "src", "seq", "k", "call_context", "written")
+    bucket_in = buckets.select("rid", "b", "first_put", "first_cand").join(carried, ["rid", "b"], "left")
+    into = slices.select("rid", "b", "slice").join(bucket_in, ["rid", "b"])
 
-
-def _first_jumps(o: DataFrame, buckets: DataFrame, T: int) -> DataFrame:
+    # effective create of every bucket: first candidate at or after w_in + ttl
+    counts = F.col("first_put").isNull() | (at < F.col("first_put"))
+    entered = into.filter(F.col("w_in").isNotNull() & F.col("first_cand").isNotNull()).select("rid", "b", "slice", "w_in", "first_put")
+    later = sliced.filter(is_create).join(entered, ["rid", "b", "slice"]).filter(counts & (F.col("t") >= F.col("w_in") + F.lit(T)))
+    eff = later.groupBy("rid", "b").agg(F.min(F.struct("t", "seq", "slice")).alias("eff"))
+    free = F.col("w_in").isNull() & F.col("first_cand").isNotNull()
+    first = bucket_in.filter(free).select("rid", "b", F.col("first_cand.t").alias("t"), F.col("first_cand.seq").alias("seq"))
+    eff = eff.select("rid", "b", "eff.seq", "eff.slice").unionByName(with_slice(first, hot, T).select("rid", "b", "seq", "slice"))
+    eff = eff.withColumnsRenamed({"seq": "eff_seq", "slice": "eff_slice"})
+
+    # what enters a slice: the last put of the slices before it, else the effective create if it lies there
+    before = Window.partitionBy("rid", "b").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    puts = slices.select("rid", "b", "slice", F.last("last_put.ctx", ignorenulls=True).over(before).alias("put_before"))
+    into = into.select("rid", "b", "slice", "w_in", "ctx_in").join(puts, ["rid", "b", "slice"]).join(eff, ["rid", "b"], "left")
+    made = F.when(F.col("eff_slice") < F.col("slice"), generated_context(F.col("rid"), F.col("eff_seq")))
+    into = into.select("rid", "b", "slice", "w_in", "ctx_in", "eff_seq", F.coalesce("put_before", made).alias("carry"))
+    return Fold(o, into, hot, T)
+
+
+def _first_jumps(creates: DataFrame, slices: DataFrame, buckets: DataFrame, hot: DataFrame | None, T: int) -> DataFrame:
     """J_0: for every possible path node of a bucket whose run continues into
-    ``b+1``, the path node of ``b+1`` (an as-of lookup per ``(rid, b+1)``)."""
-    cont = buckets.filter("continues").select("rid", "b", "has_put", "last_put", "first_cand")
-    # nodes with a write time: the put node, or any candidate create of a create-only bucket
+    ``b+1``, the path node of ``b+1`` (an as-of lookup per slice of ``(rid, b+1)``)."""
+    cont = buckets.filter("continues").select("rid", "b", "has_put", "last_put")
+    here = lambda keys: creates.join(slices.select("rid", "b", "slice").join(keys, ["rid", "b"], "left_semi"), ["rid", "b", "slice"], "left_semi")
+    # nodes with a write time: the put node, or any create of a create-only bucket
     put_nodes = cont.filter("has_put").select(
-        "rid", "b", F.lit(P_NODE).alias("nseq"), F.col("last_put.t").alias("w")
-    )
-    cand_nodes = (
-        o.filter("cand")
-        .select("rid", "b", F.col("seq").alias("nseq"), F.col("t").alias("w"))
-        .join(cont.filter(~F.col("has_put")).select("rid", "b"), ["rid", "b"], "left_semi")
+        "rid", "b", F.lit(P_NODE).cast("long").alias("nseq"), F.col("last_put.t").alias("w")
     )
+    cand_nodes = here(cont.filter(~F.col("has_put"))).select("rid", "b", F.col("seq").alias("nseq"), F.col("t").alias("w"))
     none_nodes = cont.filter(~F.col("has_put")).select(
-        "rid", "b", F.lit(N_NODE).alias("nseq"), F.lit(None).cast("long").alias("w")
+        "rid", "b", F.lit(N_NODE).cast("long").alias("nseq"), F.lit(None).cast("long").alias("w")
     )
     nodes = put_nodes.unionByName(cand_nodes).unionByName(none_nodes)
-    probes = nodes.select(
-        "rid",
-        (F.col("b") + 1).alias("tb"),
-        F.coalesce(F.col("w") + F.lit(T), F.lit(_FAR_PAST)).alias("pt"),
-        F.lit(0).alias("kind"),
-        F.lit(None).cast("long").alias("cseq"),
-        F.col("b").alias("from_b"),
-        F.col("nseq").alias("from_nseq"),
+    # a node of bucket b expires in bucket b+1: the first create there, at that time or later, follows it
+    probes = with_slice(
+        nodes.select(
+            "rid",
+            (F.col("b") + 1).alias("b"),
+            F.coalesce(F.col("w"), F.col("b") * F.lit(T)).alias("w"),
+            F.col("w").isNull().alias("any"),
+            F.col("nseq").alias("from_nseq"),
+        ).withColumn("t", F.col("w") + F.lit(T)),
+        hot,
+        T,
+    ).select("rid", "b", "slice", "t", F.lit(0).alias("kind"), F.lit(None).cast("struct<seq:bigint,t:bigint>").alias("node"), "from_nseq")
+    targets = buckets.filter("continues").select("rid", (F.col("b") + 1).alias("b"))
+    cands = here(targets).select(
+        "rid", "b", "slice", "t", F.lit(1).alias("kind"), F.struct("seq", "t").alias("node"), F.lit(None).cast("long").alias("from_nseq")
     )
-    targets = buckets.filter("continues").select("rid", (F.col("b") + 1).alias("tb"))
-    cands = (
-        o.filter("cand")
-        .select("rid", F.col("b").alias("tb"), F.col("t").alias("pt"), F.lit(1).alias("kind"),
-                F.col("seq").alias("cseq"), F.lit(None).cast("long").alias("from_b"),
-                F.lit(None).cast("long").alias("from_nseq"))
-        .join(targets, ["rid", "tb"], "left_semi")
-    )
-    w = Window.partitionBy("rid", "tb").orderBy("pt", "kind", "cseq").rowsBetween(
+    w = Window.partitionBy("rid", "b", "slice").orderBy("t", "kind", "node.seq").rowsBetween(
         Window.currentRow, Window.unboundedFollowing
     )
-    found = F.first("cseq", ignorenulls=True).over(w)
-    both = probes.unionByName(cands).withColumn("succ", found).filter(F.col("kind") == 0)
-    jump = both.select(
+    found = probes.unionByName(cands).withColumn("succ", F.first("node", ignorenulls=True).over(w)).filter(F.col("kind") == 0)
+    if hot is not None:  # none in the probe's own slice: the first of the slices after it
+        after = Window.partitionBy("rid", "b").orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+        firsts = slices.select("rid", "b", "slice", F.struct(F.col("first_create.seq").alias("seq"), F.col("first_create.t").alias("t")).alias("s"), F.col("first_create").isNotNull().alias("is"))
+        firsts = firsts.select("rid", "b", "slice", F.when(F.col("is"), F.col("s")).alias("s"))
+        places = firsts.unionByName(probes.select("rid", "b", "slice").distinct().withColumn("s", F.lit(None).cast("struct<seq:bigint,t:bigint>")))
+        places = places.groupBy("rid", "b", "slice").agg(F.max("s").alias("s"))
+        following = places.select("rid", "b", "slice", F.first("s", ignorenulls=True).over(after).alias("next"))
+        found = found.join(following, ["rid", "b", "slice"], "left").withColumn("succ", F.coalesce("succ", "next"))
+    jump = found.select(
         "rid",
-        F.col("from_b").alias("b"),
+        (F.col("b") - 1).alias("b"),
         F.col("from_nseq").alias("nseq"),
-        F.col("tb").alias("to_b"),
-        F.coalesce(F.col("succ"), F.lit(N_NODE)).alias("to_nseq"),
+        F.col("b").alias("to_b"),
+        F.coalesce(F.col("succ.seq"), F.lit(N_NODE).cast("long")).alias("to_nseq"),
+        F.col("succ.t").alias("to_t"),
     )
     return materialize(jump)
 
@@ -302,33 +371,30 @@ def _first_jumps(o: DataFrame, buckets: DataFrame, T: int) -> DataFrame:
 # J2 and the re-aimed store operations
 
 
-def lookup_contexts(lookups: DataFrame, writes: DataFrame, bucket: str = "1 day") -> DataFrame:
+def lookup_contexts(lookups: DataFrame, writes: DataFrame, bucket: str = "1 day", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """As-of left join, no expiry: latest write at or before each lookup.
 
     ``lookups``: ``rid, ts, src, seq``; ``writes``: ``rid, ts, src, seq, ctx``.
-    Order is ``(ts, src, seq)``. Work is split by ``(rid, day)``: the in-day
-    latest write comes from a window per (rid, day); older writes come from a
-    per-day summary carried forward over days (a few hundred rows per id).
+    Order is ``(ts, src, seq)``. Work is split by ``(rid, day)``, and a day of
+    more than ``slice_rows`` rows into slices of time: the latest write inside
+    comes from a window per slice; older writes come from a summary of one row
+    per slice, carried forward.
     """
     W = ttl_micros(bucket)
-    both = (
+    both = with_bucket(
         lookups.select("rid", "ts", "src", "seq", F.lit(None).cast("string").alias("ctx"), F.lit(False).alias("is_w"))
-        .unionByName(writes.select("rid", "ts", "src", "seq", "ctx", F.lit(True).alias("is_w")))
-        .withColumn("t", micros(F.col("ts")))
-        .withColumn("b", bucket_of(F.col("t"), W))
-    )
-    wb = Window.partitionBy("rid", "b").orderBy("t", "src", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("in_bucket", F.last(F.when(F.col("is_w"), F.col("ctx")), ignorenulls=True).over(wb))
-    day_last = both.filter("is_w").groupBy("rid", "b").agg(
-        F.max_by("ctx", F.struct("t", "src", "seq")).alias("last_ctx")
+        .unionByName(writes.select("rid", "ts", "src", "seq", "ctx", F.lit(True).alias("is_w"))),
+        W,
     )
-    wd = Window.partitionBy("rid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    # buckets with lookups but no writes need the carry too
-    lk_buckets = both.filter(~F.col("is_w")).select("rid", "b").distinct()
-    all_b = lk_buckets.join(day_last, ["rid", "b"], "full")
-    carry_all = all_b.withColumn("carry", F.last("last_ctx", ignorenulls=True).over(wd)).select("rid", "b", "carry")
-    res = both.filter(~F.col("is_w")).join(carry_all, ["rid", "b"], "left")
-    return res.select("rid", "ts", "src", "seq", F.coalesce("in_bucket", "carry").alias("call_context"))
+    both = materialize(both)
+    both = with_slice(both, slices_of(both, W, slice_rows), W)
+    part = ["rid", "b", "slice"]
+    summary = both.groupBy(*part).agg(F.max_by("ctx", F.when(F.col("is_w"), F.struct("t", "src", "seq"))).alias("last_ctx"))
+    before = Window.partitionBy("rid").orderBy("b", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*part, F.last("last_ctx", ignorenulls=True).over(before).alias("carry"))
+    inside = Window.partitionBy(*part).orderBy("t", "src", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    res = both.join(carry, part, "left").withColumn("here", F.last(F.when(F.col("is_w"), F.col("ctx")), ignorenulls=True).over(inside))
+    return res.filter(~F.col("is_w")).select("rid", "ts", "src", "seq", F.coalesce("here", "carry").alias("call_context"))
 
 
 def upsert_latest(state: DataFrame | None, writes: DataFrame) -> DataFrame:
@@ -368,15 +434,13 @@ def lookup_layered(keys: DataFrame, recent: DataFrame, base: DataFrame, key: str
 
     ``layer`` says which answered (``recent``, ``base`` or NULL on a miss).
     """
-    r = recent.select(F.col("resource_id").alias(key), F.col("call_context").alias("_r"))
-    b = base.select(F.col("resource_id").alias(key), F.col("call_context").alias("_b"))
-    j = keys.join(r, key, "left").join(b, key, "left")
-    return j.withColumns(
-        {
-            "call_context": F.coalesce("_r", "_b"),
-            "layer": F.when(F.col("_r").isNotNull(), F.lit("recent")).when(F.col("_b").isNotNull(), F.lit("base")),
-        }
-    ).drop("_r", "_b")
+    layer = lambda df, rank, name: df.filter(F.col("call_context").isNotNull()).select(
+        F.col("resource_id").alias(key), F.lit(rank).alias("_rank"), "call_context", F.lit(name).alias("layer")
+    )
+    both = layer(recent, 2, "recent").unionByName(layer(base, 1, "base"))
+    # the layers meet first, one row per id, so the keys are joined once
+    top = both.groupBy(key).agg(F.max_by(F.struct("call_context", "layer"), "_rank").alias("_top"))
+    return keys.join(top, key, "left").select(*keys.columns, "_top.call_context", "_top.layer")
 
 
 def with_state_key(df: DataFrame, col: str = "resource_id") -> DataFrame:
@@ -388,6 +452,7 @@ __all__ = [
     "event_ops",
     "registration_ops",
     "state_ops",
+    "fold",
     "resolve_contexts",
     "lookup_contexts",
     "upsert_latest",

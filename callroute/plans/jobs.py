@@ -27,23 +27,29 @@ _HISTOGRAM = {f".{c}": c for c in ["count", "sum", "max", *mt.QUANTILES, *(f"le_
 BASE_URI = "http://localhost:8088/ari"
 
 
-def routed_events(events_raw: DataFrame, commands_raw: DataFrame, ttl=st.DEFAULT_TTL) -> DataFrame:
-    """Parsed events (control messages removed) with their resolved ``call_context``."""
+def routed_events(events_raw: DataFrame, commands_raw: DataFrame, ttl=st.DEFAULT_TTL, unaddressed: bool = True) -> DataFrame:
+    """Parsed events (control messages removed) with their resolved ``call_context``; ``unaddressed``: those without a resource id too."""
     prepared = ev.prepare_events(events_raw)
     data, _control = ev.split_control(prepared)
-    return attach_contexts(data, cm.context_registrations(cm.prepare_commands(commands_raw)), ttl)
+    return attach_contexts(data, cm.context_registrations(cm.prepare_commands(commands_raw)), ttl, unaddressed)
 
 
-def attach_contexts(data: DataFrame, regs: DataFrame, ttl=st.DEFAULT_TTL) -> DataFrame:
-    """J3 for prepared events: adds ``call_context`` and ``context_written``."""
-    ops = st.event_ops(data).unionByName(st.registration_ops(regs))
-    resolved = (
-        st.resolve_contexts(ops, ttl)
-        .filter(F.col("src") == 1)
-        .select("seq", F.col("rid").alias("resource_id"), "call_context", F.col("written").alias("context_written"))
-    )
-    # the resource too: a context never reaches another resource's event
-    return data.join(resolved, ["seq", "resource_id"], "left")
+def attach_contexts(data: DataFrame, regs: DataFrame, ttl=st.DEFAULT_TTL, unaddressed: bool = True) -> DataFrame:
+    """J3 for prepared events: adds ``call_context`` and ``context_written``.
+
+    The events' columns go with their op through the last step of the fold, so
+    they are exchanged once, by (id, bucket, slice), and never joined back.
+    """
+    done = st.fold(st.event_ops(data).unionByName(st.registration_ops(regs)), ttl)
+    carried = {c: f"event_{c}" for c in data.columns}
+    rows = st.with_bucket(st.event_ops(data, carried), done.width)
+    registered = done.ops.filter(F.col("src") != 1)
+    resolved = done.resolve(rows.unionByName(registered, allowMissingColumns=True)).filter(F.col("src") == 1)
+    named = resolved.select(*(F.col(n).alias(c) for c, n in carried.items()), "call_context", F.col("written").alias("context_written"))
+    if not unaddressed:
+        return named
+    rest = data.filter(F.col("resource_id").isNull())
+    return named.unionByName(rest.withColumns({"call_context": F.lit(None).cast("string"), "context_written": F.lit(False)}))
 
 
 def route_events(
@@ -58,7 +64,7 @@ def route_events(
     Output: ``topic, key, value, ts, src, seq, type, resource_type, resource_id``,
     hash-partitioned by ``key`` and sorted within partitions.
     """
-    good, _bad = ev.quarantine(routed_events(events_raw, commands_raw, ttl))
+    good, _bad = ev.quarantine(routed_events(events_raw, commands_raw, ttl, unaddressed=False))
     env = ev.event_envelopes(good, commands_topic)
     out = env.select(
         F.lit(events_topic).alias("topic"),

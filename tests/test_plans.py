@@ -37,6 +37,47 @@ def test_scan_prunes_columns(spark):
     assert "props" not in p and "value:double" not in p
 
 
+def _exchanges(node, leaf, seen=()):
+    """For every scan whose text has ``leaf``: the exchanges between it and the root."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _exchanges(node.initialPlan(), leaf, seen)
+    if name == "Exchange":
+        seen = (*seen, node.outputPartitioning().toString())
+    children = node.children()
+    if not children.size():
+        return [seen] if leaf in node.simpleString(10_000) else []
+    return [x for i in range(children.size()) for x in _exchanges(children.apply(i), leaf, seen)]
+
+
+@needs_data
+def test_payload_is_exchanged_twice(spark):
+    """Q1: each event's text goes to its slice and then to its key, in one pass over the events."""
+    from callroute.plans import jobs
+    from callroute.sources import fixtures as fx
+
+    out = jobs.route_events(fx.ari_events(spark, SF), fx.ari_commands(spark, SF))
+    paths = _exchanges(out._jdf.queryExecution().executedPlan(), "events.parquet")
+    assert len(paths) == 1 and len(paths[0]) == 2, paths
+    assert paths[0][0].startswith("hashpartitioning(key") and "slice" in paths[0][1]
+
+
+@needs_data
+def test_payload_text_is_untouched(spark):
+    import json
+
+    from callroute.operators import events as ev
+
+    raw = ' {"type":"StasisStart","big":123456789012345678901234567890123456789012345678901,"a":1,"a":2.50,"channel":{"id":"c\\u00e9\\"x"}} '
+    row = spark.createDataFrame([(1, raw)], "seq long, raw string").withColumn("call_context", F.lit('k"\\'))
+    out = ev.event_envelopes(ev.prepare_events(row), "t").first()
+    assert raw in out.value
+    value = json.loads(out.value)
+    assert list(value) == ["type", "commandsTopic", "payload", "callContext", "resources", "commandId", "commandRequest"]
+    assert value["callContext"] == 'k"\\' and value["resources"] == [{"type": "CHANNEL", "id": 'cé"x'}] and value["commandId"] is None
+    assert value["payload"]["big"] == 123456789012345678901234567890123456789012345678901
+
+
 @needs_data
 def test_entry_and_contract(spark):
     import __spark_entry__ as entry

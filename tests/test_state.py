@@ -14,9 +14,9 @@ T0 = datetime(2024, 1, 1)
 TTL = timedelta(hours=6)
 
 
-def _run(spark, ops, ttl="6 hours"):
+def _run(spark, ops, ttl="6 hours", slice_rows=st.SLICE_ROWS):
     df = spark.createDataFrame(ops, SCHEMA)
-    got = {(r.rid, r.src, r.seq): (r.call_context, r.written) for r in st.resolve_contexts(df, ttl).collect()}
+    got = {(r.rid, r.src, r.seq): (r.call_context, r.written) for r in st.resolve_contexts(df, ttl, slice_rows).collect()}
     return got
 
 
@@ -45,6 +45,39 @@ def test_long_create_chains_need_doubling(spark):
     assert _run(spark, ops) == bruteforce.fold(ops, TTL)
 
 
+@pytest.mark.parametrize(("seed", "slice_rows", "p_put"), [(4, 3, 0.15), (5, 10, 0.02), (6, 1, 0.0)])
+def test_split_buckets_match_bruteforce(spark, seed, slice_rows, p_put):
+    rng = random.Random(seed)
+    ops = _ops(rng, 500, ["a", "b", "hot", "hot", "hot"], span_h=60, p_put=p_put, tick_min=7)
+    assert _run(spark, ops, slice_rows=slice_rows) == bruteforce.fold(ops, TTL)
+
+
+def test_one_hot_id_inside_one_ttl_spreads(spark):
+    """A third of all ops are one id's, within one bucket: no group of the split work holds more than some slices' worth."""
+    rng = random.Random(9)
+    ops = [("hot", T0 + timedelta(seconds=rng.randrange(6 * 3600)), 1, i, rng.choice(["lookup", "create"]), None) for i in range(3000)]
+    ops += [("hot", T0 + timedelta(seconds=9000), 0, 50_000, "put", "mid")]
+    ops += [(f"r{i % 900}", T0 + timedelta(minutes=i % 700), 1, 10_000 + i, "create", None) for i in range(6000)]
+    df = spark.createDataFrame(ops, SCHEMA)
+    done = st.fold(df, "6 hours", slice_rows=100)
+    sizes = st.with_slice(done.ops, done.hot, done.width).groupBy("rid", "b", "slice").count().collect()
+    assert max(r["count"] for r in sizes) < 100 and len([r for r in sizes if r.rid == "hot"]) > 50
+    assert _run(spark, ops, slice_rows=100) == bruteforce.fold(ops, TTL)
+
+
+@pytest.mark.parametrize("slice_rows", [2, 200_000])
+def test_lookups_match_bruteforce(spark, slice_rows):
+    rng = random.Random(11)
+    at = lambda: T0 + timedelta(hours=rng.randrange(60))
+    writes = [(rng.choice("ab"), at(), rng.randrange(2), i, f"c{i}") for i in range(60)]
+    asked = [(rng.choice("abc"), at(), 1, 1000 + i) for i in range(200)]
+    lookups = spark.createDataFrame(asked, "rid string, ts timestamp_ntz, src int, seq long")
+    written = spark.createDataFrame(writes, "rid string, ts timestamp_ntz, src int, seq long, ctx string")
+    got = {r.seq: r.call_context for r in st.lookup_contexts(lookups, written, slice_rows=slice_rows).collect()}
+    latest = lambda a: max((w for w in writes if w[0] == a[0] and w[1:4] <= a[1:4]), key=lambda w: w[1:4], default=(None,) * 5)[4]
+    assert got == {a[3]: latest(a) for a in asked}
+
+
 def test_policy_edges(spark):
     h = lambda x: T0 + timedelta(hours=x)
     ops = [
