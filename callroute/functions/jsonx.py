@@ -47,6 +47,18 @@ def text_at(v: Column, pointer: str) -> Column:
     return F.when(s.isNull() | container | s.rlike(_BLANK), F.lit(None).cast("string")).otherwise(s)
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns`` added or replaced, each evaluated exactly once per row.
+
+    They are emitted by a one-element generator: Catalyst never inlines a
+    generator's output, so filters and later projections read the value
+    instead of repeating the expression at every reference.
+    """
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    row = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return df.select(*kept, F.explode(F.array(row)).alias("_once")).select(*kept, *(F.col(f"_once.{name}").alias(name) for name in columns))
+
+
 def with_parsed(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """Add ``out`` = parsed ``text_col``, evaluated exactly once per row.
 

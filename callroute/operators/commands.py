@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callroute.functions.jsonx import text_at, with_parsed
+from callroute.functions.jsonx import computed_once, text_at, with_parsed
 from callroute.sources.dims import COMMAND_TYPES, ROUTE_SHAPES, WILDCARD, routes
 
 # The HTTP methods a request may use (exact, case-sensitive).
@@ -29,17 +29,15 @@ def _keys(v: Column) -> Column:
     return F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
 
 
-def _scalar_text(v: Column, path: str) -> tuple[Column, Column]:
-    """(text, ok): text of a scalar field; ``ok`` is false for objects/arrays.
+def _container(text: Column, v: Column, path: str) -> Column:
+    """Whether the value whose text this is, at ``path``, is an object or array.
 
     The (costly) schema probe only runs for values whose text looks like a
-    container; a string value that merely starts with a brace stays ok.
+    container; a string value that merely starts with a brace is none.
     """
-    s = F.try_variant_get(v, path, "string")
-    looks = s.startswith("{") | s.startswith("[")
-    container = looks & F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike("^(OBJECT|ARRAY)")
-    ok = s.isNull() | ~container
-    return s, ok
+    looks = text.startswith("{") | text.startswith("[")
+    found = looks & F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike("^(OBJECT|ARRAY)")
+    return text.isNotNull() & found
 
 
 def parse_commands(df: DataFrame, text_col: str = "raw") -> DataFrame:
@@ -51,30 +49,23 @@ def parse_commands(df: DataFrame, text_col: str = "raw") -> DataFrame:
     ``unknown_field`` (a field outside the envelope or command schema), else NULL.
     """
     df = with_parsed(df, text_col, "msg")
-    ctx, ctx_ok = _scalar_text(F.col("msg"), "$.callContext")
-    cid, cid_ok = _scalar_text(F.col("msg"), "$.commandId")
-    method, method_ok = _scalar_text(F.col("msg"), "$.ariCommand.method")
-    url, url_ok = _scalar_text(F.col("msg"), "$.ariCommand.url")
-    top_keys = _keys(F.col("msg"))
-    cmd_keys = _keys(F.try_variant_get(F.col("msg"), "$.ariCommand", "variant"))
+    inner = F.try_variant_get(F.col("msg"), "$.ariCommand", "variant")
+    fields = {"callContext": "$.callContext", "commandId": "$.commandId", "method": "$.ariCommand.method", "url": "$.ariCommand.url"}
+    # what the verdict needs, each read once: a CASE repeats what its branches share
+    parts = {name: F.try_variant_get(F.col("msg"), path, "string") for name, path in fields.items()}
+    df = computed_once(df, {**parts, "body": F.try_variant_get(F.col("msg"), "$.ariCommand.body", "variant"), "_top": _keys(F.col("msg")), "_inner": _keys(inner)})
+    scalar = F.lit(True)
+    for name, path in fields.items():
+        scalar = scalar & ~_container(F.col(name), F.col("msg"), path)
     reason = (
-        F.when(F.col("msg").isNull() | top_keys.isNull(), F.lit("malformed"))
-        .when(F.size(F.array_except(top_keys, F.array(*map(F.lit, ENVELOPE_FIELDS)))) > 0, F.lit("unknown_field"))
-        .when(cmd_keys.isNull(), F.lit("malformed"))
-        .when(F.size(F.array_except(cmd_keys, F.array(*map(F.lit, COMMAND_FIELDS)))) > 0, F.lit("unknown_field"))
-        .when(~(ctx_ok & cid_ok & method_ok & url_ok) | url.isNull(), F.lit("malformed"))
+        F.when(F.col("msg").isNull() | F.col("_top").isNull(), F.lit("malformed"))
+        .when(F.size(F.array_except(F.col("_top"), F.array(*map(F.lit, ENVELOPE_FIELDS)))) > 0, F.lit("unknown_field"))
+        .when(F.col("_inner").isNull(), F.lit("malformed"))
+        .when(F.size(F.array_except(F.col("_inner"), F.array(*map(F.lit, COMMAND_FIELDS)))) > 0, F.lit("unknown_field"))
+        .when(~scalar | F.col("url").isNull(), F.lit("malformed"))
         .otherwise(F.lit(None).cast("string"))
     )
-    return df.withColumns(
-        {
-            "callContext": ctx,
-            "commandId": cid,
-            "method": method,
-            "url": url,
-            "body": F.try_variant_get(F.col("msg"), "$.ariCommand.body", "variant"),
-            "reason": reason,
-        }
-    )
+    return computed_once(df, {"reason": reason}).drop("_top", "_inner")
 
 
 def path_of(url: Column) -> Column:

@@ -7,10 +7,13 @@ collected into a single group: error lists are counted, not concatenated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callroute.operators.events import resource_type_label
+from callroute.session import materialize
 from callroute.sources.dims import message_types
 
 # Upper bounds (ms) of the duration histogram buckets; the last is the 10 s
@@ -40,29 +43,60 @@ def request_counts(requests: DataFrame) -> DataFrame:
     )
 
 
-def _histogram(df: DataFrame, keys: list, col: str, buckets, exact: bool) -> DataFrame:
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Equal keys, null being one key; a join on nothing is with a single row."""
+    return reduce(lambda x, k: x & left[k].eqNullSafe(right[f"_{k}"]), keys, F.lit(True))
+
+
+def exact_quantiles(values: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between neighbours, as ``percentile``) per key; one column each.
+
+    Distributed selection: rows become counts per distinct value, the counts
+    are range-partitioned by key and value, and a value's rank is the sum of
+    the partitions before it plus a running sum within its own. No task holds
+    more than a partition of one key's values, however many there are.
+    """
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = materialize(counts.repartitionByRange(*keys, "_v").withColumn("_slice", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_m"))  # a row per key and partition that holds it
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        *(F.col(k).alias(f"_{k}") for k in keys),
+        F.col("_slice").alias("_s"),
+        F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"),
+        F.sum("_m").over(whole).alias("_total"),
+    )
+    placed = dealt.join(sums, _same(dealt, sums, keys) & (F.col("_slice") == F.col("_s"))).drop(*(f"_{k}" for k in keys), "_s")
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_end", F.col("_before") + F.sum("_n").over(inside)).withColumn("_first", F.col("_end") - F.col("_n"))
+    at = {name: F.lit(q) * (F.col("_total") - 1) for name, q in quantiles.items()}
+    holds = lambda rank: (F.col("_first") <= rank) & (rank < F.col("_end"))
+    found = placed.filter(reduce(lambda x, y: x | y, [holds(f(p)) for p in at.values() for f in (F.floor, F.ceil)], F.lit(False)))
+    ends = [F.max(F.when(holds(f(p)), F.col("_v"))).alias(f"{name}_{side}") for name, p in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = found.groupBy(*keys).agg(*ends, F.first("_total").alias("_total"))
+    between = lambda name, p: F.when(F.floor(p) == F.ceil(p), F.col(f"{name}_lo")).otherwise((F.ceil(p) - p) * F.col(f"{name}_lo") + (p - F.floor(p)) * F.col(f"{name}_hi"))
+    return found.select(*keys, *(between(name, p).alias(name) for name, p in at.items()))
+
+
+def _histogram(df: DataFrame, keys: list[str], col: str, buckets, exact: bool) -> DataFrame:
     d = F.col(col)
-    aggs = [
-        F.count(d).alias("count"),
-        F.sum(d).alias("sum"),
-        F.max(d).alias("max"),
-    ]
-    for name, q in QUANTILES.items():
-        if exact:
-            aggs.append(F.percentile(d, q).alias(name))
-        else:
-            aggs.append(F.percentile_approx(d, q, 10000).cast("double").alias(name))
-    aggs += [F.count_if(d <= F.lit(b)).alias(f"le_{b}") for b in buckets]
-    grouped = df.groupBy(*keys) if keys else df.groupBy()
-    return grouped.agg(*aggs)
+    head = [F.count(d).alias("count"), F.sum(d).alias("sum"), F.max(d).alias("max")]
+    below = [F.count_if(d <= F.lit(b)).alias(f"le_{b}") for b in buckets]
+    names = [*keys, "count", "sum", "max", *QUANTILES, *(f"le_{b}" for b in buckets)]
+    if not exact:
+        sketched = [F.percentile_approx(d, q, 10000).cast("double").alias(name) for name, q in QUANTILES.items()]
+        return df.groupBy(*keys).agg(*head, *sketched, *below).select(*names)
+    grouped = df.groupBy(*keys).agg(*head, *below)
+    quantiles = exact_quantiles(df, keys, col, QUANTILES).withColumnsRenamed({k: f"_{k}" for k in keys})
+    return grouped.join(quantiles, _same(grouped, quantiles, keys), "left").select(*names)
 
 
 def request_durations(requests: DataFrame, buckets=DURATION_BUCKETS_MS, exact: bool = True) -> DataFrame:
     """A3: duration histogram per (method, path): cumulative buckets, count, sum, max, quantiles.
 
-    ``exact=True`` uses Spark's exact ``percentile`` (its buffer is a value ->
-    frequency map, so memory grows with the distinct durations of a group, not
-    its rows); ``exact=False`` uses a bounded sketch (``percentile_approx``).
+    ``exact=True``: quantiles by distributed selection (``exact_quantiles``);
+    ``exact=False`` uses a bounded sketch (``percentile_approx``) in one pass.
     """
     df = requests.withColumn("path", F.col("metric_path"))
     return _histogram(df, ["method", "path"], "duration_ms", buckets, exact)
@@ -78,6 +112,16 @@ def lookup_stats(lookups: DataFrame) -> DataFrame:
     )
 
 
+def context_lookups(resolved: DataFrame) -> DataFrame:
+    """A4 of the router itself (J3 output): lookups of a call context, those that found none, and contexts created for want of one."""
+    asked = resolved.filter(F.col("k") != "put")
+    return asked.groupBy("k").agg(
+        F.count(F.lit(1)).alias("attempts"),
+        F.count_if(F.col("call_context").isNull() | F.col("written")).alias("misses"),
+        F.count_if("written").alias("created"),
+    )
+
+
 def write_durations(writes: DataFrame, buckets=DURATION_BUCKETS_MS, exact: bool = True) -> DataFrame:
     """A5: the duration histogram of state writes (one row)."""
     return _histogram(writes, [], "duration_ms", buckets, exact)

@@ -288,6 +288,13 @@ def q_resolve_contexts(spark, d):
     return st.resolve_contexts(ops).select("rid", "src", "seq", "call_context")
 
 
+def q_context_lookups(spark, d):
+    """A4: what the router's own lookups found, by policy."""
+    data, _ = ev.split_control(ev.prepare_events(_events(spark, d)))
+    regs = cm.context_registrations(cm.prepare_commands(_commands(spark, d)))
+    return mt.context_lookups(st.resolve_contexts(st.event_ops(data).unionByName(st.registration_ops(regs))))
+
+
 def q_generated_context(spark, d):
     data, _ = ev.split_control(ev.prepare_events(_events(spark, d)))
     regs = cm.context_registrations(cm.prepare_commands(_commands(spark, d)))
@@ -523,6 +530,7 @@ QUERIES = {
     "request_durations": q_request_durations,
     "lookup_stats": q_lookup_stats,
     "write_durations": q_write_durations,
+    "context_lookups": q_context_lookups,
     "drop_counts": q_drop_counts,
     "merge_reports": q_merge_reports,
     "availability": q_availability,

@@ -326,3 +326,4 @@ ORACLE["report_errors"] = f"with {PROBES} select service, 'probe of ' || service
 ORACLE["stop_on_control"] = f"""{ROUTED}, stop as (select ts, seq from ev where type = 'APPLICATION_REPLACED' order by ts, seq limit 1)
  select rq.seq, rq.call_context as key, rq.type from rq left join stop on true
  where rq.reason2 is null and (stop.ts is null or (rq.ts, rq.seq) < (stop.ts, stop.seq))"""
+ORACLE["context_lookups"] = f"{RESOLVED} select k, count(*) as attempts, count(*) filter (cur is null or written) as misses, count(*) filter (written) as created from f where k <> 'put' group by k"

@@ -122,3 +122,30 @@ def test_stream_equals_batch(spark):
     answered = sm.read_output(spark, paths.responses_out).select("request_id", "status_code").collect()
     expected = jobs.route_responses(commands, results.drop("seq", "ts")).select("request_id", "status_code").collect()
     assert sorted(answered) == sorted(expected)
+
+
+def test_quantiles_are_those_of_percentile(spark):
+    from callroute.operators import metrics as mt
+
+    rows = [("a", float(i % 17)) for i in range(100)] + [(None, 3.5), (None, -1.0), ("b", None), ("c", 2.0)] + [("d", i * 0.37) for i in range(501)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    want = {r.k: (r.p50, r.p95, r.p99) for r in df.groupBy("k").agg(*(F.percentile("v", q).alias(n) for n, q in mt.QUANTILES.items())).collect()}
+    got = {r.k: (r.p50, r.p95, r.p99) for r in mt.exact_quantiles(df, ["k"], "v", mt.QUANTILES).collect()}
+    assert got.keys() == want.keys() - {"b"}
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in got)
+    one = mt._histogram(df, [], "v", [10], True).first()
+    assert one["p95"] == pytest.approx(df.select(F.percentile("v", 0.95)).first()[0]) and one["count"] == 604
+    assert mt._histogram(df.limit(0), [], "v", [10], True).first()["p50"] is None
+    assert "percentile" not in _plan(mt._histogram(df, ["k"], "v", [10], True))
+
+
+def test_a_million_distinct_durations_in_one_group(spark):
+    """Each partition of the selection holds a share of the group, none all of it."""
+    from callroute.operators import metrics as mt
+
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("POST").alias("method"), F.lit("p").alias("metric_path"), (F.col("id") * 0.5).alias("duration_ms"))
+    row = mt.request_durations(df).first()
+    assert (row["p50"], row["p95"], row["max"]) == (pytest.approx((n - 1) / 4), pytest.approx(0.95 * (n - 1) / 2), (n - 1) / 2)
+    held = df.repartitionByRange(8, "method", "metric_path", "duration_ms").groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == 8 and max(r["count"] for r in held) < n / 4
