@@ -19,6 +19,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 PART = "struct<type:string,text:string,ref:string,size:bigint>"
 #: What one attachment is expanded to when a model reads it: a count, or units of its size in one token.
 EXPANSION: dict[str, tuple[int, int]] = {"image": (256, 0), "audio": (0, 640), "document": (0, 4)}
+OTHER = "other"  # the kind of attachments of any other type
 
 
 def escape(text: Column) -> Column:
@@ -43,10 +44,30 @@ def _expanded(part: Column) -> Column:
 
 
 def visit(part: Column) -> Column:
-    """What a part writes into the text; a part of no known type, or null, writes nothing."""
-    marked = F.concat(F.lit("<|"), part["type"], F.lit("|>"))
-    kind = part["type"]
-    return F.when(kind == "text", escape(_none(part["text"]))).when(kind.isin(*EXPANSION), marked).otherwise("")
+    """What a part writes into the text: its text, or a placeholder; a null part writes nothing."""
+    marked = F.concat(F.lit("<|"), kind_of(part), F.lit("|>"))
+    return F.when(part.isNull(), "").when(part["type"].eqNullSafe("text"), escape(_none(part["text"]))).otherwise(marked)
+
+
+def kind_of(part: Column) -> Column:
+    """The kind of an attachment: its type if it is known, else ``other``, a null type too."""
+    return F.when(part["type"].isin(*EXPANSION), part["type"]).otherwise(OTHER)
+
+
+def running(sizes: Column, block: int = 256) -> Column:
+    """Sums of all elements before each one, as a long array.
+
+    Taken in blocks: an array that grows by one element is copied each time,
+    so only a block's sums, and the blocks' own, are built that way.
+    """
+    def sums(a: Column) -> Column:
+        none = F.struct(F.array().cast("array<bigint>").alias("s"), F.lit(0).cast("bigint").alias("n"))
+        return F.aggregate(a, none, lambda x, y: F.struct(F.array_append(x["s"], x["n"]).alias("s"), (x["n"] + y).alias("n")))
+
+    starts = F.when(F.size(sizes) > 0, F.sequence(F.lit(1), F.size(sizes), F.lit(block))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(starts, lambda i: sums(F.slice(sizes, i, block)))
+    before = sums(F.transform(blocks, lambda b: b["n"]))["s"]
+    return F.flatten(F.zip_with(blocks, before, lambda b, n: F.transform(b["s"], lambda x: x + n)))
 
 
 def text_part(text: Column) -> Column:
@@ -64,20 +85,23 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     ``formatted``. ``attachments``: kind, reference, turn and expanded tokens,
     in order; the n-th attachment belongs to the n-th placeholder.
 
+    A part of another type, or of none, is an attachment of kind ``other``
+    that expands to no token; a null part is nothing.
+
     Null conversation ids are one conversation; a null role is empty, null
-    parts are an empty text; a null turn comes first. No rows give no rows. A
+    parts are an empty text; a null turn comes first. No rows give no rows. Other
+    columns are ignored, whatever their names. A
     conversation is one output row, so it must fit in memory.
     """
     p = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))
     content = F.array_join(F.transform(p, visit), "")
-    attached = F.transform(F.filter(p, lambda x: x["type"].isin(*EXPANSION)), lambda x: F.struct(x["type"].alias("kind"), x["ref"].alias("ref"), _expanded(x).alias("tokens")))
+    attached = F.transform(F.filter(p, lambda x: x.isNotNull() & ~x["type"].eqNullSafe("text")), lambda x: F.struct(kind_of(x).alias("kind"), x["ref"].alias("ref"), _expanded(x).alias("tokens")))
     name = F.replace(escape(_none(F.col(role))), F.lit("\n"), F.lit("&nl;"))
     rows = turns.select(F.col(conversation), F.struct(F.col(turn).alias("t"), name.alias("role"), content.alias("content"), attached.alias("attached")).alias("_row"))
     grouped = rows.groupBy(conversation).agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     begin = F.transform("_rows", lambda r: F.length(F.lit(START)) + F.length(r["role"]) + 1)
     size = F.transform("_rows", lambda r: F.length(r["role"]) + F.length(r["content"]) + len(START) + len(END) + 2)
-    # running sums in one walk: each step appends the last sum plus one length
-    starts = F.aggregate("_sizes", F.struct(F.array().cast("array<bigint>").alias("s"), F.lit(0).cast("bigint").alias("n")), lambda a, x: F.struct(F.array_append(a["s"], a["n"]).alias("s"), (a["n"] + x).alias("n")), lambda a: a["s"])
+    starts = running(F.col("_sizes"))
     numbered = grouped.withColumn("_sizes", F.transform(size, lambda x: x.cast("bigint"))).withColumn("turn_starts", starts).withColumn("_begin", begin)
     zipped = F.transform("_rows", lambda r, i: F.struct(r["role"].alias("role"), i.alias("turn"), (F.get("turn_starts", i) + F.get("_begin", i)).cast("bigint").alias("start"), F.length(r["content"]).cast("bigint").alias("length"), r["attached"].alias("attached")))
     whole = F.array_join(F.transform("_rows", lambda r: F.concat(F.lit(START), r["role"], F.lit("\n"), r["content"], F.lit(END + "\n"))), "")

@@ -84,7 +84,13 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
 
 
 class Shards:
-    """Sorted arrays of 64-bit keys with companions in a shared folder, memory-mapped where looked up."""
+    """Sorted arrays of 64-bit keys with companions in a shared folder, memory-mapped where looked up.
+
+    A worker maps at most ``OPEN`` shards at a time: a process has a limited
+    number of mappings, and those least lately used go.
+    """
+
+    OPEN = 4_096
 
     def __init__(self, folder: str, bits: int, kind: int, *names: str):
         self.folder, self.bits, self.kind, self.names = folder, bits, kind, names
@@ -94,7 +100,11 @@ class Shards:
         return self.__dict__ | {"open": {}}
 
     def shard(self, i: int) -> list:
-        if i not in self.open:
+        if i in self.open:
+            self.open[i] = self.open.pop(i)  # the last one used comes last
+        else:
+            if len(self.open) >= self.OPEN:
+                del self.open[next(iter(self.open))]
             paths = [f"{self.folder}/{n}-{(self.kind << self.bits) + i}.npy" for n in self.names]
             self.open[i] = [np.load(p, mmap_mode="r") for p in paths] if os.path.exists(paths[0]) else []
         return self.open[i]

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .topk import usable
@@ -167,7 +168,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector: str = "
     Rows are compared if their labels are equal and not null and their vectors
     have as many components. Vectors that are null, zero, or hold a null or
     non-finite component, and rows of null label, link with nothing and are
-    their own component. Equal rows are linked rows of their own. A null id is
+    their own component. Labels of any type are compared as they are. Equal rows are linked rows of their own. A null id is
     never the smallest; a component of null ids only has a null id and is not
     kept. Extra columns are ignored. An empty table gives an empty table.
     """
@@ -176,15 +177,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector: str = "
     fit = usable(vector) & F.col(label).isNotNull() & ~F.coalesce(zero, F.lit(True))
     # -0.0 and 0.0 are one value, as they are for a cosine
     plain = F.transform(vector, lambda x: x.cast("double") + F.lit(0.0))
-    rows = vectors.select(F.col(vec_id).alias("id"), F.when(fit, F.col(label).cast("long")).alias("label"), F.when(fit, plain).alias("v"))
+    kind = vectors.schema[label].dataType
+    nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
+    marked = F.to_json(F.struct(F.col(label))) if nested else F.col(label)
+    of = "string" if nested else kind.simpleString()
+    rows = vectors.select(F.col(vec_id).alias("id"), F.when(fit, marked).alias("label"), F.when(fit, plain).alias("v"))
     rows = rows.withColumn("gid", F.when(F.col("label").isNotNull(), F.xxhash64("label", "v")))
     used = rows.where("gid is not null")
     nodes = common.cut(used.groupBy("gid").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least")).withColumn("dims", F.size("v")), "vectors")
     width = nodes.agg(F.max("dims")).first()[0] or 1
     axes = spark.sparkContext.broadcast(principal_axes(nodes, width))
-    led = nodes.mapInArrow(_leading(axes, width), "label long, dims int, gid long, n long, v array<double>, y double")
+    led = nodes.mapInArrow(_leading(axes, width), f"label {of}, dims int, gid long, n long, v array<double>, y double")
     dealt = common.cut(led, "led").repartitionByRange("label", "dims", "y").sortWithinPartitions("label", "dims", "y", "gid")
-    tiles = common.cut(dealt.mapInArrow(_tiles(width), "label long, dims int, tile long, low double, high double, gids binary, ns binary, vs binary"), "tiles")
+    tiles = common.cut(dealt.mapInArrow(_tiles(width), f"label {of}, dims int, tile long, low double, high double, gids binary, ns binary, vs binary"), "tiles")
     # unit vectors of that cosine are at most this far apart, on any axis
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
     step = max(reach, 1e-3)

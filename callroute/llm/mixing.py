@@ -154,8 +154,11 @@ def oracle_sql() -> str:
             steps.append(f"w{k}_{i} as materialized (select * exclude (w), case when sum(w) over (partition by {c}) > 0 then w * t{i} / sum(w) over (partition by {c}) else 0 end as w from {before})")
     raws = []
     for i, (c, t) in enumerate(TARGETS.items()):
-        raw = f"case {c} " + " ".join(f"when '{v}' then {s}" for v, s in t.items()) + " else 0.0 end" if isinstance(t, dict) else f"pow(sum(mass), {t})"
-        raws.append(f"r{i} as (select {c}, {raw} as raw from cells group by {c}), s{i} as (select {c}, raw / sum(raw) over () as t{i} from r{i})")
+        listed = f"case {c} " + " ".join(f"when '{v}' then {s}" for v, s in t.items()) + " end" if isinstance(t, dict) else f"pow(sum(mass), {t})"
+        raws.append(f"q{i} as (select {c}, sum(mass) as m, {listed} as l from cells group by {c})")
+        # a value that is not listed keeps its own share: it counts as the listed ones do for the same mass
+        each = f"coalesce((select nullif(sum(l), 0) / nullif(sum(m), 0) from q{i} where l is not null and m > 0), 1.0)"
+        raws.append(f"r{i} as (select {c}, case when m <= 0 then 0.0 when l is null then m * {each} else l end as raw from q{i}), s{i} as (select {c}, raw / sum(raw) over () as t{i} from r{i})")
     joins = " ".join(f"join s{i} on c.{c} is not distinct from s{i}.{c}" for i, c in enumerate(TARGETS))
     last = f"w{ROUNDS - 1}_{len(TARGETS) - 1}"
     return f"""

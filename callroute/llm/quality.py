@@ -125,7 +125,8 @@ def train(
 
     Learns from a sample of about ``max_rows`` labelled rows (those of the
     smallest hashed ids; the only bound on what is read), in one task, row by
-    row. Null labels and ids teach nothing; of several labels of an id the
+    row. Of several rows of an id the one of the smallest text hash counts, so
+    the bound holds for rows. Null labels and ids teach nothing; of several labels of an id the
     largest counts; null text is empty. Without labelled rows all weights are 0.
     """
     common.ship(docs.sparkSession)
@@ -136,6 +137,7 @@ def train(
     if n > max_rows:  # the ids' hashes are even, so this share of their range holds about max_rows
         below = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < int(max_rows / n * (1 << 40))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).where(below).join(known.where(below), "_id")
+    rows = rows.groupBy("_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     rows = rows.select("text", "label", F.xxhash64("_id", F.lit(1)).alias("at"), "_id").repartition(1).sortWithinPartitions("at", "_id", "text")
     found = rows.select("text", "label").mapInArrow(_train(bits, epochs, rates), "weights binary").first()
     return np.frombuffer(found.weights, np.float32) if found else np.zeros((1 << bits) + 1, np.float32)

@@ -29,6 +29,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         F.col("_base").alias("base_score"),
         F.col("_score").alias("score"),
+        F.pow(F.lit(10.0), -F.col("_score") / F.col("_tokens")).alias("perplexity"),
     )
 
 

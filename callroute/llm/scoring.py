@@ -45,6 +45,24 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], np.add.reduceat(counts[order], at)
 
 
+_MOST = (1 << 32) - 1  # of a count in 32 bits
+
+
+def _narrow(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same counts in 32 bits each: a larger one is several entries of its key."""
+    whole, rest = np.divmod(counts.astype(np.int64), _MOST)
+    if not whole.any():
+        return keys, counts.astype(np.uint32)
+    keys = np.concatenate([keys, np.repeat(keys, whole)])
+    counts = np.concatenate([rest, np.full(whole.sum(), _MOST)]).astype(np.uint32)
+    return keys[counts > 0], counts[counts > 0]
+
+
+def _stored(counts: np.ndarray) -> np.ndarray:
+    """Counts as a shard's file has them: in 32 bits where all fit, else in 64."""
+    return counts.astype(np.uint32) if counts.max(initial=0) <= _MOST else counts.astype(np.int64)
+
+
 def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]], deal) -> Iterator[pa.RecordBatch]:
     """Counts of one task, added up before they are dealt."""
     keys, counts, n = [], [], 0
@@ -196,7 +214,8 @@ def _pair_counts(model: Model):
             shard = reader.shard_of(before, (keys & _U(0xFFFFFFFF)).astype(np.int64), _counts_of(reader, before))
             order = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[order], np.arange((1 << model.bits) + 1))
-            return [((_PAIR << model.bits) + i, [keys[order[a:b]].tobytes(), counts[order[a:b]].astype(np.uint32).tobytes()]) for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a]
+            parts = [(i, *_narrow(keys[order[a:b]], counts[order[a:b]])) for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a]
+            return [((_PAIR << model.bits) + i, [k.tobytes(), n.tobytes()]) for i, k, n in parts]
 
         return _gathered(found(), deal)
 
@@ -252,7 +271,7 @@ def _save_pairs(model: Model):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         keys, counts = _summed(common.joined(table, "b0", np.uint64), common.joined(table, "b1", np.uint32).astype(np.int64))
-        common.save(model.folder, f"count-{shard}", counts.astype(np.uint32))
+        common.save(model.folder, f"count-{shard}", _stored(counts))
         common.save(model.folder, f"key-{shard}", keys)
         offsets = np.array(model.offsets, np.int64)
         before = (keys >> _U(32)).astype(np.int64)

@@ -290,9 +290,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     so copies cost one row each. Null text counts as empty; texts without a
     word have fingerprint 0 and are linked like any other. Rows with a null
     id are kept; a class of nothing but null ids has a null component. Equal
-    rows stay equal rows. An empty table gives an empty table.
+    rows stay equal rows. An empty table gives an empty table. Columns that
+    are not kept don't matter; a kept one named like an added one, or ``_text``,
+    is refused.
     """
     keep = keep or [doc_id]
+    if clash := {"_fingerprint", "_component", "_root", "_text", "fp", "least", "root"} & set(keep):
+        raise ValueError(f"reserved column names: {sorted(clash)}")
     marked = common.cut(with_fingerprint(docs, text, keep, shingle), "fingerprints")
     distinct = common.cut(marked.groupBy(F.col("_fingerprint").alias("fp")).agg(F.min(doc_id).alias("least")), "distinct")
     roots = common.components(link(distinct.select("fp"), distance))

@@ -154,8 +154,9 @@ def oracle_sql(k: int, every: int, scale: int) -> str:
     return f"""
 with v as (select vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as q from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-pairs as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
-  from v a join v b on a.vec_id % {every} = 0 and a.vec_id <> b.vec_id),
-ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from pairs)
-select query_id, rank, vec_id, score from ranked where rank <= {k}
+asked as (select distinct vec_id, q from v where vec_id % {every} = 0),
+pairs as (select a.vec_id as query_id, a.q, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
+  from asked a join v b on a.vec_id <> b.vec_id),
+ranked as (select *, row_number() over (partition by query_id, q order by score desc, vec_id)::int as rank from pairs)
+select distinct query_id, rank, vec_id, score from ranked where rank <= {k}
 """

@@ -153,8 +153,8 @@ def test_parts_of_every_kind(spark):
         {{"type":"document","ref":"c.pdf","size":9}},{{"type":"video","ref":"d"}},{{"type":"image"}},null]', 'array<{chat.PART}>') as parts"""
     )
     r = chat.format_chats(row).first()
-    assert r.formatted == "<|im_start|>user\nsee &lt;|image|><|image|><|audio|><|document|><|image|><|im_end|>\n"
-    assert [(a.kind, a.ref, a.turn, a.tokens) for a in r.attachments] == [("image", "a.png", 0, 256), ("audio", "b.wav", 0, 3), ("document", "c.pdf", 0, 3), ("image", None, 0, 256)]
+    assert r.formatted == "<|im_start|>user\nsee &lt;|image|><|image|><|audio|><|document|><|other|><|image|><|im_end|>\n"
+    assert [(a.kind, a.ref, a.turn, a.tokens) for a in r.attachments] == [("image", "a.png", 0, 256), ("audio", "b.wav", 0, 3), ("document", "c.pdf", 0, 3), ("other", "d", 0, 0), ("image", None, 0, 256)]
     assert r.expanded_tokens == 518
 
 
