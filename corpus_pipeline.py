@@ -2,6 +2,10 @@
 
 Every stage takes ``(spark, docs, sf_dir)``, works on all the rows it is given
 and returns the columns of ``documents`` (the last one: pieces in sequences).
+Null texts count as empty, null ids are kept, rows are judged on their own
+where copies are not the matter; further columns of ``documents`` are left
+out, whatever their names. Without documents every stage returns no rows;
+without labels the classifier knows nothing and keeps all.
 ``run`` writes each stage's rows to the shared folder and reads them for the
 next, so a lost executor costs at most the stage at work.
 """
@@ -38,8 +42,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     odd = common.cut(counted.where(~first | (F.col("n") > 1)).select(F.col("doc_id").alias("id"), F.col("row").alias("r"), first.alias("first")), "copies")
     same = docs["doc_id"].eqNullSafe(odd["id"]) & docs["row"].eqNullSafe(odd["r"])
     alone = docs.join(odd, same, "left_anti").select(*COLUMNS)
-    repeated = docs.join(odd.where("first"), same, "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return alone.union(repeated)
+    repeated = docs.join(odd.where("first"), same, "left_semi")
+    # rows of one id and text differ in their other columns at most: the least of those is kept, whatever the order of rows
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = repeated.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    return alone.union(one.select("doc_id", "text", "rest.*").select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
