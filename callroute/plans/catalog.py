@@ -60,6 +60,26 @@ def q_read_commands(spark, d):
     return io.read_commands(spark, path).select("seq", "ts", "request_id", "raw")
 
 
+def _event_lines(spark, d):
+    """The raw events as text files, a message a line, named in time order."""
+    path = scratch_path(spark, "lines")
+    _events(spark, d).repartitionByRange(4, "ts", "seq").sortWithinPartitions("ts", "seq").select("raw").write.mode("overwrite").text(path)
+    return path
+
+
+def q_read_event_lines(spark, d):
+    """S1 on text: every line a message; where its type stands is read like that of any source."""
+    return ev.classify_events(io.read_events(spark, _event_lines(spark, d), fmt="text", splitBytes=65_536)).select("raw", "type")
+
+
+def q_stream_events(spark, d):
+    """S2 on text: the same lines as a stream."""
+    base = scratch_path(spark, "lines-stream")
+    lines = ev.classify_events(io.stream_events(spark, _event_lines(spark, d), fmt="text")).select("raw", "type")
+    lines.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out", format="parquet").awaitTermination()
+    return spark.read.schema("raw string, type string").parquet(f"{base}/out")
+
+
 def q_write_keyed(spark, d):
     """All response records through the keyed sink; a repeated attempt adds nothing."""
     base = scratch_path(spark, "keyed")
@@ -489,6 +509,8 @@ def q_report_errors(spark, d):
 QUERIES = {
     "read_events": q_read_events,
     "read_commands": q_read_commands,
+    "read_event_lines": q_read_event_lines,
+    "stream_events": q_stream_events,
     "write_keyed": q_write_keyed,
     "order_by_key": q_order_by_key,
     "message_types": q_message_types,
