@@ -15,8 +15,10 @@ Steps, each a pass over the input without a shuffle of its texts:
 2. anchors whose halves meet other surroundings send their bytes to their
    group, where the columns are built; found windows go to sorted files;
 3. every text looks up what covers it and drops those bytes.
-Groups of more than ``group_limit`` surroundings are instead resolved by
-hashes of every window in them, which are combined before they are dealt.
+Surroundings that repeat as a whole are known by two independent 64-bit
+hashes. Groups of more than ``group_limit`` surroundings are instead resolved
+by such hashes of every window in them, which are combined before they are
+dealt.
 """
 
 from __future__ import annotations
@@ -39,7 +41,6 @@ HALF = SIDE // 2
 SPAN = HALF + windows.GRAM  # bytes that two windows agree on at least, on one side and the anchor
 WIDE = WINDOW + HALF  # surroundings of one half: columns
 _U = np.uint64
-_TAG = _U((1 << 24) - 1)
 _CTX, _HALF, _WINDOW, _COVER = range(4)
 
 
@@ -55,7 +56,7 @@ class _Text:
     where its surroundings are whole, so every anchor comes once.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, key: np.ndarray | None = None, begin: int = 0, last: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, key: tuple[np.ndarray, np.ndarray] | None = None, begin: int = 0, last: bool = True):
         self.begin, self.offsets = begin, offsets
         h = self.hashes = windows.Hashes(data)
         a, first, final = windows.anchors(data, h, offsets[:-1], offsets[1:], WINDOW)
@@ -67,11 +68,13 @@ class _Text:
         self.low, high = offsets[self.row], offsets[self.row + 1]
         self.start, self.end = np.maximum(a - SIDE, self.low), np.minimum(a + WINDOW, high)
         self.high = high
-        self.ctx = h.of(self.start, self.end)
+        # what is taken for equal without a look at the bytes is so by two independent hashes of 64 bits
+        self.others = windows.Hashes(data, windows.OTHER)
+        self.ctx, self.ctx_other = h.of(self.start, self.end), self.others.of(self.start, self.end)
         halves = [(np.maximum(a - HALF, 0), a + windows.GRAM, a - HALF >= self.low), (a, np.minimum(a + SPAN, len(data)), a + SPAN <= high)]
-        self.halves = [((h.of(x, y) ^ _U(i + 1)) & ~_TAG, ok) for i, (x, y, ok) in enumerate(halves)]
+        self.halves = [((h.of(x, y) ^ _U(2 * i + 2)) & ~_U(1), ok) for i, (x, y, ok) in enumerate(halves)]
         #: A name for each text's content, and one for each anchor that only equal rows share.
-        self.key = h.of(offsets[:-1], offsets[1:]) if key is None else key
+        self.key, self.key_other = (x.of(offsets[:-1], offsets[1:]) for x in (h, self.others)) if key is None else key
         place = windows.mix((a - self.low + begin).astype(np.uint64) + _U(7))
         self.occ = (windows.mix(self.key[self.row] ^ windows.mix(ids[self.row] + _U(1)) ^ place) >> _U(32)).astype(np.uint32)
 
@@ -101,24 +104,33 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _pieces(data: np.ndarray, ids: np.ndarray) -> Iterator[_Text]:
-    key = np.array([xxhash.xxh64_intdigest(data, 7)], np.uint64)
+    key = tuple(np.array([xxhash.xxh64_intdigest(data, seed)], np.uint64) for seed in (7, 8))
     for begin in range(0, len(data) - LAP, PIECE):
         end = min(len(data), begin + PIECE + LAP)
         yield _Text(data[begin:end], np.array([0, end - begin]), ids, key, begin, end == len(data))
 
 
-_BLOBS = "shard int, b0 binary, b1 binary, b2 binary"
+_COLUMNS = 4
+_BLOBS = "shard int, b0 binary, b1 binary, b2 binary, b3 binary"
 _DONE = "shard int, n long, most long"
 _FLUSH = 1 << 20  # entries that a task gathers before it deals them
 
 
-def _capped(keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted keys with companions, two entries of a key at most: enough to tell that it repeats."""
-    order = np.lexsort([*more[::-1], keys])
-    keys, more = keys[order], [x[order] for x in more]
+def _capped(keys: np.ndarray, other: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted pairs of hashes with companions, two entries of a pair at most: enough to tell that it repeats."""
+    order = np.lexsort([*more[::-1], other, keys])
+    keys, other, *more = (x[order] for x in (keys, other, *more))
     third = np.zeros(len(keys), bool)
-    third[2:] = keys[2:] == keys[:-2]
-    return keys[~third], *(x[~third] for x in more)
+    third[2:] = (keys[2:] == keys[:-2]) & (other[2:] == other[:-2])
+    return keys[~third], other[~third], *(x[~third] for x in more)
+
+
+def _distinct(keys: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, in order."""
+    order = np.lexsort([other, keys])
+    keys, other = keys[order], other[order]
+    at, _count = _runs(keys, other)
+    return keys[at], other[at]
 
 
 def _deal_anchors(bits: int):
@@ -126,13 +138,14 @@ def _deal_anchors(bits: int):
         held, n = [], 0
 
         def flush():
-            ctx, occ = _capped(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            half = np.unique(np.concatenate([x[2] for x in held]))
-            return common.blobs(common.shard_rows(_CTX, bits, ctx, occ) + common.shard_rows(_HALF, bits, half), 3)
+            ctx, other, occ, half, around = (np.concatenate(x) for x in zip(*held, strict=True))
+            anchors = common.shard_rows(_CTX, bits, *_capped(ctx, other, occ))
+            return common.blobs(anchors + common.shard_rows(_HALF, bits, *_distinct(half, around)), _COLUMNS)
 
         for _, _, _, texts in _texts(batches):
             for t in texts:
-                held.append((t.ctx, t.occ, np.concatenate([h[ok] | (windows.mix(t.ctx[ok]) & _TAG) for h, ok in t.halves])))
+                half, around = (np.concatenate(x) for x in zip(*((h[ok], t.ctx[ok]) for h, ok in t.halves), strict=True))
+                held.append((t.ctx, t.ctx_other, t.occ, half, around))
                 n += len(t.ctx)
                 if n > _FLUSH:
                     yield flush()
@@ -143,10 +156,13 @@ def _deal_anchors(bits: int):
     return run
 
 
-def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct key begins, and how often it comes."""
-    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(sorted_keys)), bool), sorted_keys[1:] != sorted_keys[:-1]]))
-    return at, np.diff(np.append(at, len(sorted_keys)))
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key (or tuple of keys) begins in sorted ones, and how often it comes."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, n))
 
 
 def _save_repeats(folder: str, bits: int):
@@ -155,29 +171,33 @@ def _save_repeats(folder: str, bits: int):
         keys = common.joined(table, "b0", np.uint64)
         kind = shard >> bits
         if kind == _CTX:
-            occ = common.joined(table, "b1", np.uint32)
-            order = np.lexsort([occ, keys])
-            keys, occ = keys[order], occ[order]
-            at, count = _runs(keys)
+            other, occ = common.joined(table, "b1", np.uint64), common.joined(table, "b2", np.uint32)
+            order = np.lexsort([occ, other, keys])
+            keys, other, occ = keys[order], other[order], occ[order]
+            at, count = _runs(keys, other)
             at = at[count > 1]
             common.save(folder, f"occ-{shard}", occ[at])
+            common.save(folder, f"other-{shard}", other[at])
             common.save(folder, f"key-{shard}", keys[at])
             n = len(at)
         elif kind == _HALF:
-            keys = np.unique(keys) & ~_TAG
+            keys, _around = _distinct(keys, common.joined(table, "b1", np.uint64))
             at, count = _runs(keys)
             at, count = at[count > 1], count[count > 1]
             common.save(folder, f"size-{shard}", count.astype(np.uint32))
             common.save(folder, f"key-{shard}", keys[at])
             n, most = len(at), int(count.max(initial=0))
         elif kind == _WINDOW:
-            keys = np.sort(keys)
-            at, count = _runs(keys)
+            other = common.joined(table, "b1", np.uint64)
+            order = np.lexsort([other, keys])
+            keys, other = keys[order], other[order]
+            at, count = _runs(keys, other)
+            common.save(folder, f"other-{shard}", other[at[count > 1]])
             common.save(folder, f"key-{shard}", keys[at[count > 1]])
         else:
             order = np.argsort(keys, kind="stable")
-            common.save(folder, f"start-{shard}", common.joined(table, "b1", np.int64)[order])
-            common.save(folder, f"end-{shard}", common.joined(table, "b2", np.int64)[order])
+            for i, (name, kind) in enumerate((("other", np.uint64), ("start", np.int64), ("end", np.int64)), 1):
+                common.save(folder, f"{name}-{shard}", common.joined(table, f"b{i}", kind)[order])
             common.save(folder, f"key-{shard}", keys[order])
             n = len(keys)
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([n], pa.int64()), "most": pa.array([most], pa.int64())})
@@ -189,20 +209,38 @@ class _Known:
     """The sorted files as a task sees them."""
 
     def __init__(self, folder: str, bits: int, limit: int):
-        self.ctx = Shards(folder, bits, _CTX, "key", "occ")
+        self.ctx = Shards(folder, bits, _CTX, "key", "other", "occ")
         self.half = Shards(folder, bits, _HALF, "key", "size")
-        self.window = Shards(folder, bits, _WINDOW, "key")
-        self.cover = Shards(folder, bits, _COVER, "key", "start", "end")
+        self.window = Shards(folder, bits, _WINDOW, "key", "other")
+        self.cover = Shards(folder, bits, _COVER, "key", "other", "start", "end")
         self.limit = limit
 
+    @staticmethod
+    def find(shards: Shards, keys: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of hashes are there, and the last companion of each (0 where not)."""
+        found, last = np.zeros(len(keys), bool), np.zeros(len(keys), np.uint32)
+        order = np.argsort(keys)
+        for part, (own, own_other, *more) in shards.ranges(keys[order]):
+            mine = order[part]
+            at = np.searchsorted(own, keys[mine])
+            while len(mine):  # one step, but for different strings of one first hash
+                inside = np.minimum(at, len(own) - 1)
+                same = (at < len(own)) & (own[inside] == keys[mine])
+                hit = same & (own_other[inside] == other[mine])
+                found[mine[hit]] = True
+                if more:
+                    last[mine[hit]] = more[-1][inside[hit]]
+                mine, at = mine[same & ~hit], at[same & ~hit] + 1
+        return found, last
+
     def shared(self, t: _Text) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Which anchors repeat with all around them; which stand for their kind; per half its group's size, 0 if alone."""
-        repeats, (least,) = self.ctx.find(t.ctx)
+        repeats, least = self.find(self.ctx, t.ctx, t.ctx_other)
         stands = ~repeats | (t.occ == least)
         return repeats, stands, [np.where(ok, self.half.find(h)[1][0], 0) for h, ok in t.halves]
 
 
-_ROUNDS = "g long, ctx long, single boolean, key long, first long, body binary"
+_ROUNDS = "g long, ctx long, single boolean, key long, other long, first long, body binary"
 
 
 def _surroundings(known: _Known):
@@ -218,9 +256,9 @@ def _surroundings(known: _Known):
                     low, high = np.maximum(first, t.low[use]), np.minimum(first + WIDE, t.high[use])
                     body = [data[x:y].tobytes() for x, y in zip((low + t.begin).tolist(), (high + t.begin).tolist(), strict=True)]
                     place = first - t.low[use] + t.begin  # negative: columns before the text
-                    columns = [(t.halves[side][0][use] | _U(side)).view(np.int64), t.ctx[use].view(np.int64), ~repeats[use], t.key[t.row[use]].view(np.int64), place, pa.array(body, pa.binary())]
+                    columns = [(t.halves[side][0][use] | _U(side)).view(np.int64), t.ctx[use].view(np.int64), ~repeats[use], *(k[t.row[use]].view(np.int64) for k in (t.key, t.key_other)), place, pa.array(body, pa.binary())]
                     for at in range(0, len(use), 20_000):
-                        yield pa.RecordBatch.from_arrays([(x if isinstance(x, pa.Array) else pa.array(x)).slice(at, 20_000) for x in columns], ["g", "ctx", "single", "key", "first", "body"])
+                        yield pa.RecordBatch.from_arrays([(x if isinstance(x, pa.Array) else pa.array(x)).slice(at, 20_000) for x in columns], ["g", "ctx", "single", "key", "other", "first", "body"])
 
     return run
 
@@ -275,9 +313,9 @@ def _compare(bits: int, most: int = 8_000):
         shared &= rows.column("single").to_numpy(zero_copy_only=False)[:, None]
         edge = np.diff(np.pad(shared, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         (row, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-        key = rows.column("key").to_numpy().view(np.uint64)[row]
+        key, other = (rows.column(c).to_numpy().view(np.uint64)[row] for c in ("key", "other"))
         order = np.argsort(key, kind="stable")
-        return common.shard_rows(_COVER, bits, key[order], (first[row] + start)[order], (first[row] + end - 1 + WINDOW)[order])
+        return common.shard_rows(_COVER, bits, key[order], other[order], (first[row] + start)[order], (first[row] + end - 1 + WINDOW)[order])
 
     def run(batches):
         held, n = [], 0
@@ -291,15 +329,15 @@ def _compare(bits: int, most: int = 8_000):
                 held = [batch.slice(stop)]
                 n = len(g) - stop
                 if done:
-                    yield common.blobs(done, 3)
+                    yield common.blobs(done, _COLUMNS)
         if held and (done := covers(pa.Table.from_batches(held))):
-            yield common.blobs(done, 3)
+            yield common.blobs(done, _COLUMNS)
 
     return run
 
 
 def _deal_windows(known: _Known, bits: int):
-    """Windows of the groups beyond the limit, by hash; a repeated surrounding counts as two."""
+    """Windows of the groups beyond the limit, by both hashes; a repeated surrounding counts as two."""
 
     def run(batches):
         for _, _, _, texts in _texts(batches):
@@ -308,23 +346,25 @@ def _deal_windows(known: _Known, bits: int):
                 found = []
                 for side, size in enumerate(sizes):
                     anchor, start = t.windows(side, np.flatnonzero(stands & (size > known.limit)))
-                    h = t.hashes.of(start, start + WINDOW)
-                    found += [h, h[repeats[anchor]]]
-                (keys,) = _capped(np.concatenate(found))
-                if len(keys):
-                    yield common.blobs(common.shard_rows(_WINDOW, bits, keys), 3)
+                    h = [x.of(start, start + WINDOW) for x in (t.hashes, t.others)]
+                    found += [h, [x[repeats[anchor]] for x in h]]
+                keys = _capped(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                if len(keys[0]):
+                    yield common.blobs(common.shard_rows(_WINDOW, bits, *keys), _COLUMNS)
 
     return run
 
 
-def _covers_of(known: _Known, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _covers_of(known: _Known, key: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows with their covers from the column rounds: row, start, end in the row's text."""
     order = np.argsort(key)
-    for part, (own, start, end) in known.cover.ranges(key[order]):
+    for part, (own, own_other, start, end) in known.cover.ranges(key[order]):
         q, row = key[order[part]], order[part]
         low, n = np.searchsorted(own, q), np.searchsorted(own, q, side="right") - np.searchsorted(own, q)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        yield np.repeat(row, n), start[at], end[at]
+        rows = np.repeat(row, n)
+        mine = own_other[at] == other[rows]
+        yield rows[mine], start[at[mine]], end[at[mine]]
 
 
 def _drop(known: _Known, names: list[str]):
@@ -337,13 +377,13 @@ def _drop(known: _Known, names: list[str]):
                 found = [(t.start[use], t.end[use])]
                 for side, size in enumerate(sizes):
                     _, start = t.windows(side, np.flatnonzero(size > known.limit))
-                    start = start[known.window.find(t.hashes.of(start, start + WINDOW))[0]]
+                    start = start[known.find(known.window, *(x.of(start, start + WINDOW) for x in (t.hashes, t.others)))[0]]
                     found.append((start, start + WINDOW))
                 for start, end in found:
                     np.add.at(change, start + t.begin, 1)
                     np.add.at(change, end + t.begin, -1)
-                key = t.key
-            for row, start, end in _covers_of(known, key):
+                key = t.key, t.key_other
+            for row, start, end in _covers_of(known, *key):
                 np.add.at(change, offsets[row] + start, 1)
                 np.add.at(change, offsets[row] + end, -1)
             gone = np.cumsum(change[:-1]) > 0

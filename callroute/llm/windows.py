@@ -14,7 +14,7 @@ GRAM = 32
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
-_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTES, OTHER = (np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, 256, dtype=np.uint64) for seed in (20240229, 20250131))
 _POS_MASK = _U((1 << 24) - 1)
 
 
@@ -26,17 +26,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any byte intervals of one buffer, from running sums of byte value times base power."""
+    """Hashes of any byte intervals of one buffer, from running sums of byte value times base power.
+
+    ``table``: the values of bytes; hashes by ``OTHER`` are independent of those by the usual table.
+    """
 
     _power = _back = np.ones(1, np.uint64)
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, table: np.ndarray = _BYTES):
         n = len(data) + 1
         if len(Hashes._power) < n:
             Hashes._power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE)]))
             Hashes._back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _INVERSE)]))
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_BYTES[data] * Hashes._power[: n - 1], out=self.sums[1:])
+        np.cumsum(table[data] * Hashes._power[: n - 1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         length = (end - start).astype(np.uint64)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from callroute.llm import chat, common, embeddings, mixing, quality, scoring, simhash, topk
+from callroute.llm import chat, common, embeddings, mixing, quality, scoring, simhash, suffix, topk
 
 
 @pytest.mark.parametrize(("kind", "labels"), [("double", [1.2, 1.7, None, -0.0, 0.0]), ("string", ["a", "b", None, "", "1"]), ("array<int>", [[1], [2], None, [], [1, 2]])])
@@ -172,3 +172,19 @@ def test_near_dedup_stage_does_not_depend_on_the_order_of_rows(spark, documents)
         out = corpus_pipeline.simhash_dedup(spark, documents(order).repartition(3), "").collect()
         kept.append(sorted((r.doc_id, r.lang, r.source) for r in out))
     assert kept[0] == kept[1] == [(1, "de", "y"), (2, "en", "x")]
+
+
+def test_strings_of_one_hash_are_told_apart_by_the_other(tmp_path):
+    keys, other, occ = np.array([3, 7, 7, 7, 9], np.uint64), np.array([1, 1, 4, 6, 1], np.uint64), np.arange(5, dtype=np.uint32) + 10
+    for name, x in (("key", keys), ("other", other), ("occ", occ)):
+        np.save(f"{tmp_path}/{name}-0.npy", x)
+    known = suffix._Known(str(tmp_path), 0, 5)
+    asked = [(7, 6), (7, 5), (9, 1), (9, 2), (3, 1), (7, 1), (8, 1), (99, 1)]
+    found, last = known.find(known.ctx, *(np.array(x, np.uint64) for x in zip(*asked, strict=True)))
+    assert found.tolist() == [pair in set(zip(keys.tolist(), other.tolist(), strict=True)) for pair in asked]
+    assert last.tolist() == [13, 0, 14, 0, 10, 11, 0, 0]
+
+
+def test_two_entries_of_a_pair_are_enough():
+    got = suffix._capped(np.array([5, 5, 5, 5, 2], np.uint64), np.array([1, 1, 1, 2, 9], np.uint64), np.array([3, 1, 2, 7, 8]))
+    assert [x.tolist() for x in got] == [[2, 5, 5, 5], [9, 1, 1, 2], [8, 1, 2, 7]]
