@@ -424,6 +424,32 @@ def expire_state(state: DataFrame, now, ttl=DEFAULT_TTL) -> DataFrame:
     return state.filter(micros(F.col("written_at")) >= micros(now_col) - F.lit(T))
 
 
+def lay_out(state: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """Store a state as a table bucketed and sorted by id (``path`` in shared storage), for lookups that leave it where it is.
+
+    ``buckets`` should not be below ``spark.sql.shuffle.partitions``.
+    """
+    spark = state.sparkSession
+    state.repartition(buckets, "resource_id").write.bucketBy(buckets, "resource_id").sortBy("resource_id").mode("overwrite").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def layers(base: DataFrame, recent: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """Two layers laid out as one table: an id's recent entry, else its base entry, and which it is (``layer``)."""
+    layer = lambda df, rank, kind: df.filter(F.col("call_context").isNotNull()).select(
+        "resource_id", F.lit(rank).alias("_rank"), "call_context", "written_at", F.lit(kind).alias("layer")
+    )
+    both = layer(recent, 2, "recent").unionByName(layer(base, 1, "base"))
+    top = both.groupBy("resource_id").agg(F.max_by(F.struct("call_context", "written_at", "layer"), "_rank").alias("_top"))
+    return lay_out(top.select("resource_id", "_top.*"), name, path, buckets)
+
+
+def lookup_laid_out(keys: DataFrame, table: DataFrame, key: str = "resource_id") -> DataFrame:
+    """J7/J8 on a table of ``lay_out`` or ``layers``: only the keys are exchanged, to the buckets; absent -> NULL."""
+    found = table.withColumnRenamed("resource_id", "_id")
+    return keys.join(found.hint("merge"), F.col(key) == F.col("_id"), "left").drop("_id")
+
+
 def lookup_state(keys: DataFrame, state: DataFrame, key: str = "resource_id") -> DataFrame:
     """Bulk point lookup, absent -> NULL. AQE broadcasts the state when it is small."""
     return keys.join(state.select(F.col("resource_id").alias(key), "call_context", "written_at"), key, "left")
@@ -457,6 +483,9 @@ __all__ = [
     "lookup_contexts",
     "upsert_latest",
     "expire_state",
+    "lay_out",
+    "layers",
+    "lookup_laid_out",
     "lookup_state",
     "lookup_layered",
     "with_state_key",

@@ -352,6 +352,17 @@ def q_lookup_layered(spark, d):
     return st.lookup_layered(keys, recent, base).select("seq", "resource_id", "call_context", "layer")
 
 
+def q_lookup_laid_out(spark, d):
+    """J7/J8 on a stored state: both layers as one bucketed table, to which the keys are sent."""
+    prepared, writes = _explicit_writes(spark, d)
+    split = st.ntz_lit(LAYER_SPLIT)
+    base, recent = (st.upsert_latest(None, writes.filter(side)) for side in (F.col("ts") < split, F.col("ts") >= split))
+    path = scratch_path(spark, "layers")
+    table = st.layers(base, recent, "layers_" + path.rsplit("-", 1)[1].replace("_", "u").lower(), f"{path}/table")
+    keys = prepared.filter(F.col("reason").isNull() & F.col("resource_id").isNotNull()).select("seq", "resource_id")
+    return st.lookup_laid_out(keys, table).select("seq", "resource_id", "call_context", "layer")
+
+
 def q_missing_required(spark, d):
     """Resources that commands registered and no event ever named."""
     registered = cm.context_registrations(cm.prepare_commands(_commands(spark, d)))
@@ -545,6 +556,7 @@ QUERIES = {
     "expire_state": q_expire_state,
     "lookup_state": q_lookup_state,
     "lookup_layered": q_lookup_layered,
+    "lookup_laid_out": q_lookup_laid_out,
     "correlate_results": q_correlate_results,
     "missing_required": q_missing_required,
     "event_counts": q_event_counts,

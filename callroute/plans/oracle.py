@@ -329,3 +329,4 @@ ORACLE["stop_on_control"] = f"""{ROUTED}, stop as (select ts, seq from ev where
 ORACLE["context_lookups"] = f"{RESOLVED} select k, count(*) as attempts, count(*) filter (cur is null or written) as misses, count(*) filter (written) as created from f where k <> 'put' group by k"
 ORACLE["read_event_lines"] = f"with {EVENTS}, texts as (select seq, raw from ({duck_sql('ari_events')})) select raw, type from evr join texts using (seq)"
 ORACLE["stream_events"] = ORACLE["read_event_lines"]
+ORACLE["lookup_laid_out"] = ORACLE["lookup_layered"]

@@ -37,7 +37,9 @@ to a keyed topic, each once (``sources.sink``).
 
 from __future__ import annotations
 
+import json
 import os
+import time
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
@@ -77,6 +79,7 @@ class RouterPaths:
     counts_out: str = field(init=False)
     quarantine_out: str = field(init=False)
     control_out: str = field(init=False)
+    measured: str = field(init=False)
     checkpoint: str = field(init=False)
     answers_checkpoint: str = field(init=False)
 
@@ -90,6 +93,7 @@ class RouterPaths:
         self.counts_out = f"{r}/out/counts"
         self.quarantine_out = f"{r}/out/quarantine"
         self.control_out = f"{r}/out/control"
+        self.measured = f"{r}/measured"
         self.checkpoint = f"{r}/checkpoint"
         self.answers_checkpoint = f"{r}/answers-checkpoint"
 
@@ -165,7 +169,33 @@ def _publish(sink: KeyedSink | None, spark: SparkSession, folder: str, name: str
         sink.publish(outbox, f"{name}-{batch_id}-{part}")
 
 
-def process_batch(
+MEASURED = "batch bigint, part bigint, lookups bigint, misses bigint, created bigint, written bigint, rows_read bigint, duration_ms double, error string"
+
+
+def _measure(spark: SparkSession, paths: RouterPaths, batch_id: int, part: int, **values) -> None:
+    """A4, A5 of the router: one small file per batch, or per failure of one."""
+    name = f"m-{batch_id:012d}-{part:04d}" + (f"-error-{uuid.uuid4().hex}" if values.get("error") else "")
+    Folder(spark, paths.measured).write(f"{name}.json", json.dumps({"batch": batch_id, "part": part, **values}))
+
+
+def measurements(spark: SparkSession, paths: RouterPaths) -> DataFrame:
+    """What the routing query measured, a row per batch: lookups of call contexts, those that found none, contexts created, entries
+    written, stored rows in the files read, how long the state's write took; and a row with ``error`` per failed attempt."""
+    if not Folder(spark, paths.measured).names():
+        return spark.createDataFrame([], MEASURED)
+    return spark.read.schema(MEASURED).json(paths.measured)
+
+
+def process_batch(batch: DataFrame, batch_id: int, paths: RouterPaths, **options) -> bool:
+    """``route_batch``, and a measurement if it fails: the batch comes again, and the failure stays on record."""
+    try:
+        return route_batch(batch, batch_id, paths, **options)
+    except Exception as failed:
+        _measure(batch.sparkSession, paths, batch_id, 0, error=f"{type(failed).__name__}: {str(failed)[:300]}")
+        raise
+
+
+def route_batch(
     batch: DataFrame,
     batch_id: int,
     paths: RouterPaths,
@@ -219,7 +249,8 @@ def process_batch(
     data, _control = ev.split_control(prepared)
     ops = st.event_ops(data).unionByName(st.registration_ops(cm.context_registrations(cmds))).persist()
     expired = None if last.clock is None else last.clock - st.ttl_micros(ttl) - st.ttl_micros(lateness)
-    stored = state.entries(last, ops.select(F.col("rid").alias("resource_id")), expired)
+    ids = ops.select(F.col("rid").alias("resource_id"))
+    stored = state.entries(last, ids, expired)
     resolved = resolve_with_state(ops, stored, ttl).persist()
 
     # Event envelopes
@@ -255,7 +286,17 @@ def process_batch(
     writes = resolved.filter(F.col("written")).select(
         F.col("rid").alias("resource_id"), "call_context", "ts", "src", "seq"
     )
-    state.commit(last, batch_id, part, st.upsert_latest(None, writes), clock, horizon, cut)
+    found = resolved.agg(
+        F.count_if(F.col("k") != "put").alias("lookups"),
+        F.count_if((F.col("k") != "put") & (F.col("call_context").isNull() | F.col("written"))).alias("misses"),
+        F.count_if((F.col("k") != "put") & F.col("written")).alias("created"),
+    ).first()
+    began = time.perf_counter()
+    version = state.commit(last, batch_id, part, st.upsert_latest(None, writes), clock, horizon, cut)
+    took = (time.perf_counter() - began) * 1000
+    number = (batch_id << 16) + part
+    written = sum(run[2] for runs in version.runs.values() for run in runs if run[1] == number)
+    _measure(spark, paths, batch_id, part, **found.asDict(), written=written, rows_read=last.rows(state.touched(ids)), duration_ms=took)
     for cached in (resolved, ops, cmds, prepared, control, batch):
         cached.unpersist()
     return cut is None
@@ -424,7 +465,7 @@ def start_router(
 ) -> Router:
     """Start the routing query and, with ``results``, the answering query (checkpointed offsets, idempotent outputs).
 
-    A start after a stop at a control message goes on behind it. ``options`` as of ``process_batch``.
+    A start after a stop at a control message goes on behind it. ``options`` as of ``route_batch``.
     """
     def started(frame: DataFrame, body, checkpoint: str):
         writer = frame.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)

@@ -62,6 +62,22 @@ def test_payload_is_exchanged_twice(spark):
     assert paths[0][0].startswith("hashpartitioning(key") and "slice" in paths[0][1]
 
 
+def test_lookups_leave_the_state_where_it_is(spark):
+    from callroute.operators import state as st
+    from callroute.session import scratch_path
+
+    path = scratch_path(spark, "laid-out")
+    entry = lambda i, c: (f"r{i}", c, None)
+    schema = "resource_id string, call_context string, written_at timestamp_ntz"
+    base = spark.createDataFrame([entry(i, f"b{i}") for i in range(30)] + [entry(99, None)], schema)
+    recent = spark.createDataFrame([entry(i, f"n{i}") for i in range(10)], schema)
+    table = st.layers(base, recent, "test_layers_" + path.rsplit("-", 1)[1].replace("_", "u").lower(), f"{path}/table")
+    keys = spark.createDataFrame([(f"r{i}",) for i in (1, 1, 20, 99, 500)], "resource_id string")
+    out = st.lookup_laid_out(keys, table)
+    assert sorted((r.resource_id, r.call_context, r.layer) for r in out.collect()) == [("r1", "n1", "recent"), ("r1", "n1", "recent"), ("r20", "b20", "base"), ("r500", None, None), ("r99", None, None)]
+    assert _exchanges(out._jdf.queryExecution().executedPlan(), "test_layers_") == [()]
+
+
 @needs_data
 def test_payload_text_is_untouched(spark):
     import json

@@ -3,6 +3,9 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
+
+from callroute.operators import metrics as mt
 from callroute.sources import io
 from callroute.streaming import stream as sm
 from callroute.streaming.keyed_state import KeyedState
@@ -163,3 +166,16 @@ def test_clock_is_monotone_and_bounded():
     t = lambda m: T0 + timedelta(minutes=m)
     assert sm.next_clock(None, t(5)) == t(5) and sm.next_clock(t(5), None) == t(5) and sm.next_clock(None, None) is None
     assert sm.next_clock(t(5), t(1)) == t(5) and sm.next_clock(t(5), t(600), "1 hour") == t(65)
+
+
+def test_batches_are_measured(spark):
+    paths = run(spark, [event(1, 0, "c1", "StasisStart", "ctx-1"), event(2, 1, "c1"), event(3, 2, "c9"), event(4, 3, "c8", "StasisStart")], [event(5, 4, "c1")])
+    first, second = sm.measurements(spark, paths).orderBy("batch").collect()
+    assert (first.lookups, first.misses, first.created, first.written, first.rows_read, first.error) == (3, 2, 1, 2, 0, None)
+    assert (second.lookups, second.misses, second.created, second.written) == (1, 0, 0, 0) and second.rows_read >= 1
+    assert first.duration_ms > 0 and mt.write_durations(sm.measurements(spark, paths)).first()["count"] == 2
+    bad = spark.createDataFrame([event(6, 5, "c1")], COLUMNS).drop("raw")
+    with pytest.raises(Exception, match="raw"):
+        sm.process_batch(bad, 2, paths)
+    assert [r.batch for r in sm.measurements(spark, paths).where("error is not null").collect()] == [2]
+    assert sm.measurements(spark, sm.new_paths(spark, "none")).count() == 0
