@@ -158,6 +158,7 @@ def _compare(axes, width: int, threshold: float):
                 x, root = common.contract(ga[i], gb[j])
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(links)], ["a", "b", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(root), pa.nulls(len(x), pa.int64())], ["a", "b", "n"])
+            common.release()
 
     return run
 
