@@ -130,14 +130,17 @@ def state_ops(state: DataFrame) -> DataFrame:
 # J3
 
 
-def slices_of(rows: DataFrame, width: int, slice_rows: int) -> DataFrame | None:
-    """``rid, b, n``: the buckets of more than ``slice_rows`` rows and how many slices of time each gets; None if there is none."""
-    big = rows.groupBy("rid", "b").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > slice_rows)
+def slices_of(counts: DataFrame, width: int, slice_rows: int) -> DataFrame | None:
+    """``rid, b, n``: the buckets of more than ``slice_rows`` rows and how many slices of time each gets; None if there is none.
+
+    ``counts``: ``rid, b, rows``, best computed already.
+    """
     n = F.least(F.ceil(F.col("rows") / slice_rows) * 4, F.lit(min(SLICES, width)))
-    hot = materialize(big.select("rid", "b", n.cast("long").alias("n")))
+    hot = counts.filter(F.col("rows") > slice_rows).select("rid", "b", n.cast("long").alias("n"))
     found = hot.count()  # at most rows / slice_rows
     if not found:
         return None
+    hot = materialize(hot)
     return F.broadcast(hot) if found <= HOT_BROADCAST else hot
 
 
@@ -207,17 +210,25 @@ def fold(ops: DataFrame, ttl=DEFAULT_TTL, slice_rows: int = SLICE_ROWS) -> Fold:
     """
     T = ttl_micros(ttl)
     o = materialize(with_bucket(ops.select("rid", "ts", "src", "seq", "k", "ctx"), T))
-    hot = slices_of(o, T, slice_rows)
-    sliced = with_slice(o, hot, T)
     is_put, is_create = F.col("k") == "put", F.col("k") == "create"
     at = F.struct("t", "src", "seq")
-    slices = materialize(
-        sliced.groupBy("rid", "b", "slice").agg(
-            F.min(F.when(is_put, at)).alias("first_put"),
-            F.max_by(F.struct("t", "ctx"), F.when(is_put, at)).alias("last_put"),
-            F.min(F.when(is_create, at)).alias("first_create"),
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return materialize(
+            rows.groupBy("rid", "b", "slice").agg(
+                F.count(F.lit(1)).alias("rows"),
+                F.min(F.when(is_put, at)).alias("first_put"),
+                F.max_by(F.struct("t", "ctx"), F.when(is_put, at)).alias("last_put"),
+                F.min(F.when(is_create, at)).alias("first_create"),
+            )
         )
-    )
+
+    # whole buckets first: where none is too large, they are the slices
+    slices = summed(with_slice(o, None, T))
+    hot = slices_of(slices, T, slice_rows)
+    sliced = with_slice(o, hot, T)
+    if hot is not None:
+        slices = summed(sliced)
 
     # one row per (rid, bucket)
     summary = slices.groupBy("rid", "b").agg(
@@ -387,7 +398,8 @@ def lookup_contexts(lookups: DataFrame, writes: DataFrame, bucket: str = "1 day"
         W,
     )
     both = materialize(both)
-    both = with_slice(both, slices_of(both, W, slice_rows), W)
+    counts = both.groupBy("rid", "b").agg(F.count(F.lit(1)).alias("rows"))
+    both = with_slice(both, slices_of(counts, W, slice_rows), W)
     part = ["rid", "b", "slice"]
     summary = both.groupBy(*part).agg(F.max_by("ctx", F.when(F.col("is_w"), F.struct("t", "src", "seq"))).alias("last_ctx"))
     before = Window.partitionBy("rid").orderBy("b", "slice").rowsBetween(Window.unboundedPreceding, -1)
