@@ -29,7 +29,7 @@ time stamp by ``result_timeout``; a result that no request claims is
 quarantined. ``ticks`` (time stamps, as of ``heartbeat``) move both watermarks
 on while no message comes. Of several results of a request the earliest of the
 first batch counts, the rest are quarantined. Rows that come later than
-``lateness`` behind the watermark are dropped by the join; Spark counts them.
+``lateness`` behind the watermark are dropped by the join (``Router.late_rows``).
 
 Records go to tables below ``paths``; with ``sinks`` they are then published
 to a keyed topic, each once (``sources.sink``).
@@ -437,6 +437,10 @@ class Router:
         for q in self.queries:
             q.stop()
 
+    def late_rows(self) -> int:
+        """Commands and results that came too late for the answering query's join, of the batches that Spark still reports."""
+        return sum(s.numRowsDroppedByWatermark for q in self.queries[1:] for p in q.recentProgress for s in p.stateOperators)
+
     def awaitTermination(self, seconds: float | None = None) -> bool:  # noqa: N802
         """Wait for all queries; whether they ended. One that failed raises, unless it stopped at a control message."""
         ended = True

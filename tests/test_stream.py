@@ -117,6 +117,7 @@ def test_requests_wait_for_results(spark):
     arrive(spark, paths, [T0 + timedelta(minutes=90)], **options)
     assert answers(spark, paths) == [(1, 200), (2, 500), (3, 204), (4, 500)]
     assert quarantine(spark, paths)[0] == ("commandResponse", "repeated_result", 1)
+    assert arrive(spark, paths, [command(5, 1), command(6, 89)], **options).late_rows() == 1
 
 
 def test_stop_and_restart_route_what_one_run_routes(spark):
