@@ -48,15 +48,16 @@ ev as (
  select b.seq, b.ts, b.user_id, b.event_id, b.wire_type as wt,
   case when b.wire_type in ('#malformed', '#no_type') then null else b.wire_type end as wire_text,
   coalesce(mt.type, 'UNKNOWN') as type, mt.resource_type, mt.id_path,
-  case when b.wire_type = '#no_type' then 'ch-' || b.user_id
-       when b.wire_type in ('#malformed', 'ChannelDestroyed', 'BridgeCreated', 'Dial') or b.wire_type like 'Playback%' then null
+  case when b.wire_type in ('#malformed', 'ChannelDestroyed', 'ChannelTransfer', 'Dial') or b.wire_type like 'Playback%' or b.wire_type like 'Recording%'
+         or b.wire_type in ('BridgeCreated', 'BridgeDestroyed', 'BridgeMerged', 'BridgeVideoSourceChanged') then null
        else 'ch-' || b.user_id end as channel_id,
-  case when b.wire_type in ('#malformed', '#no_type', 'ChannelDestroyed', 'BridgeCreated', 'Dial') or b.wire_type like 'Playback%' then null
+  case when b.wire_type in ('#no_type', 'ChannelEnteredBridge', 'ChannelLeftBridge') or channel_id is null then null
        when b.event_id % 3 = 0 then 'ctx-' || b.user_id || '-' || (b.event_id % 7) end as channel_var
  from ev0 b left join mt on mt.wire_type = b.wire_type),
 evr as (
  select *, case id_path when '/channel/id' then channel_id when '/playback/id' then 'pb-' || (event_id % 201)
-   when '/bridge/id' then 'br-' || (user_id % 20) when '/peer/id' then 'ch-' || user_id end as resource_id
+   when '/bridge/id' then 'br-' || (user_id % 20) when '/recording/name' then 'rec-' || (event_id % 500 * 8 + 4)
+   when '/peer/id' then 'ch-' || user_id when '/referred_by/source_channel/id' then 'ch-' || user_id end as resource_id
  from ev),
 evq as (
  select *, case when wt = '#malformed' then 'malformed' when wt = '#no_type' then 'no_type'
@@ -80,37 +81,38 @@ cmt as (
  select c.*, m.template, m.command_type, m.creates from cmd c left join (
   select seq, arg_max(template, lit) as template, arg_max(command_type, lit) as command_type, arg_max(creates, lit) as creates
   from cmd join rt on regexp_full_match(cmd.path, rt.rx) group by seq) m using (seq)),
+cseg as (
+ select *, string_split(template, '/') as tsegs, string_split(path, '/') as psegs,
+  case split_part(command_type, '_', 1) when 'BRIDGE' then '{{bridgeId}}' when 'CHANNEL' then '{{channelId}}' when 'PLAYBACK' then '{{playbackId}}'
+       when 'RECORDING' then '{{recordingName}}' when 'SNOOPING' then '{{snoopId}}' end as own
+ from cmt),
 cres as (
  select *,
-  case when template = '/channels/{{channelId}}/play/{{playbackId}}'
-         then 'PLAYBACK:' || regexp_extract(path, '^/channels/([^/]+)/play/([^/]+)$', 2) || ',CHANNEL:' || regexp_extract(path, '^/channels/([^/]+)/', 1)
-       when template in ('/channels/{{channelId}}/answer', '/channels/{{channelId}}/record')
-         then 'CHANNEL:' || regexp_extract(path, '^/channels/([^/]+)/', 1)
-       when template = '/channels/{{channelId}}' then 'CHANNEL:' || regexp_extract(path, '^/channels/([^/]+)$', 1)
-       else '' end as path_resources,
-  case command_type when 'BRIDGE_CREATION' then json_extract_string(body, '$.bridgeId')
-       when 'CHANNEL_CREATION' then json_extract_string(body, '$.channelId')
-       when 'RECORDING_CREATION' then json_extract_string(body, '$.name')
-       when 'PLAYBACK_CREATION' then json_extract_string(body, '$.playbackId') end as body_resource_id
- from cmt),
+  coalesce(array_to_string(list_reverse([
+    case tsegs[i] when '{{bridgeId}}' then 'BRIDGE' when '{{channelId}}' then 'CHANNEL' when '{{playbackId}}' then 'PLAYBACK'
+      when '{{recordingName}}' then 'RECORDING' when '{{snoopId}}' then 'SNOOPING' end || ':' || psegs[i]
+    for i in range(1, len(tsegs) + 1) if starts_with(tsegs[i], '{{')]), ','), '') as path_resources,
+  case split_part(command_type, '_', 1) when 'BRIDGE' then json_extract_string(body, '$.bridgeId')
+       when 'CHANNEL' then json_extract_string(body, '$.channelId')
+       when 'RECORDING' then json_extract_string(body, '$.name')
+       when 'PLAYBACK' then json_extract_string(body, '$.playbackId')
+       when 'SNOOPING' then json_extract_string(body, '$.snoopId') end as body_resource_id
+ from cseg),
 crel as (
  select *,
-  case when coalesce(creates, false) then coalesce(
-    case template when '/channels/{{channelId}}/play/{{playbackId}}' then regexp_extract(path, '/play/([^/]+)$', 1)
-                  when '/channels/{{channelId}}' then regexp_extract(path, '^/channels/([^/]+)$', 1) end,
-    body_resource_id) end as created_id,
-  case when coalesce(creates, false) then case command_type when 'BRIDGE_CREATION' then 'BRIDGE' when 'CHANNEL_CREATION' then 'CHANNEL'
-       when 'RECORDING_CREATION' then 'RECORDING' when 'PLAYBACK_CREATION' then 'PLAYBACK' end end as created_type
+  case when coalesce(creates, false) then coalesce(psegs[list_position(tsegs, own)], body_resource_id) end as created_id,
+  case when coalesce(creates, false) then split_part(command_type, '_', 1) end as created_type
  from cres),
+crel1 as (
+ select *, regexp_replace(path_resources, '([A-Z]+:[^,]+)', '\\1:0', 'g') as unmarked, created_type || ':' || created_id as created from crel),
 crel2 as (
  select *,
-  case when created_id is null then regexp_replace(path_resources, '([A-Z]+:[^,]+)', '\\1:0', 'g')
-       when template = '/channels/{{channelId}}/play/{{playbackId}}' then 'PLAYBACK:' || created_id || ':1,' || split_part(path_resources, ',', 2) || ':0'
-       when template = '/channels/{{channelId}}' then 'CHANNEL:' || created_id || ':1'
-       when path_resources = '' then created_type || ':' || created_id || ':1'
-       else created_type || ':' || created_id || ':1,' || regexp_replace(path_resources, '([A-Z]+:[^,]+)', '\\1:0', 'g') end as relations,
+  case when created_id is null then unmarked
+       when unmarked = '' then created || ':1'
+       when contains(',' || unmarked, ',' || created || ':0') then replace(unmarked, created || ':0', created || ':1')
+       else created || ':1,' || unmarked end as relations,
   coalesce(creates, false) and method = 'POST' as is_creation
- from crel),
+ from crel1),
 cq as (
  select *, case when defect is not null then defect
    when is_creation and created_id is null then 'no_created_id'
@@ -209,7 +211,7 @@ ORACLE = {
     "parse_messages": f"with {EVENTS} select seq, wt = '#malformed' as malformed from ev",
     "text_at": f"""with {EVENTS} select seq, channel_id,
         case when wt = 'Dial' then 'ch-' || user_id end as peer_id,
-        case when wt = 'BridgeCreated' then 'br-' || (user_id % 20) end as bridge_id,
+        case when wt in ('BridgeCreated', 'BridgeDestroyed', 'BridgeMerged', 'BridgeVideoSourceChanged', 'ChannelEnteredBridge', 'ChannelLeftBridge') then 'br-' || (user_id % 20) end as bridge_id,
         case when wt like 'Playback%' then 'pb-' || (event_id % 201) end as playback_id,
         case when wt in ('#malformed', '#no_type') then null else 'app-' || (user_id % 3) end as application from ev""",
     "classify_events": f"with {EVENTS} select seq, wire_text as wire_type, type, resource_type, id_path from ev",

@@ -11,14 +11,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callroute.sources.dims import MESSAGE_TYPES, ROUTES
+
 TS_SPARK = (
     "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast((o_orderkey * 7) % 43200 as int))"
 )
 TS_DUCK = "timestamp '2024-01-01' + to_minutes((o_orderkey * 7) % 43200)"
 
-EVENT_BASE = """
+# Every seventh event goes through all message types but the control message, every ninth command through all routes.
+_SWEEP_TYPES = [wire for _, wire, _, _ in MESSAGE_TYPES if wire != "ApplicationReplaced"]
+_TYPE_CASES = " ".join(f"when {i} then '{wire}'" for i, wire in enumerate(_SWEEP_TYPES))
+_SWEEP_IDS = {
+    "{channelId}": "ch-' || (o_custkey % 150) || '",
+    "{bridgeId}": "br-' || (o_custkey % 20) || '",
+    "{playbackId}": "pb-' || (o_orderkey % 201) || '",
+    "{recordingName}": "rec-' || o_orderkey || '",
+    "{snoopId}": "sn-' || o_orderkey || '",
+}
+
+
+def _url_text(template: str) -> str:
+    for placeholder, text in _SWEEP_IDS.items():
+        template = template.replace(placeholder, text)
+    return f"'{template}'"
+
+
+_URL_CASES = " ".join(f"when {i} then {_url_text(template)}" for i, (template, _) in enumerate(ROUTES))
+
+EVENT_BASE = f"""
 select event_id as seq, ts, user_id, event_id, event_type, value, case
  when event_id % 2500 = 2499 then 'ApplicationReplaced'
+ when event_id % 7 = 3 then case cast((event_id - 3) / 7 as bigint) % {len(_SWEEP_TYPES)} {_TYPE_CASES} end
  when event_type = 'signup' then 'StasisStart'
  when event_type = 'view' then case when event_id % 2 = 0 then 'ChannelDtmfReceived' else 'ChannelStateChange' end
  when event_type = 'click' then case when event_id % 2 = 0 then 'PlaybackStarted' else 'PlaybackFinished' end
@@ -27,7 +50,7 @@ select event_id as seq, ts, user_id, event_id, event_type, value, case
  when event_id % 8 = 1 then '#malformed'
  when event_id % 8 = 5 then '#no_type'
  when event_id % 4 = 2 then 'ChannelDestroyed'
- else 'StasisEnd' end as wire_type from {events}
+ else 'StasisEnd' end as wire_type from {{events}}
 """
 
 EVENTS = """
@@ -36,18 +59,22 @@ select seq, ts, case
  when wire_type = '#no_type' then '{{"channel":{{"id":"ch-' || user_id || '"}}}}'
  else '{{"type":"' || wire_type || '",' || case
   when wire_type like 'Playback%' then '"playback":{{"id":"pb-' || (event_id % 201) || '"}}'
-  when wire_type = 'BridgeCreated' then '"bridge":{{"id":"br-' || (user_id % 20) || '"}}'
+  when wire_type like 'Recording%' then '"recording":{{"name":"rec-' || (event_id % 500 * 8 + 4) || '"}}'
+  when wire_type = 'ChannelTransfer' then '"referred_by":{{"source_channel":{{"id":"ch-' || user_id || '"}}}}'
+  when wire_type in ('ChannelEnteredBridge', 'ChannelLeftBridge') then '"bridge":{{"id":"br-' || (user_id % 20) || '"}},"channel":{{"id":"ch-' || user_id || '"}}'
+  when wire_type like 'Bridge%' and wire_type <> 'BridgeBlindTransfer' then '"bridge":{{"id":"br-' || (user_id % 20) || '"}}'
   when wire_type = 'Dial' then '"peer":{{"id":"ch-' || user_id || '"}}'
   when wire_type = 'ChannelDestroyed' then '"channel":{{"id":" "}}'
   else '"channel":{{"id":"ch-' || user_id || '","channelvars":{{"CALL_CONTEXT":"' || case when event_id % 3 = 0 then 'ctx-' || user_id || '-' || (event_id % 7) else '' end || '"}}}}' end
   || ',"application":"app-' || (user_id % 3) || '"}}' end as raw from ({base}) b
 """
 
-COMMAND_BASE = """
-select o_orderkey as seq, {ts} as ts, o_orderkey as request_id, 'ctx-' || (o_custkey % 150) || '-cmd' as call_context,
+COMMAND_BASE = f"""
+select o_orderkey as seq, {{ts}} as ts, o_orderkey as request_id, case when o_orderkey % 29 = 7 then null else 'ctx-' || (o_custkey % 150) || '-cmd' end as call_context,
  case when o_orderkey % 10 = 0 then null else 'cmd-' || o_orderkey end as command_id,
  case when o_orderkey % 64 = 47 then 'FETCH' when o_orderkey % 8 = 3 then 'DELETE' when o_orderkey % 8 = 7 then 'GET' else 'POST' end as method,
- case o_orderkey % 8
+ case when o_orderkey % 9 = 5 then case cast((o_orderkey - 5) / 9 as bigint) % {len(ROUTES)} {_URL_CASES} end || case when o_orderkey % 4 = 1 then '?a=b/c' else '' end
+  else case o_orderkey % 8
   when 0 then '/channels/ch-' || (o_custkey % 150) || '/play/pb-' || (o_orderkey % 201) || '?lang=de'
   when 1 then '/channels/ch-' || (o_custkey % 150) || '/answer'
   when 2 then '/bridges'
@@ -55,15 +82,16 @@ select o_orderkey as seq, {ts} as ts, o_orderkey as request_id, 'ctx-' || (o_cus
   when 4 then '/channels/ch-' || (o_custkey % 150) || '/record'
   when 5 then '/channels'
   when 6 then '/channels/create'
-  else '/unknown/route' end as url,
- case o_orderkey % 8 when 2 then '{{"bridgeId":"br-' || (o_custkey % 20) || '"}}' when 4 then '{{"name":"rec-' || o_orderkey || '"}}'
-  when 6 then '{{"channelId":"ch-' || (o_custkey % 150) || '"}}' end as body,
- case when o_orderkey % 64 = 15 then 'malformed' when o_orderkey % 64 = 31 then 'unknown_field' end as defect from {orders}
+  else '/unknown/route' end end as url,
+ case when o_orderkey % 9 = 5 then case when o_orderkey % 5 < 3 then '{{{{"bridgeId":"br-' || (o_custkey % 20) || '","channelId":"ch-' || (o_custkey % 150) || '","name":"rec-' || o_orderkey || '","playbackId":"pb-' || (o_orderkey % 201) || '","snoopId":"sn-' || o_orderkey || '"}}}}' end
+  else case o_orderkey % 8 when 2 then '{{{{"bridgeId":"br-' || (o_custkey % 20) || '"}}}}' when 4 then '{{{{"name":"rec-' || o_orderkey || '"}}}}'
+  when 6 then '{{{{"channelId":"ch-' || (o_custkey % 150) || '"}}}}' end end as body,
+ case when o_orderkey % 64 = 15 then 'malformed' when o_orderkey % 64 = 31 then 'unknown_field' end as defect from {{orders}}
 """
 
 COMMANDS = """
 select seq, ts, request_id, case when defect = 'malformed' then 'not json' else
- '{{"callContext":"' || call_context || '",' || coalesce('"commandId":"' || command_id || '",', '') || case when defect = 'unknown_field' then '"extra":1,' else '' end
+ '{{' || coalesce('"callContext":"' || call_context || '",', case when seq % 2 = 0 then '"callContext":null,' else '' end) || coalesce('"commandId":"' || command_id || '",', '') || case when defect = 'unknown_field' then '"extra":1,' else '' end
  || '"ariCommand":{{"method":"' || method || '","url":"' || url || '"' || coalesce(',"body":' || body, '') || '}}}}' end as raw from ({base}) b
 """
 
