@@ -29,7 +29,8 @@ time stamp by ``result_timeout``; a result that no request claims is
 quarantined. ``ticks`` (time stamps, as of ``heartbeat``) move both watermarks
 on while no message comes. Of several results of a request the earliest of the
 first batch counts, the rest are quarantined. Rows that come later than
-``lateness`` behind the watermark are dropped by the join (``Router.late_rows``).
+``lateness`` behind the watermark are dropped by the join, which only counts
+them (``Router.late_rows``); ``quarantine_late`` finds them in the inputs.
 
 Records go to tables below ``paths``; with ``sinks`` they are then published
 to a keyed topic, each once (``sources.sink``).
@@ -73,6 +74,7 @@ class RouterPaths:
     root: str
     state: str = field(init=False)
     answered: str = field(init=False)
+    joined: str = field(init=False)
     events_out: str = field(init=False)
     requests_out: str = field(init=False)
     responses_out: str = field(init=False)
@@ -87,6 +89,7 @@ class RouterPaths:
         r = self.root.rstrip("/")
         self.state = f"{r}/state"
         self.answered = f"{r}/answered"
+        self.joined = f"{r}/joined"
         self.events_out = f"{r}/out/events"
         self.requests_out = f"{r}/out/requests"
         self.responses_out = f"{r}/out/responses"
@@ -399,6 +402,7 @@ def process_answers(
     outbox = _save(io.order_by_key(env), paths.responses_out, batch_id)
     _publish(sinks.responses, spark, outbox, "response", batch_id)
 
+    _save(fresh.select("request_id", F.col("r.seq").alias("r_seq"), F.col("r.ts").alias("r_ts")), paths.joined, batch_id)
     taken = fresh.select(F.col("request_id").alias("r_request_id"), F.col("r.seq").alias("r_seq"), F.col("r.ts").alias("r_ts"))
     lost = lambda df, reason: df.select(F.lit("commandResponse").alias("processor"), F.lit(reason).alias("reason"), F.col("r_seq").alias("seq"), F.col("r_ts").alias("ts"), F.col("r_result_body").alias("raw"))
     repeated = joined.filter(F.col("r_request_id").isNotNull()).join(taken, ["r_request_id", "r_seq", "r_ts"], "left_anti")
@@ -413,6 +417,49 @@ def process_answers(
         cached.unpersist()
 
 
+def _saved(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows below an output folder; none before its first batch."""
+    if not Folder(spark, path).names():
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def late_messages(
+    spark: SparkSession,
+    paths: RouterPaths,
+    commands: DataFrame,
+    results: DataFrame,
+    watermark: datetime,
+    base_uri: str = jobs.BASE_URI,
+    result_timeout=RESULT_TIMEOUT,
+    lateness=LATENESS,
+) -> DataFrame:
+    """Rows of the inputs (as batch frames) that the answering query dropped, in the quarantine's columns.
+
+    Those are accepted commands and results that ``watermark`` (``Router.watermark``)
+    has left behind by all that the join may wait for, and that are in none of
+    its outputs: ``late_command`` (its request went out, nothing answered it) and
+    ``late_result``. A command whose request number was answered is none of them;
+    a row without a time stamp is never late, a result without ``seq`` can't be
+    told from others and is left out. Inputs bounded by time give the rows of that time.
+    """
+    reach = st.ttl_micros(result_timeout) + st.ttl_micros(lateness)
+    gone = F.col("ts") < st.ntz_lit(watermark - timedelta(microseconds=reach))
+    joined = _saved(spark, paths.joined, "request_id bigint, r_seq bigint, r_ts timestamp_ntz")
+    refused = _saved(spark, f"{paths.quarantine_out}/answers", "reason string, seq bigint, ts timestamp_ntz").filter(F.col("reason").isin("repeated_result", "unclaimed_result"))
+    accepted = cm.shape_requests(cm.prepare_commands(commands.filter(gone)), base_uri).filter(F.col("reason").isNull() & F.col("request_id").isNotNull())
+    unanswered = accepted.join(joined.select("request_id"), "request_id", "left_anti")
+    seen = joined.select(F.col("r_seq").alias("seq"), F.col("r_ts").alias("ts")).unionByName(refused.select("seq", "ts"))
+    unseen = results.filter(gone & F.col("seq").isNotNull()).join(seen, ["seq", "ts"], "left_anti").withColumn("raw", F.col("result_body"))
+    late = lambda df, reason: _quarantined(df.withColumn("reason", F.lit(reason)), "commandResponse")
+    return late(unanswered, "late_command").unionByName(late(unseen, "late_result"))
+
+
+def quarantine_late(spark: SparkSession, paths: RouterPaths, commands: DataFrame, results: DataFrame, watermark: datetime, **options) -> None:
+    """Write ``late_messages`` of these inputs to the quarantine, in place of what an earlier call wrote there."""
+    late_messages(spark, paths, commands, results, watermark, **options).write.mode("overwrite").parquet(f"{paths.quarantine_out}/late")
+
+
 # ---------------------------------------------------------------------------
 # the queries
 
@@ -441,6 +488,11 @@ class Router:
         """Commands and results that came too late for the answering query's join, of the batches that Spark still reports."""
         return sum(s.numRowsDroppedByWatermark for q in self.queries[1:] for p in q.recentProgress for s in p.stateOperators)
 
+    def watermark(self) -> datetime | None:
+        """How far the answering query has come, as of its last batch that Spark reports; None before one."""
+        marks = [p.eventTime["watermark"] for q in self.queries[1:] for p in q.recentProgress if "watermark" in p.eventTime]
+        return max((datetime.fromisoformat(m.replace("Z", "+00:00")).replace(tzinfo=None) for m in marks), default=None)
+
     def awaitTermination(self, seconds: float | None = None) -> bool:  # noqa: N802
         """Wait for all queries; whether they ended. One that failed raises, unless it stopped at a control message."""
         ended = True

@@ -117,7 +117,22 @@ def test_requests_wait_for_results(spark):
     arrive(spark, paths, [T0 + timedelta(minutes=90)], **options)
     assert answers(spark, paths) == [(1, 200), (2, 500), (3, 204), (4, 500)]
     assert quarantine(spark, paths)[0] == ("commandResponse", "repeated_result", 1)
-    assert arrive(spark, paths, [command(5, 1), command(6, 89)], **options).late_rows() == 1
+    router = arrive(spark, paths, [command(5, 1), command(6, 89), result(7, 3), result(4, 4)], **options)
+    assert router.late_rows() == 3 and router.watermark() == T0 + timedelta(minutes=85)
+    inputs = [spark.read.parquet(f"{paths.root}/in/{name}") for name in ("commands", "results")]
+    for _ in range(2):
+        sm.quarantine_late(spark, paths, *inputs, router.watermark(), **options)
+        late = sorted((r.reason, r.seq, r.ts) for r in sm.read_output(spark, paths.quarantine_out).collect() if r.reason.startswith("late"))
+        # the third result of request 1 came after the watermark had reached 25 minutes
+        at = [("late_command", 5, 1), ("late_result", 1, 8), ("late_result", 4, 4), ("late_result", 7, 3)]
+        assert late == [(reason, seq, T0 + timedelta(minutes=m)) for reason, seq, m in at]
+
+
+def test_no_late_messages_before_the_first_batch(spark):
+    inputs = spark.createDataFrame([command(1, 0)], COLUMNS), spark.createDataFrame([result(1, 1)], COLUMNS)
+    assert sm.late_messages(spark, sm.new_paths(spark, "none"), *inputs, T0 + timedelta(minutes=1)).count() == 0
+    found = sm.late_messages(spark, sm.new_paths(spark, "none"), *inputs, T0 + timedelta(days=1)).collect()
+    assert sorted((r.reason, r.seq) for r in found) == [("late_command", 1), ("late_result", 1)]
 
 
 def test_stop_and_restart_route_what_one_run_routes(spark):
