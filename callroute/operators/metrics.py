@@ -9,16 +9,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callroute.operators.events import resource_type_label
 from callroute.session import materialize
-from callroute.sources.dims import message_types
+from callroute.sources.dims import MESSAGE_TYPES, message_types
 
 # Upper bounds (ms) of the duration histogram buckets; the last is the 10 s
 # maximum expected duration.
 DURATION_BUCKETS_MS = [5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000]
+TYPES = [row[0] for row in MESSAGE_TYPES]
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
@@ -36,6 +37,12 @@ def event_counts(events: DataFrame) -> DataFrame:
     )
 
 
+def counts_by_type(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """A1's rows from the counts that a batch's survey brought along; types without a count have none."""
+    known = F.create_map(*(F.lit(x) for t in TYPES for x in (t, counts.get(t, 0))))
+    return message_types(spark).select("type", resource_type_label(F.col("resource_type")).alias("resource_type"), known[F.col("type")].cast("long").alias("n"))
+
+
 def request_counts(requests: DataFrame) -> DataFrame:
     """A2: requests and transport errors per (method, path label)."""
     return requests.groupBy(F.col("method"), F.col("metric_path").alias("path")).agg(

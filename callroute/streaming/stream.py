@@ -46,7 +46,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from callroute.operators import commands as cm
@@ -135,9 +135,22 @@ def next_clock(previous: datetime | None, median: datetime | None, max_step=MAX_
     return max(previous, min(median, previous + timedelta(microseconds=st.ttl_micros(max_step))))
 
 
-def batch_clock(batch: DataFrame, previous: int | None, max_step=MAX_STEP) -> int | None:
-    """The clock after a batch, in microseconds."""
-    middle = batch.agg(F.percentile_approx(st.micros(F.col("ts")), 0.5).alias("m")).first().m
+def survey(events: DataFrame, commands: DataFrame) -> Row:
+    """What a batch holds, in one pass and one row: ``middle``, the median time stamp in microseconds; ``control``, the first
+    control message (``ts``, ``seq``); ``counts``, the events of each message type (T3).
+
+    ``events`` as of ``prepare_events``: any type that is not known counts as UNKNOWN, so the row's width is fixed.
+    """
+    rows = events.select("type", "ts", "seq").unionByName(commands.select(F.lit(None).cast("string").alias("type"), "ts", "seq"))
+    return rows.agg(
+        F.percentile_approx(st.micros(F.col("ts")), 0.5).alias("middle"),
+        F.min(F.when(F.col("type") == ev.CONTROL_TYPE, F.struct("ts", "seq"))).alias("control"),
+        F.struct(*(F.count_if(F.col("type") == t).alias(t) for t in mt.TYPES)).alias("counts"),
+    ).first()
+
+
+def batch_clock(middle: int | None, previous: int | None, max_step=MAX_STEP) -> int | None:
+    """The clock after a batch of that median time stamp, in microseconds."""
     at = lambda x: None if x is None else _EPOCH + timedelta(microseconds=x)
     clock = next_clock(at(previous), at(middle), max_step)
     return None if clock is None else _micros(clock)
@@ -236,20 +249,22 @@ def route_batch(
     if since:
         batch = batch.filter(here > point(since))
     batch = batch.persist()
-    control = ev.split_control(ev.prepare_events(batch.filter(F.col("src") == 1).select("seq", "ts", "raw")))[1].select("seq", "ts", "raw").persist()
-    first = control.agg(F.min(F.struct("ts", "seq")).alias("at")).first().at
+    kept = prepared = ev.prepare_events(batch.filter(F.col("src") == 1).select("seq", "ts", "raw")).persist()
+    sent = batch.filter(F.col("src") == 0).select("seq", "ts", "request_id", "raw")
+    seen = survey(prepared, sent)
+    first = seen.control
     cut = (_micros(first.ts), first.seq) if stop_at_control and first is not None else None
     if cut:
-        batch = batch.filter(here <= point(cut))
-        control = control.filter(F.struct("ts", "seq") <= F.struct(st.ntz_lit(first.ts).alias("ts"), F.lit(first.seq).alias("seq")))
-    prepared = ev.prepare_events(batch.filter(F.col("src") == 1).select("seq", "ts", "raw")).persist()
-    cmds = cm.shape_requests(cm.prepare_commands(batch.filter(F.col("src") == 0).select("seq", "ts", "request_id", "raw")), base_uri).persist()
-    clock = batch_clock(batch, last.clock, max_step)
+        until = lambda df, src: df.filter(F.struct("ts", F.lit(src).alias("src"), "seq") <= point(cut))
+        prepared, sent = until(prepared, 1), until(sent, 0)
+        seen = survey(prepared, sent)
+    cmds = cm.shape_requests(cm.prepare_commands(sent), base_uri).persist()
+    clock = batch_clock(seen.middle, last.clock, max_step)
     horizon = None if clock is None else clock - st.ttl_micros(ttl) - st.ttl_micros(lateness)
 
     # Counts before any drop
-    _save(mt.event_counts(prepared).withColumn("batch_id", F.lit(batch_id)), paths.counts_out, batch_id, part)
-    data, _control = ev.split_control(prepared)
+    _save(mt.counts_by_type(spark, seen.counts.asDict()).withColumn("batch_id", F.lit(batch_id)), paths.counts_out, batch_id, part)
+    data, control = ev.split_control(prepared)
     ops = st.event_ops(data).unionByName(st.registration_ops(cm.context_registrations(cmds))).persist()
     expired = None if last.clock is None else last.clock - st.ttl_micros(ttl) - st.ttl_micros(lateness)
     ids = ops.select(F.col("rid").alias("resource_id"))
@@ -283,7 +298,7 @@ def route_batch(
     quarantine = _quarantined(bad_events, "event").unionByName(_quarantined(cmds.filter(F.col("reason").isNotNull()), "commandResponse"))
     _save(quarantine, paths.quarantine_out, batch_id, part)
     if first is not None:
-        _save(control, paths.control_out, batch_id, part)
+        _save(control.select("seq", "ts", "raw"), paths.control_out, batch_id, part)
 
     # the latest write per id becomes a run of the state; the version that names it ends the batch
     writes = resolved.filter(F.col("written")).select(
@@ -300,7 +315,7 @@ def route_batch(
     number = (batch_id << 16) + part
     written = sum(run[2] for runs in version.runs.values() for run in runs if run[1] == number)
     _measure(spark, paths, batch_id, part, **found.asDict(), written=written, rows_read=last.rows(state.touched(ids)), duration_ms=took)
-    for cached in (resolved, ops, cmds, prepared, control, batch):
+    for cached in (resolved, ops, cmds, kept, batch):
         cached.unpersist()
     return cut is None
 

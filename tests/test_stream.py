@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from callroute.operators import events as ev
 from callroute.operators import metrics as mt
 from callroute.sources import io
 from callroute.streaming import stream as sm
@@ -184,6 +185,19 @@ def test_clock_is_monotone_and_bounded():
     assert sm.next_clock(t(5), t(1)) == t(5) and sm.next_clock(t(5), t(600), "1 hour") == t(65)
 
 
+def test_survey_is_what_separate_aggregates_give(spark):
+    rows = [event(1, 0, "c1", "StasisStart"), event(2, 9, "c1", "ApplicationReplaced"), event(3, 4, "c1", "ApplicationReplaced"), event(4, 5, "c1", "NoSuchType"), (5, T0, None, "no json", 1, None, None, None), command(6, 7)]
+    batch = spark.createDataFrame(rows, COLUMNS)
+    events = ev.prepare_events(batch.where("src = 1").select("seq", "ts", "raw"))
+    seen = sm.survey(events, batch.where("src = 0"))
+    assert (seen.control.ts, seen.control.seq) == (T0 + timedelta(minutes=4), 3)
+    assert seen.middle == sm._micros(T0 + timedelta(minutes=4))
+    plain = lambda df: sorted(map(tuple, df.select("type", "resource_type", "n").collect()))
+    assert plain(mt.counts_by_type(spark, seen.counts.asDict())) == plain(mt.event_counts(events))
+    none = sm.survey(events.where("false"), batch.where("false"))
+    assert none.middle is None and none.control is None and set(none.counts.asDict().values()) == {0}
+
+
 def test_batches_are_measured(spark):
     paths = run(spark, [event(1, 0, "c1", "StasisStart", "ctx-1"), event(2, 1, "c1"), event(3, 2, "c9"), event(4, 3, "c8", "StasisStart")], [event(5, 4, "c1")])
     first, second = sm.measurements(spark, paths).orderBy("batch").collect()
