@@ -1,7 +1,10 @@
 """Embedding near-dedup: cosine links within a label by PCA-ordered tiled comparison.
 
-Vectors are turned into the principal axes of all of them, sorted by the
-first, and cut into tiles; tiles too far apart on that axis can hold no link.
+Vectors are turned into the principal axes of all of them, put in order of
+their cells on the leading axes, and cut into tiles. A tile has a box: its range
+on each of these axes. Unit vectors of two tiles are at least as far apart as
+the boxes, so pairs of tiles that can hold no link are left before any vector
+of theirs is moved.
 Within a pair of tiles products are accumulated from the leading axes; what
 the rest can add is bounded by suffix norms, and a pair of vectors is left as
 soon as it cannot reach the threshold. What remains is checked by its cosine
@@ -23,6 +26,8 @@ from . import common
 from .topk import usable
 
 TILE = 1_024
+BOX = 8  # axes that tiles have a range on
+CELL_AXES = 3  # axes whose cells tiles are cut along
 AXES = (8, 24)  # after how many axes the bound is tested
 _PAIRS = 1 << 16
 
@@ -66,22 +71,26 @@ def principal_axes(vectors: DataFrame, width: int) -> np.ndarray:
     return np.linalg.eigh((total + total.T) / 2)[1][:, ::-1].copy()
 
 
-def _leading(axes, width: int):
+def _leading(axes, width: int, side: float):
+    """Adds ``y``, the place on the first axes, and ``cell``, the numbers of its cells of that side, in an order that keeps near ones near."""
+
     def run(batches):
         for batch in batches:
-            y = _unit(_padded(batch, "v", width)) @ axes.value[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "dims", "gid", "n", "v")] + [pa.array(y)], ["label", "dims", "gid", "n", "v", "y"])
+            y = _unit(_padded(batch, "v", width)) @ axes.value[:, :BOX]
+            cell = np.floor(y[:, :CELL_AXES] / side).astype(np.int32)
+            places = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.from_numpy_dtype(x.dtype))) for x in (y, cell)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "dims", "gid", "n", "v")] + places, ["label", "dims", "gid", "n", "v", "y", "cell"])
 
     return run
 
 
-def _tiles(width: int):
-    """Rows sorted by label, dims and y to tiles of one label: the range of y, ids, multiplicities and vectors."""
+def _tiles(width: int, most: int):
+    """Rows sorted by label, dims and cell to tiles of one label: the ranges of y, ids, multiplicities and vectors."""
 
     def tile(rows: pa.RecordBatch):
-        y = rows.column("y").to_numpy()
+        y = _flat(rows, "y")[0].reshape(rows.num_rows, -1)
         gid = rows.column("gid").to_numpy()
-        columns = [rows.column("label").slice(0, 1), rows.column("dims").slice(0, 1), pa.array([int(gid[0])]), pa.array([y.min()]), pa.array([y.max()])]
+        columns = [rows.column("label").slice(0, 1), rows.column("dims").slice(0, 1), pa.array([int(gid[0])]), pa.array([y.min(axis=0)]), pa.array([y.max(axis=0)])]
         blobs = [gid, rows.column("n").to_numpy(), _padded(rows, "v", width)]
         return pa.RecordBatch.from_arrays(columns + [pa.array([x.tobytes()]) for x in blobs], ["label", "dims", "tile", "low", "high", "gids", "ns", "vs"])
 
@@ -92,7 +101,7 @@ def _tiles(width: int):
             label, dims = rows.column("label").to_numpy(zero_copy_only=False), rows.column("dims").to_numpy(zero_copy_only=False)
             edge = np.flatnonzero((label[1:] != label[:-1]) | (dims[1:] != dims[:-1])) + 1
             starts = np.concatenate([[0], edge])
-            cuts = [x for a, b in zip(starts, [*edge, len(label)], strict=True) for x in range(a, b, TILE)]
+            cuts = [x for a, b in zip(starts, [*edge, len(label)], strict=True) for x in range(a, b, most)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 yield tile(rows.slice(a, b - a))
             held = rows.slice(cuts[-1])
@@ -163,6 +172,27 @@ def _compare(axes, width: int, threshold: float):
     return run
 
 
+def near_tiles(tiles: DataFrame, reach: float) -> DataFrame:
+    """Pairs ``(a, b)``, a <= b, of tiles of one label and width whose boxes ``low`` to ``high`` are at most ``reach`` apart.
+
+    Tiles meet in steps of the first two axes; what meets is judged by the distance of the boxes on all their axes.
+    """
+    axes = (0, 1)
+    step = max(reach, 0.125)  # a tile's range is 2 at most, so it has some 300 places at most
+
+    def side(name: str, margin: float) -> DataFrame:
+        out = tiles.select("label", "dims", F.col("tile").alias(name), F.col("low").alias(f"{name}low"), F.col("high").alias(f"{name}high"))
+        for i in axes:  # with one axis only the second place is 0
+            at = lambda c, m, i=i: F.floor((F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) + m) / step)
+            out = out.withColumn(f"at{i}", F.explode(F.sequence(at(F.col(f"{name}low"), -margin), at(F.col(f"{name}high"), margin))))
+        return out
+
+    met = side("a", 0.0).join(side("b", reach), ["label", "dims", *(f"at{i}" for i in axes)]).where("a <= b")
+    gap = lambda i: F.greatest(F.lit(0.0), F.col("alow")[i] - F.col("bhigh")[i], F.col("blow")[i] - F.col("ahigh")[i])
+    apart = F.aggregate(F.sequence(F.lit(0), F.size("alow") - 1), F.lit(0.0), lambda total, i: total + gap(i) * gap(i))
+    return met.where(apart <= reach * reach + 1e-9).select("a", "b").distinct()
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector: str = "embedding", vec_id: str = "vec_id", label: str = "label") -> DataFrame:
     """One row per row: ``vec_id``, ``n_links`` (other rows linked directly), ``component_id``, ``kept``.
 
@@ -188,17 +218,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector: str = "
     nodes = common.cut(used.groupBy("gid").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least")).withColumn("dims", F.size("v")), "vectors")
     width = nodes.agg(F.max("dims")).first()[0] or 1
     axes = spark.sparkContext.broadcast(principal_axes(nodes, width))
-    led = nodes.mapInArrow(_leading(axes, width), f"label {of}, dims int, gid long, n long, v array<double>, y double")
-    dealt = common.cut(led, "led").repartitionByRange("label", "dims", "y").sortWithinPartitions("label", "dims", "y", "gid")
-    tiles = common.cut(dealt.mapInArrow(_tiles(width), f"label {of}, dims int, tile long, low double, high double, gids binary, ns binary, vs binary"), "tiles")
-    # unit vectors of that cosine are at most this far apart, on any axis
+    # unit vectors of that cosine are at most this far apart
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    step = max(reach, 1e-3)
-    places = tiles.select("label", "dims", "tile", "low", "high")
-    a = places.select("label", "dims", F.col("tile").alias("a"), F.col("low").alias("alow"), F.col("high").alias("ahigh"), F.explode(F.sequence(F.floor(F.col("low") / step), F.floor(F.col("high") / step))).alias("at"))
-    b = places.select("label", "dims", F.col("tile").alias("b"), F.col("low").alias("blow"), F.col("high").alias("bhigh"), F.explode(F.sequence(F.floor((F.col("low") - reach) / step), F.floor((F.col("high") + reach) / step))).alias("at"))
-    near = a.join(b, ["label", "dims", "at"]).where((F.col("alow") - F.col("bhigh") <= reach) & (F.col("blow") - F.col("ahigh") <= reach))
-    pairs = common.cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    led = nodes.mapInArrow(_leading(axes, width, max(reach, 1e-3)), f"label {of}, dims int, gid long, n long, v array<double>, y array<double>, cell array<int>")
+    dealt = common.cut(led, "led").repartitionByRange("label", "dims", "cell", F.col("y")[0], "gid").sortWithinPartitions("label", "dims", "cell", F.col("y")[0], "gid")
+    tiles = common.cut(dealt.mapInArrow(_tiles(width, TILE), f"label {of}, dims int, tile long, low array<double>, high array<double>, gids binary, ns binary, vs binary"), "tiles")
+    pairs = common.cut(near_tiles(tiles, reach), "pairs")
     body = lambda s: tiles.select(F.col("tile").alias(s), *(F.col(c).alias(s + c) for c in ("gids", "ns", "vs")))
     both = pairs.join(body("a"), "a").join(body("b"), "b").select((F.col("a") == F.col("b")).alias("same"), *(s + c for s in "ab" for c in ("gids", "ns", "vs")))
     found = common.cut(both.mapInArrow(_compare(axes, width, threshold), "a long, b long, n long"), "found")

@@ -30,7 +30,9 @@ def whole(v):
     return v is not None and all(x is not None and np.isfinite(x) for x in v)
 
 
-def test_embedding_links_as_by_brute_force(vectors):
+@pytest.mark.parametrize("tile", [8, 1_024])
+def test_embedding_links_as_by_brute_force(vectors, monkeypatch, tile):
+    monkeypatch.setattr(embeddings, "TILE", tile)
     rows, df = vectors
     n = len(rows)
     links, parent = [0] * n, list(range(n))
@@ -60,6 +62,19 @@ def test_embedding_links_as_by_brute_force(vectors):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_boxes_that_are_near_meet(spark):
+    """Of random boxes on one to three axes all pairs within the reach are met, once each, and no other."""
+    rng = np.random.default_rng(5)
+    for axes, reach in ((1, 0.3), (2, 0.05), (3, 0.374)):
+        low = rng.uniform(-1, 1, size=(60, axes))
+        high = low + rng.uniform(0, 0.3, size=(60, axes))
+        gap = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
+        near = np.triu((gap**2).sum(axis=2) <= reach**2)
+        df = spark.createDataFrame([("l", axes, i, low[i].tolist(), high[i].tolist()) for i in range(60)], "label string, dims int, tile long, low array<double>, high array<double>")
+        found = sorted(map(tuple, embeddings.near_tiles(df, reach).collect()))
+        assert found == sorted(zip(*(x.tolist() for x in np.nonzero(near)), strict=True)) and len(found) < 60 * 61 // 2
+
+
 @pytest.mark.parametrize("tile", [7, 1_024])
 def test_tiles_find_every_pair(tile):
     rng = np.random.default_rng(2)
