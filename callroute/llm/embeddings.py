@@ -220,7 +220,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vector: str = "
     axes = spark.sparkContext.broadcast(principal_axes(nodes, width))
     # unit vectors of that cosine are at most this far apart
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    led = nodes.mapInArrow(_leading(axes, width, max(reach, 1e-3)), f"label {of}, dims int, gid long, n long, v array<double>, y array<double>, cell array<int>")
+    led = nodes.mapInArrow(_leading(axes, width, max(reach, 1e-3) / 4), f"label {of}, dims int, gid long, n long, v array<double>, y array<double>, cell array<int>")
     dealt = common.cut(led, "led").repartitionByRange("label", "dims", "cell", F.col("y")[0], "gid").sortWithinPartitions("label", "dims", "cell", F.col("y")[0], "gid")
     tiles = common.cut(dealt.mapInArrow(_tiles(width, TILE), f"label {of}, dims int, tile long, low array<double>, high array<double>, gids binary, ns binary, vs binary"), "tiles")
     pairs = common.cut(near_tiles(tiles, reach), "pairs")
