@@ -1,6 +1,7 @@
 """SimHash near-dedup: fingerprints of word shingles, linked by generalised pigeonhole.
 
-Bits that vary together are put into one partition each; for every
+Bits that vary together are put into one partition each; how many partitions
+there are is chosen by what all fingerprints together would cost. For every
 fingerprint a dynamic program deals a threshold to each partition by the
 candidates it is estimated to bring, so that two fingerprints within the
 distance agree, in one partition at least, up to that threshold. The exact
@@ -25,6 +26,7 @@ BITS = 64
 SEED = 42
 _U = np.uint64
 _COARSE = 12  # leading bits of a partition's value that its histogram tells apart
+PARTS = (2, 3, 4, 5)  # numbers of partitions to choose from: few make many probes, many bring many candidates
 _PROBE_COST = 4.0  # of dealing one probe, in candidates verified
 _PAIRS = 1 << 20  # candidates verified in one numpy step
 
@@ -126,8 +128,8 @@ def balls(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(min(radius, width) + 1) for c in combinations(range(width), r)], np.uint64)
 
 
-def deal_thresholds(value: list[np.ndarray], widths: list[int], counts: list[np.ndarray], distance: int) -> np.ndarray:
-    """Per fingerprint and partition a threshold from -1 (not probed), together distance - parts + 1, of least cost.
+def deal_thresholds(value: list[np.ndarray], widths: list[int], counts: list[np.ndarray], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per fingerprint and partition a threshold from -1 (not probed), together distance - parts + 1, of least cost; and that cost.
 
     Cost: the probes made, and the candidates estimated for them from the
     histogram of each partition's leading bits.
@@ -155,7 +157,7 @@ def deal_thresholds(value: list[np.ndarray], widths: list[int], counts: list[np.
         share = choice[k][np.arange(n), left]
         out[:, k] = share - 1
         left = left - share
-    return out
+    return out, best[:, budget]
 
 
 def _choose(n: int, k: int) -> int:
@@ -165,6 +167,44 @@ def _choose(n: int, k: int) -> int:
     return out
 
 
+def _costs(options: list[list[list[int]]], counts: list[list[np.ndarray]], distance: int):
+    """Per task and option what its fingerprints cost."""
+
+    def run(batches):
+        total = np.zeros(len(options))
+        for batch in batches:
+            fp = _column(batch, "fp").view(np.uint64)
+            for k, groups in enumerate(options):
+                total[k] += deal_thresholds(part_values(fp, groups), [len(g) for g in groups], counts[k], distance)[1].sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(options))), pa.array(total)], ["i", "x"])
+
+    return run
+
+
+def choose_partitions(distinct: DataFrame, distance: int, parts: tuple[int, ...] = PARTS) -> tuple[list[list[int]], list[np.ndarray]]:
+    """The partitions of the bits that all fingerprints together cost least with, and the histogram of each.
+
+    Three passes over the distinct fingerprints: how bits vary together, the
+    histograms of every option, the least cost of every option. The driver gets
+    64 squared numbers, 4,096 for each partition of an option, and one for each option.
+    """
+    rows = distinct.mapInArrow(_bit_counts, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    both = np.zeros((BITS, BITS))
+    for r in rows:
+        both[r.i, r.j] = r.n
+    total = distinct.count()
+    options = [group_bits(both, total, n) for n in parts]
+    flat = [g for groups in options for g in groups]
+    found = [np.zeros(1 << min(_COARSE, len(g))) for g in flat]
+    for r in distinct.mapInArrow(_histogram(flat), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+        found[r.i][r.j] = r.n
+    left = iter(found)
+    counts = [[next(left) for _ in groups] for groups in options]
+    cost = {r.i: r.x for r in distinct.mapInArrow(_costs(options, counts, distance), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}
+    best = min(range(len(options)), key=lambda k: cost.get(k, 0.0))
+    return options[best], counts[best]
+
+
 def _entries(groups: list[list[int]], counts: list[np.ndarray], distance: int):
     """Index and probe entries ``(key, fp, probe)`` of each fingerprint; key: partition and value."""
     widths = [len(g) for g in groups]
@@ -178,7 +218,7 @@ def _entries(groups: list[list[int]], counts: list[np.ndarray], distance: int):
         for batch in batches:
             fp = _column(batch, "fp").view(np.uint64)
             value = part_values(fp, groups)
-            threshold = deal_thresholds(value, widths, counts, distance)
+            threshold, _cost = deal_thresholds(value, widths, counts, distance)
             for k, (v, w) in enumerate(zip(value, widths, strict=True)):
                 head = _U(k) << _U(58)
                 yield from out(head | v, fp, False)
@@ -243,22 +283,14 @@ def _verify(distance: int):
     return run
 
 
-def link(distinct: DataFrame, distance: int, parts: int = 3, cell: int = 4_000) -> DataFrame:
+def link(distinct: DataFrame, distance: int, parts: tuple[int, ...] = PARTS, cell: int = 4_000) -> DataFrame:
     """Links ``(a, b)`` that connect all of the distinct ``fp`` longs within ``distance`` bits of each other.
 
     Not every pair is returned: in each step of the comparison, links that
     already follow from others are left out. A key with more than ``cell``
     index entries becomes a grid of cells, each compared in its own group.
     """
-    rows = distinct.mapInArrow(_bit_counts, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    both = np.zeros((BITS, BITS))
-    for r in rows:  # BITS squared
-        both[r.i, r.j] = r.n
-    total = distinct.count()
-    groups = group_bits(both, total, parts)
-    counts = [np.zeros(1 << min(_COARSE, len(g))) for g in groups]
-    for r in distinct.mapInArrow(_histogram(groups), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
-        counts[r.i][r.j] = r.n  # parts times 2 ** _COARSE
+    groups, counts = choose_partitions(distinct, distance, parts)
     entries = distinct.mapInArrow(_entries(groups, counts, distance), "key long, fp long, probe boolean")
     index = distinct.mapInArrow(_entries_index(groups), "key long")
     hot = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell)

@@ -129,13 +129,13 @@ def test_simhash_classes_as_by_brute_force(documents, rows):
     assert collections.Counter((r.doc_id, r._fingerprint % (1 << 64), r._component) for r in found) == expected
 
 
-@pytest.mark.parametrize("cell", [4_000, 5])
-def test_links_connect_what_is_near(spark, cell):
+@pytest.mark.parametrize("cell,parts", [(4_000, simhash.PARTS), (5, simhash.PARTS), (4_000, (2,)), (5, (3,)), (4_000, (4,))])
+def test_links_connect_what_is_near(spark, cell, parts):
     rng = random.Random(3)
     centre = rng.getrandbits(64)
     prints = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 4))) for _ in range(60)} | {rng.getrandbits(64) for _ in range(100)}
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
-    links = simhash.link(spark.createDataFrame([(p,) for p in signed], "fp long"), 4, cell=cell)
+    links = simhash.link(spark.createDataFrame([(p,) for p in signed], "fp long"), 4, parts, cell)
     classes = {r.node: r.root for r in common.components(links).collect()}
     parent = {p: p for p in signed}
 
@@ -156,8 +156,26 @@ def test_thresholds_always_cover_the_distance():
     rng = np.random.default_rng(0)
     values = [rng.integers(0, 1 << 21, 50, dtype=np.uint64) for _ in range(3)]
     counts = [rng.integers(0, 50, 1 << 12).astype(float) for _ in range(3)]
-    dealt = simhash.deal_thresholds(values, [22, 21, 21], counts, 4)
-    assert (dealt.sum(axis=1) == 4 - 3 + 1).all() and (dealt >= -1).all()
+    dealt, cost = simhash.deal_thresholds(values, [22, 21, 21], counts, 4)
+    assert (dealt.sum(axis=1) == 4 - 3 + 1).all() and (dealt >= -1).all() and (cost > 0).all()
+
+
+def test_more_fingerprints_take_fewer_partitions(spark):
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 1 << 64, 2_000, dtype=np.uint64)
+    frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
+    groups, counts = simhash.choose_partitions(frame, 4)
+    assert len(groups) == 5 and sorted(b for g in groups for b in g) == list(range(64)) and all(c.sum() == 2_000 for c in counts)
+
+    def cheapest(times):
+        cost = {}
+        for n in simhash.PARTS:
+            some = simhash.group_bits(np.eye(64) * 1_000, 2_000, n)
+            histograms = [np.full(1 << min(12, len(g)), 2_000 * times / (1 << min(12, len(g)))) for g in some]
+            cost[n] = simhash.deal_thresholds(simhash.part_values(prints, some), [len(g) for g in some], histograms, 4)[1].sum()
+        return min(cost, key=cost.get)
+
+    assert [cheapest(x) for x in (1, 150, 5_000, 10**6)] == [5, 4, 3, 2]
 
 
 # --- LM scoring
