@@ -139,3 +139,22 @@ def test_lookup_contexts_asof(spark):
     )
     got = {r.seq: r.call_context for r in st.lookup_contexts(lookups, writes).collect()}
     assert got == {10: "c1", 11: "c1", 12: "c2", 13: None}
+
+
+def test_path_nodes_keep_their_partitions(spark, monkeypatch):
+    """A long run of create-only buckets: the rounds of doubling must not double the partitions too."""
+    start = datetime(2024, 1, 1)
+    rows = [(f"r{i % 3}", start + timedelta(hours=5 * (i // 3)), 1, i, "create", None) for i in range(120)]
+    ops = spark.createDataFrame(rows, "rid string, ts timestamp_ntz, src int, seq long, k string, ctx string")
+    seen = []
+
+    def counted(df):
+        out = materialize(df)
+        seen.append(out.rdd.getNumPartitions())
+        return out
+
+    materialize = st.materialize
+    monkeypatch.setattr(st, "materialize", counted)
+    out = st.resolve_contexts(ops).collect()
+    assert len(out) == 120 and all(r.call_context for r in out)
+    assert max(seen) <= max(8, spark.sparkContext.defaultParallelism), seen
