@@ -209,3 +209,14 @@ def test_batches_are_measured(spark):
         sm.process_batch(bad, 2, paths)
     assert [r.batch for r in sm.measurements(spark, paths).where("error is not null").collect()] == [2]
     assert sm.measurements(spark, sm.new_paths(spark, "none")).count() == 0
+
+
+def test_replay_of_few_rows_takes_few_partitions(spark):
+    cores, configured = spark.sparkContext.defaultParallelism, spark.conf.get(sm.PARTITIONS)
+    try:
+        spark.conf.set(sm.PARTITIONS, "200")
+        assert sm.replay_partitions(spark, 1_000) == cores
+        assert sm.replay_partitions(spark, 50 * sm.PARTITION_ROWS) == 50
+        assert sm.replay_partitions(spark, 10_000 * sm.PARTITION_ROWS) == 200
+    finally:
+        spark.conf.set(sm.PARTITIONS, configured)
