@@ -107,3 +107,17 @@ def test_a_file_out_of_order_is_refused(spark):
     with pytest.raises(ValueError, match="no longer numbered"):
         reader.partitions(offset, reader.latestOffset())
     assert Files(f"{folder}/none").listed() == []
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A table of one file with one row group is turned into messages by many tasks; the rows stay the same."""
+    from callroute.sources import fixtures as fx
+
+    n = 3 * fx.TASK_ROWS
+    spark.range(n).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id % 9 as user_id", "'view' as event_type", "1.0D as value"
+    ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    base = fx.ari_event_base(spark, str(tmp_path))
+    sizes = base.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == n and max(sizes) < 2 * fx.TASK_ROWS
+    assert base.select("seq").distinct().count() == n
