@@ -40,10 +40,27 @@ def text_at(v: Column, pointer: str) -> Column:
     unrelated calls under one id.
     """
     path = pointer_to_path(pointer)
-    s = F.try_variant_get(v, path, "string")
-    container = (s.startswith("{") | s.startswith("[")) & (
-        F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike("^(OBJECT|ARRAY)")
-    )
+    return _usable(F.try_variant_get(v, path, "string"), lambda: F.try_variant_get(v, path, "variant"))
+
+
+def text_at_one_of(v: Column, pointer: Column, pointers: list[str]) -> Column:
+    """``text_at`` at the one of ``pointers`` that the row's ``pointer`` is; NULL if it is none of them.
+
+    The value is read once: a branch per pointer with the whole of ``text_at`` reads it at every reference.
+    """
+    def read(kind: str) -> Column:
+        expr = None
+        for p in pointers:
+            branch = F.try_variant_get(v, pointer_to_path(p), kind)
+            expr = F.when(pointer == p, branch) if expr is None else expr.when(pointer == p, branch)
+        return expr
+
+    return _usable(read("string"), lambda: read("variant"))
+
+
+def _usable(s: Column, value) -> Column:
+    """The text ``s`` of a value, NULL where it is blank or an object's or array's."""
+    container = (s.startswith("{") | s.startswith("[")) & F.schema_of_variant(value()).rlike("^(OBJECT|ARRAY)")
     return F.when(s.isNull() | container | s.rlike(_BLANK), F.lit(None).cast("string")).otherwise(s)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callroute.functions.jsonx import computed_once, text_at, with_parsed
+from callroute.functions.jsonx import computed_once, text_at_one_of, with_parsed
 from callroute.sources.dims import COMMAND_TYPES, ROUTE_SHAPES, WILDCARD, routes
 
 # The HTTP methods a request may use (exact, case-sensitive).
@@ -86,18 +86,22 @@ def _shape_ranks():
     return by_n, max(len(v) for v in by_n.values())
 
 
-def route_candidates(path: Column) -> list[Column]:
-    """Normalised lookup keys of ``path``, one per rank (most literal first).
+def path_segments(path: Column) -> tuple[Column, Column]:
+    """The segments of ``path``, and whether a template can fit it."""
+    segs = F.split(path, "/", -1)
+    rest = F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(1)))
+    return segs, path.startswith("/") & ~F.exists(rest, lambda s: (s == ""))
+
+
+def route_candidates(segs: Column, valid: Column) -> list[Column]:
+    """Normalised lookup keys of a path's segments (``path_segments``), one per rank (most literal first).
 
     A placeholder matches one non-empty segment without '/'; literal
     segments must be equal. So a path can only match a template of its own
     segment count, and its key for a shape is the path with the shape's
     placeholder positions replaced by ``{}``.
     """
-    segs = F.split(path, "/", -1)
     n = F.size(segs)
-    rest = F.slice(segs, 2, F.greatest(n - 1, F.lit(1)))
-    valid = path.startswith("/") & ~F.exists(rest, lambda s: (s == ""))
     by_n, ranks = _shape_ranks()
     keys = []
     for r in range(ranks):
@@ -124,8 +128,10 @@ def with_route(df: DataFrame, path_col: str, prefix: str = "_r") -> DataFrame:
     the first rank that hits wins (most literal template).
     """
     dim = routes(df.sparkSession).select("key", *_ROUTE_COLS)
-    cands = route_candidates(F.col(path_col))
-    out = df
+    # columns of their own: the shapes' CASE would split the path again at every reference
+    segs, valid = (f"{prefix}segs", f"{prefix}valid")
+    out = df.withColumns(dict(zip((segs, valid), path_segments(F.col(path_col)), strict=True)))
+    cands = route_candidates(F.col(segs), F.col(valid))
     hits = []
     for r, cand in enumerate(cands):
         kc = f"{prefix}k{r}"
@@ -136,7 +142,7 @@ def with_route(df: DataFrame, path_col: str, prefix: str = "_r") -> DataFrame:
         out = out.join(d, out[kc] == d[f"{prefix}key{r}"], "left").drop(kc, f"{prefix}key{r}")
         hits.append(F.col(f"{prefix}v{r}"))
     route = F.coalesce(*hits) if len(hits) > 1 else hits[0]
-    return out.withColumn("route", route).drop(*[f"{prefix}v{r}" for r in range(len(cands))])
+    return out.withColumn("route", route).drop(segs, valid, *[f"{prefix}v{r}" for r in range(len(cands))])
 
 
 def classify_commands(df: DataFrame) -> DataFrame:
@@ -190,11 +196,7 @@ def path_resources(df: DataFrame) -> DataFrame:
 
 
 def body_resource_expr(body: Column, body_path: Column) -> Column:
-    expr = None
-    for p in BODY_PATHS:
-        branch = text_at(body, p)
-        expr = F.when(body_path == p, branch) if expr is None else expr.when(body_path == p, branch)
-    return expr
+    return text_at_one_of(body, body_path, BODY_PATHS)
 
 
 def body_resource_id(df: DataFrame) -> DataFrame:

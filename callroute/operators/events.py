@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callroute.functions.jsonx import parse_messages, text_at
+from callroute.functions.jsonx import parse_messages, text_at, text_at_one_of
 from callroute.sources.dims import MESSAGE_TYPES, NONE_RESOURCE, message_types
 
 CHANNEL_VAR_PATH = "/channel/channelvars/CALL_CONTEXT"
@@ -56,12 +56,8 @@ def classify_events(df: DataFrame) -> DataFrame:
 
 
 def resource_id_expr(msg: Column, id_path: Column) -> Column:
-    """Text at the per-type id path, one branch per distinct path (6)."""
-    expr = None
-    for path in ID_PATHS:
-        branch = text_at(msg, path)
-        expr = F.when(id_path == path, branch) if expr is None else expr.when(id_path == path, branch)
-    return expr
+    """Text at the per-type id path (6 distinct paths)."""
+    return text_at_one_of(msg, id_path, ID_PATHS)
 
 
 def extract_resource_id(df: DataFrame) -> DataFrame:
