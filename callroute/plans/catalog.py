@@ -20,7 +20,7 @@ from callroute.operators import events as ev
 from callroute.operators import metrics as mt
 from callroute.operators import state as st
 from callroute.plans import jobs
-from callroute.session import scratch_path
+from callroute.session import materialize, scratch_path
 from callroute.sources import dims, io
 from callroute.sources import fixtures as fx
 from callroute.sources.sink import KeyedSink
@@ -400,8 +400,10 @@ def q_write_durations(spark, d):
 
 
 def q_drop_counts(spark, d):
-    routed = ev.with_drop_reason(jobs.routed_events(_events(spark, d), _commands(spark, d)))
-    return mt.drop_counts(jobs.dropped_messages(routed, _cmds(spark, d)))
+    # registrations and rejections are of the same commands: they are parsed once
+    cmds = materialize(_cmds(spark, d).select("seq", "ts", "callContext", "created_id", "is_creation", "reason"))
+    routed = ev.with_drop_reason(jobs.counted_events(_events(spark, d), cm.context_registrations(cmds)))
+    return mt.drop_counts(jobs.dropped_messages(routed, cmds))
 
 
 def q_merge_reports(spark, d):

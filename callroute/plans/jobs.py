@@ -34,6 +34,17 @@ def routed_events(events_raw: DataFrame, commands_raw: DataFrame, ttl=st.DEFAULT
     return attach_contexts(data, cm.context_registrations(cm.prepare_commands(commands_raw)), ttl, unaddressed)
 
 
+#: what the counts of dropped events read of a prepared event
+COUNTED = ["seq", "ts", "malformed", "has_type", "type", "id_path", "resource_id", "channel_var"]
+
+
+def counted_events(events_raw: DataFrame, registrations: DataFrame, ttl=st.DEFAULT_TTL) -> DataFrame:
+    """``routed_events`` for counts: without the messages, which are parsed once and not carried along."""
+    data, _control = ev.split_control(ev.prepare_events(events_raw))
+    # the fold, its last step and the events without a resource id each read them
+    return attach_contexts(materialize(data.select(*COUNTED)), registrations, ttl)
+
+
 def attach_contexts(data: DataFrame, regs: DataFrame, ttl=st.DEFAULT_TTL, unaddressed: bool = True) -> DataFrame:
     """J3 for prepared events: adds ``call_context`` and ``context_written``.
 

@@ -178,3 +178,13 @@ def test_engine_loads_without_the_optional_part(absent):
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert int(done.stdout.split()[-1]) >= 58
+
+
+@needs_data
+@pytest.mark.parametrize(("query", "scans"), [("drop_counts", 0)])
+def test_messages_are_not_parsed_anew_for_the_result(spark, query, scans):
+    """What the result reads again of the messages is stored; only envelopes read the events again, once, for their payload."""
+    from callroute.plans.catalog import QUERIES
+
+    plan = QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan()
+    assert len(_exchanges(plan, "events.parquet")) == scans and not _exchanges(plan, "orders.parquet")
