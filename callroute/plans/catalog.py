@@ -161,8 +161,8 @@ def q_split_control(spark, d):
 
 
 def q_quarantine(spark, d):
-    routed = jobs.routed_events(_events(spark, d), _commands(spark, d))
-    _good, bad = ev.quarantine(routed)
+    regs = cm.context_registrations(cm.prepare_commands(_commands(spark, d)))
+    _good, bad = ev.quarantine(jobs.counted_events(_events(spark, d), regs))
     return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
