@@ -167,8 +167,8 @@ def q_quarantine(spark, d):
 
 
 def q_event_envelopes(spark, d):
-    routed = jobs.routed_events(_events(spark, d), _commands(spark, d))
-    good, _bad = ev.quarantine(routed)
+    # an event without a resource id has no envelope
+    good, _bad = ev.quarantine(jobs.routed_events(_events(spark, d), _commands(spark, d), unaddressed=False))
     env = ev.event_envelopes(good, jobs.COMMANDS_TOPIC)
     return env.select(
         "seq",
