@@ -286,9 +286,10 @@ def q_namespaced_key(spark, d):
 
 
 def _explicit_writes(spark, d):
-    prepared = _prepared(spark, d)
+    """Prepared events and the writes named in events and commands, both stored: lookups and each layer read them again."""
+    prepared = materialize(_prepared(spark, d).select("seq", "ts", "type", "resource_id", "channel_var", "reason"))
     regs = cm.context_registrations(cm.prepare_commands(_commands(spark, d)))
-    return prepared, jobs.explicit_writes(prepared, regs)
+    return prepared, materialize(jobs.explicit_writes(prepared, regs))
 
 
 def q_lookup_contexts(spark, d):
@@ -324,8 +325,8 @@ def q_generated_context(spark, d):
 
 
 def _state(spark, d):
-    _prepared_events, writes = _explicit_writes(spark, d)
-    return st.upsert_latest(None, writes)
+    regs = cm.context_registrations(cm.prepare_commands(_commands(spark, d)))
+    return st.upsert_latest(None, jobs.explicit_writes(_prepared(spark, d), regs))
 
 
 def q_upsert_latest(spark, d):
@@ -338,9 +339,9 @@ def q_expire_state(spark, d):
 
 
 def q_lookup_state(spark, d):
-    prepared = _prepared(spark, d)
+    prepared, writes = _explicit_writes(spark, d)
     keys = prepared.filter(F.col("reason").isNull() & F.col("resource_id").isNotNull()).select("seq", "resource_id")
-    return st.lookup_state(keys, _state(spark, d)).select("seq", "resource_id", "call_context")
+    return st.lookup_state(keys, st.upsert_latest(None, writes)).select("seq", "resource_id", "call_context")
 
 
 def q_lookup_layered(spark, d):

@@ -181,7 +181,7 @@ def test_engine_loads_without_the_optional_part(absent):
 
 
 @needs_data
-@pytest.mark.parametrize(("query", "scans"), [("drop_counts", 0), ("quarantine", 0), ("event_envelopes", 1)])
+@pytest.mark.parametrize(("query", "scans"), [("drop_counts", 0), ("quarantine", 0), ("event_envelopes", 1), ("lookup_laid_out", 0), ("lookup_layered", 0)])
 def test_messages_are_not_parsed_anew_for_the_result(spark, query, scans):
     """What the result reads again of the messages is stored; only envelopes read the events again, once, for their payload."""
     from callroute.plans.catalog import QUERIES
