@@ -220,3 +220,21 @@ def test_replay_of_few_rows_takes_few_partitions(spark):
         assert sm.replay_partitions(spark, 10_000 * sm.PARTITION_ROWS) == 200
     finally:
         spark.conf.set(sm.PARTITIONS, configured)
+
+
+def test_a_replay_makes_its_messages_once(spark, monkeypatch):
+    """All arrivals take their rows from one written table: a text made anew for each would differ."""
+    from datetime import datetime, timedelta
+    from types import SimpleNamespace
+
+    from callroute.streaming import stream as sm
+
+    monkeypatch.setattr(sm, "start_router", lambda *a, **k: SimpleNamespace(awaitTermination=lambda: None))
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i)) for i in range(12)]
+    events = spark.createDataFrame(rows, "seq long, ts timestamp_ntz").selectExpr("seq", "ts", "uuid() as raw")
+    commands = events.selectExpr("seq", "ts", "seq as request_id", "uuid() as raw")
+    paths = sm.new_paths(spark, "once")
+    sm.feed_in_chunks(spark, events, commands, paths, None)
+    for name in ("events", "commands"):
+        read = lambda folder, name=name: sorted((r.seq, r.raw) for r in spark.read.parquet(f"{paths.root}/{folder}/{name}").collect())
+        assert read("in") == read("tables") and len(read("in")) == 12
