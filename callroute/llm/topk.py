@@ -8,7 +8,9 @@ bound falls below the k-th best certain score are dropped before the next
 dimensions are read.
 
 Blocks of queries meet blocks of candidates by a join on a slot that each
-candidate block gets, every query block being sent to every slot.
+candidate block gets, every query block being sent to every slot. It is a
+sort-merge join: sizes are estimated without the copies of the query blocks,
+and broadcast they would all come to the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from . import common
 BLOCK = 8_192  # candidates in a block
 QUERIES = 512  # queries in a block
 STEP = 16  # dimensions accumulated between two bounds
+FILE_BLOCKS = 8  # blocks in a file: Parquet's reader and writer hold at least a hundred rows of a file at once
 
 
 def usable(vector: str) -> Column:
@@ -137,14 +140,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "emb
         return df.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), quantised(vector, scale).alias("v"))
 
     def packed(df: DataFrame, size: int, name: str) -> DataFrame:
-        return common.cut(df.mapInArrow(_blocks(size), "ids binary, m binary, n int").withColumn("block", F.monotonically_increasing_id()), name)
+        return common.cut(df.mapInArrow(_blocks(size), "ids binary, m binary, n int").withColumn("block", F.monotonically_increasing_id()), name, maxRecordsPerFile=FILE_BLOCKS)
 
-    blocks = packed(rows(vectors), BLOCK, "candidates").drop("block")
+    blocks = packed(rows(vectors), BLOCK, "candidates")
     asked = packed(rows(queries).distinct(), QUERIES, "queries").select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
     slots = max(1, blocks.count())
-    blocks = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
+    blocks = blocks.select("ids", "m", F.pmod(F.xxhash64("block"), F.lit(slots)).alias("slot"))
     asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    found = asked.join(blocks, "slot").select("ids", "m", "q_block", "q_ids", "q_m").mapInArrow(_search(k), "q_block long, q_row int, query_id long, vec_id long, score long")
+    # the blocks stand on the right, whose rows of one slot are held in memory: few, as each block is dealt by its own number
+    found = asked.join(blocks.hint("merge"), "slot").select("ids", "m", "q_block", "q_ids", "q_m").mapInArrow(_search(k), "q_block long, q_row int, query_id long, vec_id long, score long")
     order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()
 
