@@ -1,6 +1,8 @@
 """Where the answering query keeps commands and results that wait."""
 
-from test_stream import answers, arrive, command, result
+from datetime import timedelta
+
+from test_stream import T0, answers, arrive, command, quarantine, result
 
 from callroute.streaming import stream as sm
 
@@ -34,3 +36,12 @@ def test_a_session_may_name_its_store_and_a_state_stays_where_it_is(spark):
     # a router that began with another store goes on with it
     assert kept(arrive(spark, paths, [result(1, 1), command(3, 1)])) == (4, False)
     assert answers(spark, paths) == [(1, 200), (3, 204)]
+
+
+def test_results_that_nothing_claims_wait_on_disk_before_the_quarantine(spark):
+    paths = sm.new_paths(spark, "test-stream")
+    assert kept(arrive(spark, paths, [command(1, 0), result(1, 1), result(70, 1)])) == (3, True)
+    assert quarantine(spark, paths) == []
+    assert kept(arrive(spark, paths, [T0 + timedelta(days=1)]))[1]
+    assert quarantine(spark, paths) == [("commandResponse", "unclaimed_result", 70)]
+    assert answers(spark, paths) == [(1, 200)]
